@@ -60,11 +60,14 @@ def detect_stops(pings: DataFrame, params: StopParams = StopParams(), on_invalid
         pings = validate_pings(pings, on_invalid)
     pings = pings.select("user_id", "ping_id", "epoch_time", "lat", "lon", "accuracy")
 
-    heavy = F.broadcast(_heavy_users(pings, params))  # <= HEAVY_USER_SLOTS rows
     zero = F.lit(0).cast("long")
-    light = pings.join(heavy, "user_id", "left_anti").select("*", zero.alias("unit_t"), zero.alias("unit_p"),
-                                                            F.lit(False).alias("head"))
-    units = light.unionByName(_heavy_units(pings.join(heavy, "user_id", "left_semi"), params))
+    whole = [zero.alias("unit_t"), zero.alias("unit_p"), F.lit(False).alias("head")]
+    heavy = _heavy_users(pings, params)
+    if heavy is None:
+        units = pings.select("*", *whole)
+    else:
+        light = pings.join(heavy, "user_id", "left_anti").select("*", *whole)
+        units = light.unionByName(_heavy_units(pings.join(heavy, "user_id", "left_semi"), params))
     ordered = (
         units.repartition("user_id", "unit_t", "unit_p")
         .sortWithinPartitions("user_id", "unit_t", "unit_p", "epoch_time", "ping_id")
@@ -82,18 +85,19 @@ def find_stop_locations(pings: DataFrame, params: StopParams = StopParams(), max
     return cluster_stops(stops, CLUSTER_RADIUS_M if cluster_radius_m is None else cluster_radius_m)
 
 
-def _heavy_users(pings: DataFrame, params: StopParams) -> DataFrame:
-    """Users above the ping limit, from a frequent-items sketch.
+def _heavy_users(pings: DataFrame, params: StopParams) -> DataFrame | None:
+    """Users above the ping limit, or None; the one small job run while a plan is built.
 
-    The sketch is merged from a bounded summary per task and reads only the user
-    column.  It may miscount slightly; that only decides which of two equivalent
+    A frequent-items sketch is merged from a bounded summary per task, reads only the
+    user column and returns at most ``HEAVY_USER_SLOTS`` users, so the list is safe to
+    broadcast.  It may miscount slightly; that only decides which of two equivalent
     routes a user takes.
     """
-    return (
-        pings.select(F.explode(F.expr(f"approx_top_k(user_id, {HEAVY_USER_SLOTS}, {HEAVY_USER_SLOTS * 50})")).alias("u"))
-        .where(F.col("u.count") > params.heavy_user_pings)
-        .select(F.col("u.item").alias("user_id"))
-    )
+    sketch = pings.agg(F.expr(f"approx_top_k(user_id, {HEAVY_USER_SLOTS}, {HEAVY_USER_SLOTS * 50})").alias("u")).first()
+    users = [(entry["item"],) for entry in sketch["u"] or [] if entry["count"] > params.heavy_user_pings]
+    if not users:
+        return None
+    return F.broadcast(pings.sparkSession.createDataFrame(users, "user_id string"))
 
 
 def _breaks(params: StopParams, before: Column) -> Column:
