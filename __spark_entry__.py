@@ -34,8 +34,8 @@ def entry(spark: SparkSession) -> DataFrame:
 class Stages:
     """The stages of one sample, each derived from the driver's tables when first asked for.
 
-    ``clustered`` and ``labelled`` are written once, as a production run would persist
-    them, and read by the queries that build on them.
+    Stages that several queries read are written once, as a production run would
+    persist them.
     """
 
     _known: dict[tuple[str, str], "Stages"] = {}
@@ -88,11 +88,12 @@ class Stages:
 
     @property
     def budgets(self) -> DataFrame:
-        return self._once("budgets", lambda: dp.time_budgets(self.labelled))
+        return self._once("budgets", lambda: dp.cut_lineage(dp.time_budgets(self.labelled)))
 
     @property
     def metrics(self) -> DataFrame:
-        return self._once("metrics", lambda: dp.metrics_with_admins(self.labelled, self.budgets, ACTIVITY))
+        return self._once("metrics", lambda: dp.cut_lineage(
+            dp.metrics_with_admins(self.labelled, self.budgets, ACTIVITY)))
 
     @property
     def wealth(self) -> DataFrame:
@@ -108,8 +109,8 @@ class Stages:
 
     @property
     def results(self) -> DataFrame:
-        return self._once("results", lambda: dp.indicators_of(
-            self.labelled, self.admins, BINS, LABELS, COUNTRY, ACTIVITY))
+        return self._once("results", lambda: dp.cut_lineage(dp.indicators_of(
+            self.labelled, self.admins, BINS, LABELS, COUNTRY, ACTIVITY)))
 
     @property
     def active(self) -> DataFrame:
@@ -121,7 +122,11 @@ class Stages:
 
     @property
     def city(self) -> tuple[DataFrame, DataFrame]:
-        return dp.city_migration(self.labelled, self.budgets, self.admins, BINS, LABELS, COUNTRY, ACTIVITY)
+        if "city" not in self._made:
+            counts, users = dp.city_migration(self.labelled, self.budgets, self.admins, BINS, LABELS, COUNTRY, ACTIVITY)
+            self._made["city"] = dp.cut_lineage(counts)
+            self._made["city_users"] = dp.cut_lineage(users)
+        return self._made["city"], self._made["city_users"]
 
     @property
     def net_rural_wide(self) -> DataFrame:

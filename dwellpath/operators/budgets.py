@@ -49,36 +49,45 @@ def active_users(budgets: DataFrame, p: ActivityParams = ActivityParams()) -> Da
     The maxima enter as scalar subqueries of the same plan.
     """
     require_columns(budgets, "user_id", "date_trunc")
-    day = F.col("date_trunc")
-    counted = budgets.where(day < F.lit(p.end).cast("date"))
-    if p.start is not None:
-        counted = counted.where(day >= F.lit(p.start).cast("date"))
-    before = day < F.lit(p.split).cast("date")
-    days = (
-        counted.select("user_id", "date_trunc").distinct()
-        .groupBy("user_id")
-        .agg(F.count_if(before).alias("pre"), F.count_if(~before).alias("post"))
-        .withColumn("tot", F.col("pre") + F.col("post"))
-    )
-    top = days.agg(F.max("pre").alias("pre"), F.max("tot").alias("tot"))
-    return days.where(
-        (F.col("pre") >= p.level * top.select("pre").scalar()) & (F.col("tot") >= p.level * top.select("tot").scalar())
-    )
+    return _active(budgets.select("user_id", "date_trunc").repartition("user_id").distinct(), p)
 
 
 def daily_metrics(budgets: DataFrame, p: ActivityParams = ActivityParams()) -> DataFrame:
-    """H, W, O shares per active user and day, with C (went to work) and R (stayed home)."""
+    """H, W, O shares per active user and day, with C (went to work) and R (stayed home).
+
+    Budgets have at most two rows per user and day, so they are brought together by user
+    once; the sums, the activity count and the semi join all work on that partitioning.
+    """
     require_columns(budgets, "user_id", "date_trunc", *LOCATION_TYPES)
-    daily = budgets.groupBy("user_id", "date_trunc").agg(*[F.sum(kind).alias(kind) for kind in LOCATION_TYPES])
+    daily = budgets.select("user_id", "date_trunc", *LOCATION_TYPES).repartition("user_id").groupBy(
+        "user_id", "date_trunc").agg(*[F.sum(kind).alias(kind) for kind in LOCATION_TYPES])
     away = F.col("W").isNotNull() | F.col("O").isNotNull()
     return (
-        daily.join(active_users(daily, p).select("user_id"), "user_id", "left_semi")
+        daily.join(_active(daily, p).select("user_id"), "user_id", "left_semi")
         .select("user_id", F.col("date_trunc").alias("date"), "H",
                 F.when(away, 0).otherwise(1).alias("R"), "W",
                 F.when(F.col("W").isNull(), 0).otherwise(1).alias("C"), "O")
     )
 
 
+def _active(days: DataFrame, p: ActivityParams) -> DataFrame:
+    """Activity from one row per (user, day)."""
+    day = F.col("date_trunc")
+    counted = days.where(day < F.lit(p.end).cast("date"))
+    if p.start is not None:
+        counted = counted.where(day >= F.lit(p.start).cast("date"))
+    before = day < F.lit(p.split).cast("date")
+    per_user = (
+        counted.groupBy("user_id")
+        .agg(F.count_if(before).alias("pre"), F.count_if(~before).alias("post"))
+        .withColumn("tot", F.col("pre") + F.col("post"))
+    )
+    top = per_user.agg(F.max("pre").alias("pre"), F.max("tot").alias("tot"))
+    return per_user.where(
+        (F.col("pre") >= p.level * top.select("pre").scalar()) & (F.col("tot") >= p.level * top.select("tot").scalar())
+    )
+
+
 def modal_admin_unit(labelled: DataFrame, location_type: str, name: str, until: str | None = None) -> DataFrame:
     """Per user the admin unit with most distinct days of the given type; ties to the lowest id."""
     require_columns(labelled, "user_id", "geom_id", "location_type", "date_trunc")

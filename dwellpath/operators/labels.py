@@ -7,7 +7,7 @@ the join that hands the labels back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellpath.functions.times import day_number
@@ -31,37 +31,46 @@ def night_pieces(pieces: DataFrame, p: LabelParams = LabelParams()) -> DataFrame
     return pieces.where((F.col("t_start_hour") >= p.end_hour_day) | (F.col("t_end_hour") <= p.start_hour_day))
 
 
-def work_hour_pieces(pieces: DataFrame, home_clusters: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
-    """Weekday pieces inside working hours at clusters that are never the user's home."""
+def work_hour_pieces(pieces: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
+    """Weekday pieces inside working hours."""
     inside = (F.col("t_start_hour") >= p.start_hour_day + 4) & (F.col("t_end_hour") <= p.end_hour_day - 6)
-    return pieces.where(inside & ~F.col("weekday").isin(1, 7)).join(
-        home_clusters.select("user_id", "cluster_label").distinct(), ["user_id", "cluster_label"], "left_anti")
+    return pieces.where(inside & ~F.col("weekday").isin(1, 7))
 
 
 def home_evidence(pieces: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
     """Days on which a cluster qualifies as home, with the rolling sums behind it."""
     require_columns(pieces, *_KEY, "duration", "total_pings_stop", "t_start_hour", "t_end_hour")
     trailing = _trailing_days(p.home_window_days)
-    enough = F.count(F.lit(1)).over(trailing) >= p.home_min_days
+    days = F.count(F.lit(1)).over(trailing)
     return (
         _per_day(night_pieces(pieces, p))
-        .withColumn("days_count", F.count(F.lit(1)).over(trailing))
-        .withColumn("duration_cum", F.when(enough, F.sum("duration").over(trailing)))
-        .withColumn("total_pings_cum", F.when(enough, F.sum("total_pings_stop").over(trailing)))
+        .select("*", days.alias("days_count"),
+                F.when(days >= p.home_min_days, F.sum("duration").over(trailing)).alias("duration_cum"),
+                F.when(days >= p.home_min_days, F.sum("total_pings_stop").over(trailing)).alias("total_pings_cum"))
         .where((F.col("total_pings_cum") > p.min_pings_home) & F.col("duration_cum").isNotNull())
+        .drop("_day")
     )
 
 
-def work_evidence(pieces: DataFrame, home_clusters: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
-    """Days on which a cluster qualifies as work, with the rolling mean behind it."""
+def work_evidence(pieces: DataFrame, homes: DataFrame | None = None, p: LabelParams = LabelParams()) -> DataFrame:
+    """Days on which a cluster qualifies as work, with the rolling mean behind it.
+
+    Clusters in ``homes`` (``user_id``, ``cluster_label``) are left out.  Windows never
+    span clusters, so they can be dropped at the end, where few rows remain.
+    """
     require_columns(pieces, *_KEY, "duration", "total_pings_stop", "t_start_hour", "t_end_hour", "weekday")
     trailing = _trailing_days(p.work_window_days)
     enough = F.count(F.lit(1)).over(trailing) >= p.work_min_days
-    return (
-        _per_day(work_hour_pieces(pieces, home_clusters, p))
-        .withColumn("duration_average", F.when(enough, F.avg("duration").over(trailing)))
+    evidence = (
+        _per_day(work_hour_pieces(pieces, p))
+        .select("*", F.when(enough, F.avg("duration").over(trailing)).alias("duration_average"))
         .where(F.col("duration_average") >= p.work_min_seconds)
+        .drop("_day")
     )
+    if homes is None:
+        return evidence
+    known = homes.select("user_id", "cluster_label").distinct()
+    return evidence.join(known, ["user_id", "cluster_label"], "left_anti")
 
 
 def daily_pick(evidence: DataFrame) -> DataFrame:
@@ -96,23 +105,26 @@ def fill_gaps(picks: DataFrame) -> DataFrame:
 
 def label_home(pieces: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
     """Pieces with ``location_type`` 'H' or 'O' and ``home_label``."""
-    return _attach(initialise_labels(pieces), _home_marks(pieces, p))
+    return _attach(initialise_labels(pieces), _marks(_tagged(daily_pick(home_evidence(pieces, p)), "H")))
 
 
 def label_work(labelled: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
     """Add 'W' and ``work_label`` to pieces that already carry home labels."""
     require_columns(labelled, "location_type", "home_label", "work_label")
-    homes = labelled.where(F.col("location_type") == "H")
-    return _attach(labelled, _work_marks(labelled, homes, p))
+    evidence = work_evidence(labelled, labelled.where(F.col("location_type") == "H"), p)
+    return _attach(labelled, _marks(_tagged(evidence, "W")))
 
 
 def label_home_and_work(pieces: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
-    """Both labels, attached with a single join.
+    """Both labels in one plan that computes each kind of evidence once.
 
-    Work never falls on a home cluster, so the two sets of marks have no key in common.
+    Home picks and work evidence are brought together by user; there, work evidence at a
+    home cluster is dropped, days are filled, and a single join hands the marks back.
     """
-    homes = _home_marks(pieces, p)
-    return _attach(initialise_labels(pieces), homes.unionByName(_work_marks(pieces, homes, p)))
+    tagged = _tagged(daily_pick(home_evidence(pieces, p)), "H").unionByName(_tagged(work_evidence(pieces, p=p), "W"))
+    is_home = F.max(F.col("_kind") == "H").over(Window.partitionBy("user_id", "cluster_label"))
+    apart = tagged.repartition("user_id").withColumn("_home", is_home).where((F.col("_kind") == "H") | ~F.col("_home"))
+    return _attach(initialise_labels(pieces), _marks(apart.drop("_home")))
 
 
 def select_label_columns(labelled: DataFrame) -> DataFrame:
@@ -161,33 +173,47 @@ def start_hour_histogram(labelled: DataFrame) -> DataFrame:
 
 def _per_day(pieces: DataFrame) -> DataFrame:
     """Sums per (user, cluster, day), left partitioned by (user, cluster) for the windows that follow."""
-    return pieces.select(*_KEY, "duration", "total_pings_stop").repartition("user_id", "cluster_label").groupBy(
-        *_KEY).agg(F.sum("duration").alias("duration"), F.sum("total_pings_stop").alias("total_pings_stop"))
+    return (
+        pieces.select(*_KEY, "duration", "total_pings_stop").repartition("user_id", "cluster_label")
+        .groupBy(*_KEY).agg(F.sum("duration").alias("duration"), F.sum("total_pings_stop").alias("total_pings_stop"))
+        .withColumn("_day", day_number(F.col("date_trunc")))
+    )
 
 
 def _trailing_days(days: int):
-    return Window.partitionBy("user_id", "cluster_label").orderBy(
-        day_number(F.col("date_trunc"))).rangeBetween(-(days - 1), 0)
-
+    return Window.partitionBy("user_id", "cluster_label").orderBy("_day").rangeBetween(-(days - 1), 0)
 
-def _marks(days: DataFrame, kind: str, typed: Column, labelled: Column) -> DataFrame:
-    return days.select(*_KEY, F.when(typed, F.lit(kind)).alias("_type"),
-                       *[F.when(labelled, F.col("cluster_label")).alias(f"_{name}") if name[0] == kind.lower()
-                         else F.lit(None).cast("long").alias(f"_{name}") for name in ("home_label", "work_label")])
 
+def _tagged(days: DataFrame, kind: str) -> DataFrame:
+    return days.select(*_KEY, F.lit(kind).alias("_kind"))
 
-def _home_marks(pieces: DataFrame, p: LabelParams) -> DataFrame:
-    days = fill_gaps(daily_pick(home_evidence(pieces, p)))
-    return _marks(days, "H", F.lit(True), F.col("observed"))
 
+def _marks(tagged: DataFrame) -> DataFrame:
+    """One row per (user, cluster, day) to mark, from the qualifying clusters of each kind.
 
-def _work_marks(pieces: DataFrame, homes: DataFrame, p: LabelParams) -> DataFrame:
-    """Every qualifying (cluster, day) gets a label, the filled daily pick gets the type."""
-    evidence = work_evidence(pieces, homes, p).select(*_KEY)
-    typed = fill_gaps(daily_pick(evidence)).select(*_KEY, F.lit(True).alias("typed"), F.lit(False).alias("labelled"))
-    both = evidence.select(*_KEY, F.lit(False).alias("typed"), F.lit(True).alias("labelled")).unionByName(typed)
-    days = both.groupBy(*_KEY).agg(F.max("typed").alias("typed"), F.max("labelled").alias("labelled"))
-    return _marks(days, "W", F.col("typed"), F.col("labelled"))
+    The lowest cluster of a day, or the nearest one on a day without any, sets the type.
+    Every qualifying cluster sets the label.  A user-day has few clusters: the stops of
+    a user do not overlap.
+    """
+    along = Window.partitionBy("user_id", "_kind").orderBy("date_trunc")
+    gap, step = F.col("_gap"), F.col("_step")
+    days = (
+        tagged.repartition("user_id").groupBy("user_id", "_kind", "date_trunc")
+        .agg(F.min("cluster_label").alias("_pick"), F.collect_set("cluster_label").alias("_all"))
+        .withColumn("_gap", F.datediff(F.lead("date_trunc").over(along), F.col("date_trunc")))
+        .withColumn("_next", F.lead("_pick").over(along))
+        .withColumn("_step", F.explode(F.sequence(F.lit(0), F.coalesce(gap - 1, F.lit(0)))))
+    )
+    nearest = F.when(step * 2 <= gap, F.col("_pick")).otherwise(F.col("_next"))
+    return (
+        days.withColumn("cluster_label", F.explode(F.when(step == 0, F.col("_all")).otherwise(F.array(nearest))))
+        .select(
+            "user_id", "cluster_label", F.date_add("date_trunc", step).alias("date_trunc"),
+            F.when((step > 0) | (F.col("cluster_label") == F.col("_pick")), F.col("_kind")).alias("_type"),
+            F.when((step == 0) & (F.col("_kind") == "H"), F.col("cluster_label")).alias("_home_label"),
+            F.when((step == 0) & (F.col("_kind") == "W"), F.col("cluster_label")).alias("_work_label"),
+        )
+    )
 
 
 def _attach(pieces: DataFrame, marks: DataFrame) -> DataFrame:

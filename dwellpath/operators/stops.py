@@ -16,8 +16,9 @@ from dwellpath.operators.stop_pass import (
     find_stops,
     jump_threshold,
 )
-from dwellpath.params import StopParams
+from dwellpath.params import EARTH_RADIUS_M, StopParams
 from dwellpath.schema import STOPS, require_columns
+from dwellpath.session import cut_lineage
 
 # Executors need not have this package installed: the pass travels with the task.
 cloudpickle.register_pickle_by_value(sys.modules["dwellpath"])
@@ -53,7 +54,8 @@ def detect_stops(pings: DataFrame, params: StopParams = StopParams(), on_invalid
 
     One shuffle by user, one sort, one Arrow pass.  Users with more than
     ``params.heavy_user_pings`` pings are cut into independent units first (see
-    :func:`_heavy_units`) and spread over many tasks.
+    :func:`_heavy_units`), written once, and spread over many tasks; units that do not
+    leave one spot are settled by aggregation.
     """
     require_columns(pings, "user_id", "ping_id", "epoch_time", "lat", "lon", "accuracy")
     if on_invalid != "keep":
@@ -64,10 +66,15 @@ def detect_stops(pings: DataFrame, params: StopParams = StopParams(), on_invalid
     whole = [zero.alias("unit_t"), zero.alias("unit_p"), F.lit(False).alias("head")]
     heavy = _heavy_users(pings, params)
     if heavy is None:
-        units = pings.select("*", *whole)
-    else:
-        light = pings.join(heavy, "user_id", "left_anti").select("*", *whole)
-        units = light.unionByName(_heavy_units(pings.join(heavy, "user_id", "left_semi"), params))
+        return _walk(pings.select("*", *whole), params)
+    light = pings.join(heavy, "user_id", "left_anti").select("*", *whole)
+    units = cut_lineage(_heavy_units(pings.join(heavy, "user_id", "left_semi"), params))
+    compact, other = _split_compact(units, params)
+    return _walk(light.unionByName(other), params).unionByName(_stops_of_compact_units(compact, params))
+
+
+def _walk(units: DataFrame, params: StopParams) -> DataFrame:
+    """Sort each unit by time and search it for stops."""
     ordered = (
         units.repartition("user_id", "unit_t", "unit_p")
         .sortWithinPartitions("user_id", "unit_t", "unit_p", "epoch_time", "ping_id")
@@ -111,6 +118,50 @@ def _breaks(params: StopParams, before: Column) -> Column:
     return before.isNull() | far
 
 
+def _split_compact(units: DataFrame, params: StopParams) -> tuple[DataFrame, DataFrame]:
+    """Units that surely are one stop as a whole, with ``last`` marking their last ping, and the others.
+
+    A unit is compact when the bounding box of its pings is so small that every ping
+    joins whatever median the pings before it have.
+    """
+    key = ["user_id", "unit_t", "unit_p"]
+    box = units.groupBy(*key).agg(
+        F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"),
+        F.max("lon").alias("east"), F.max(F.struct("epoch_time", "ping_id")).alias("latest"))
+    if params.metric == "euclidean":
+        size = F.hypot(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
+    else:
+        crosses = (F.col("south") <= 0) & (F.col("north") >= 0)
+        widest = F.when(crosses, 0.0).otherwise(F.least(F.abs("south"), F.abs("north")))
+        size = EARTH_RADIUS_M * F.hypot(
+            F.radians(F.col("north") - F.col("south")),
+            F.radians(F.col("east") - F.col("west")) * F.cos(F.radians(widest)))
+    judged = box.select(*key, "latest", (size <= params.radius_m * 0.999).alias("compact"))
+    joined = units.join(judged, key).withColumn("last", F.struct("epoch_time", "ping_id") == F.col("latest"))
+    return (joined.where("compact").drop("compact", "latest", "head"),
+            joined.where("not compact").drop("compact", "latest", "last"))
+
+
+def _stops_of_compact_units(units: DataFrame, params: StopParams) -> DataFrame:
+    """Stops by aggregation: a device that never moves is counted in parallel, however many pings it has.
+
+    Exact medians are merged as counts of distinct values, combined before the shuffle.
+    """
+    used = F.lit(True) if params.accuracy_includes_last else ~F.col("last")
+    unknown = F.col("accuracy").isNull() | F.isnan("accuracy")
+    stops = units.groupBy("user_id", "unit_t", "unit_p").agg(
+        F.min("epoch_time").alias("t_start"), F.max("epoch_time").alias("t_end"),
+        F.median("lat").alias("lat"), F.median("lon").alias("lon"),
+        F.median(F.when(used, F.col("accuracy"))).alias("accuracy"),
+        F.count_if(used & unknown).alias("unknown"),
+        F.count(F.lit(1)).alias("total_pings_stop"),
+    ).where(F.col("total_pings_stop") >= params.min_size)
+    if params.min_stay is not None:
+        stops = stops.where(F.col("t_end") - F.col("t_start") >= params.min_stay)
+    return stops.withColumn("median_accuracy", F.when(F.col("unknown") == 0, F.col("accuracy"))).select(
+        *STOPS.fieldNames())
+
+
 def _heavy_units(pings: DataFrame, params: StopParams) -> DataFrame:
     """Cut each user's pings into units that can be searched for stops on their own.
 

@@ -16,6 +16,7 @@ from dwellpath.operators.migration import home_moves, home_units, metro_resident
 from dwellpath.operators.pings import localise
 from dwellpath.operators.stops import find_stop_locations
 from dwellpath.params import ActivityParams, LabelParams, StopParams
+from dwellpath.session import cut_lineage
 
 # Measure names and the columns of daily metrics they average.
 HOME_MEASURES = {"t_home": "H", "t_work": "W", "t_other": "O", "rec": "R", "comms": "C"}
@@ -40,9 +41,12 @@ def indicators_of(labelled: DataFrame, admins: DataFrame, bins: Sequence[float],
                   activity: ActivityParams = ActivityParams(), label_params: LabelParams = LabelParams(),
                   home_measures: Mapping[str, str] = HOME_MEASURES,
                   home_work_measures: Mapping[str, str] = HOME_WORK_MEASURES) -> DataFrame:
-    """Entry 2: labelled pieces to the long table of weighted indicators."""
-    budgets = time_budgets(labelled, label_params.start_hour_day, label_params.end_hour_day)
-    metrics = metrics_with_admins(labelled, budgets, activity)
+    """Entry 2: labelled pieces to the long table of weighted indicators.
+
+    Budgets and metrics feed several branches, so each is written once.
+    """
+    budgets = cut_lineage(time_budgets(labelled, label_params.start_hour_day, label_params.end_hour_day))
+    metrics = cut_lineage(metrics_with_admins(labelled, budgets, activity))
     wealth = wealth_percentile(admins)
     return indicator_results(weight_by_home(metrics, wealth, bins, labels),
                              weight_by_home_and_work(metrics, wealth, bins, labels),
