@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -14,6 +15,7 @@ from pyspark.sql import types as T  # noqa: E402
 
 import dwellpath as dp  # noqa: E402
 import oracles  # noqa: E402
+from dwellpath.session import ensure_checkpoint_dir  # noqa: E402
 from dwellpath.sources import sample  # noqa: E402
 
 # Fixed values for the sample data, shared with the oracles.
@@ -142,6 +144,8 @@ _QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
         s.pings.select(F.col("user_id").alias("uid"), "ping_id", F.timestamp_seconds("epoch_time").alias("datetime"),
                        "country", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
                        F.col("accuracy").alias("horizontal_accuracy"))),
+    "a4_read_admins": lambda s: _through_csv(s.admins),
+    "a5_stage_round_trip": lambda s: _through_stage(s.pings),
     "b1_validate": lambda s: dp.validation_report(s.pings),
     "b1_drop_invalid": lambda s: dp.validate_pings(
         s.pings.withColumn("lat", F.col("lat") * 3).withColumn("lon", F.col("lon") * 2), "drop"),
@@ -229,6 +233,23 @@ _QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
 }
 
 
+def _folder(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/exchange/{uuid.uuid4().hex}"
+
+
+def _through_csv(admins: DataFrame) -> DataFrame:
+    root = _folder(admins.sparkSession)
+    admins.drop("country").write.option("header", "true").csv(f"{root}/{COUNTRY}/admin.csv")
+    return dp.read_admins(admins.sparkSession, root, COUNTRY)
+
+
+def _through_stage(pings: DataFrame) -> DataFrame:
+    root, run = _folder(pings.sparkSession), {"radius": 50, "gap": 3600}
+    dp.write_stage(pings, root, "pings", run)
+    return dp.read_stage(pings.sparkSession, root, "pings", run)
+
+
 def _tidy(df: DataFrame) -> DataFrame:
     """Plain column types for the comparison: dates as text, whole numbers as long, doubles rounded."""
     columns = []

@@ -49,7 +49,7 @@ def active_users(budgets: DataFrame, p: ActivityParams = ActivityParams()) -> Da
     The maxima enter as scalar subqueries of the same plan.
     """
     require_columns(budgets, "user_id", "date_trunc")
-    return _active(budgets.select("user_id", "date_trunc").repartition("user_id").distinct(), p)
+    return _active(budgets.select("user_id", "date_trunc").distinct(), p)
 
 
 def daily_metrics(budgets: DataFrame, p: ActivityParams = ActivityParams()) -> DataFrame:
@@ -94,8 +94,8 @@ def modal_admin_unit(labelled: DataFrame, location_type: str, name: str, until:
     rows = labelled.where(F.col("location_type") == location_type)
     if until is not None:
         rows = rows.where(F.col("date_trunc") <= F.lit(until).cast("date"))
-    days = rows.select("user_id", "geom_id", "date_trunc").distinct().groupBy("user_id", "geom_id").agg(
-        F.count(F.lit(1)).alias("n_days"))
+    visits = rows.select("user_id", "geom_id", "date_trunc").distinct()
+    days = visits.repartition("user_id").groupBy("user_id", "geom_id").agg(F.count(F.lit(1)).alias("n_days"))
     best = F.min(F.struct((-F.col("n_days")).alias("rank"), "geom_id"))
     return days.groupBy("user_id").agg(best.alias("_best")).select("user_id", F.col("_best.geom_id").alias(name))
 

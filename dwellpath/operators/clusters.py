@@ -40,25 +40,24 @@ _CELL_STRIDE = 1 << 32
 def cluster_stops(stops: DataFrame, radius_m: float = CLUSTER_RADIUS_M) -> DataFrame:
     """Add ``cluster_label``, numbered per user by each cluster's earliest stop.
 
-    The stops are written to the checkpoint folder first, because the steps below read
-    them several times.
+    The stops and then their cells are written to the checkpoint folder, because the steps
+    below read them several times.  All further work is on cells, until one join hands
+    the labels back to the stops.
     """
     require_columns(stops, "user_id", "t_start", "t_end", "lat", "lon")
     grid = _Grid(radius_m)
     stops = cut_lineage(stops.drop("cluster_label"))
     celled = grid.assign(stops)
-    roots = _components(_touching_cells(celled, grid))
-    placed = (
-        celled.join(roots, ["user_id", "_cell"], "left")
-        .withColumn("_cell", F.coalesce(F.col("_root"), F.col("_cell")))
-    )
-    clusters = (
-        placed.groupBy("user_id", "_cell")
-        .agg(F.min(F.struct("t_start", "t_end", "lat", "lon")).alias("_first"))
-    )
-    ranked = rank_in_time(clusters, "user_id", F.col("_first.t_start"), [F.col("_first"), F.col("_cell")],
-                          "cluster_label").select("user_id", "_cell", "cluster_label")
-    return placed.join(ranked, ["user_id", "_cell"]).select(*stops.columns, "cluster_label")
+    cells = cut_lineage(celled.groupBy("user_id", "_cell", "_band", "_col").agg(
+        F.expr(_BOUNDING_BOX), F.min(F.struct("t_start", "t_end", "lat", "lon")).alias("first")))
+    roots = _components(_touching_cells(celled, cells, grid))
+    rooted = cells.join(roots, ["user_id", "_cell"], "left").select(
+        "user_id", "_cell", "first", F.coalesce("_root", "_cell").alias("_root"))
+    clusters = rooted.groupBy("user_id", "_root").agg(F.min("first").alias("first"))
+    numbered = rank_in_time(clusters, "user_id", F.col("first.t_start"), [F.col("first"), F.col("_root")],
+                            "cluster_label").select("user_id", "_root", "cluster_label")
+    labels = rooted.join(numbered, ["user_id", "_root"]).select("user_id", "_cell", "cluster_label")
+    return celled.join(labels, ["user_id", "_cell"]).select(*stops.columns, "cluster_label")
 
 
 def recluster(history: DataFrame, new_stops: DataFrame, radius_m: float = CLUSTER_RADIUS_M) -> DataFrame:
@@ -127,12 +126,13 @@ class _Grid:
     def neighbours(self, cells: DataFrame) -> DataFrame:
         """Explode each cell to the cells its points may reach: ``_other``, each pair once.
 
-        Looks at the cell's own band and the next two; columns are limited to the
-        longitudes within the radius of the points actually present.
+        Looks at the cell's own band and the next two; bands and columns are limited to
+        those within the radius of the points actually present.
         """
         half = math.sin(self.radius_m / (2 * EARTH_RADIUS_M))
         return (
             cells.selectExpr("*", "explode(array(_band, _band + 1, _band + 2)) as _band2")
+            .where(f"_band2 * {self.height}D - 90 - box.north <= {math.degrees(self.radius_m / EARTH_RADIUS_M) + 1e-9}D")
             .selectExpr("*", f"{self.columns_in('_band2')} as _cols2",
                         f"sqrt({self.poleward_cos('_band')} * {self.poleward_cos('_band2')}) as _shrink")
             .selectExpr("*", f"if(_shrink > {half}D, degrees(2 * asin({half}D / _shrink)) + 1e-9D, 360D) as _reach")
@@ -193,7 +193,7 @@ def _judge(pairs: DataFrame, radius_m: float) -> DataFrame:
     return measured.selectExpr(*kept, verdict).where("verdict <> 'far'")
 
 
-def _touching_cells(celled: DataFrame, grid: _Grid) -> DataFrame:
+def _touching_cells(celled: DataFrame, cells: DataFrame, grid: _Grid) -> DataFrame:
     """Pairs of cells (``a``, ``b``) that hold two stops within the radius.
 
     Cells are compared by the bounding boxes of their stops.  Where the boxes leave it
@@ -201,7 +201,6 @@ def _touching_cells(celled: DataFrame, grid: _Grid) -> DataFrame:
     pair is decided.  A pair never meets stop by stop, however many stops it has; boxes
     of a single location are compared exactly.
     """
-    cells = celled.groupBy("user_id", "_cell", "_band", "_col").agg(F.expr(_BOUNDING_BOX))
     pairs = grid.neighbours(cells).selectExpr("user_id", "_cell as a", "_other as b", "box as p").join(
         cells.selectExpr("user_id", "_cell as b", "box as q"), ["user_id", "b"])
     judged = cut_lineage(_judge(pairs, grid.radius_m))
@@ -244,12 +243,12 @@ def _components(edges: DataFrame) -> DataFrame:
     mostly few; they are followed in one pass after one shuffle.  Users with more than
     ``LOCAL_EDGES`` pairs are left to :func:`_star_components`, which never gathers them.
     """
-    edges = cut_lineage(edges)
     crowded = edges.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOCAL_EDGES)
-    crowded = cut_lineage(crowded.select("user_id"))
+    crowded = crowded.select("user_id")
     schema = "user_id string, _cell long, _root long"
     if crowded.isEmpty():
         return _by_user(edges).mapInArrow(follow_edges, schema)
+    crowded = cut_lineage(crowded)
     return (
         _by_user(edges.join(crowded, "user_id", "left_anti")).mapInArrow(follow_edges, schema)
         .unionByName(_star_components(edges.join(crowded, "user_id", "left_semi")))

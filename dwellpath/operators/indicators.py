@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,25 +41,30 @@ def indicator(weighted: DataFrame, column: str, keys: Sequence[str] = HOME_KEYS)
 def indicators(weighted: DataFrame, measures: Mapping[str, str], keys: Sequence[str] = HOME_KEYS) -> DataFrame:
     """G3/G4 for several columns in one aggregation; ``measures`` maps measure names to columns.
 
-    Missing values count as 0.  Each group adds one row per measure at the end, so the
-    wide input is scanned and shuffled once.
+    Missing values count as 0.  The sums are combined before the shuffle, so only one row
+    per task and group travels.  Distinct users are counted beside them on narrow rows;
+    in one aggregation every row would travel with all its sums.  Each group adds one row
+    per measure at the end.
     """
     require_columns(weighted, "date", "user_id", "weight", *keys, *measures.values())
+    groups = ["date", *keys]
     values = {name: F.coalesce(F.col(column).cast("double"), F.lit(0.0)) for name, column in measures.items()}
     sums = [
         aggregate
         for i, value in enumerate(values.values())
         for aggregate in (F.sum(value * F.col("weight")).alias(f"s{i}"), F.stddev_samp(value).alias(f"d{i}"))
     ]
-    grouped = weighted.groupBy("date", *keys).agg(
-        F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_unique"), *sums)
+    summed = weighted.groupBy(*groups).agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"), *sums)
+    users = weighted.select(*groups, "user_id").distinct().groupBy(*groups).agg(F.count("user_id").alias("n_unique"))
+    users = users.select(*[F.col(name).alias(f"_{name}") for name in groups], "n_unique")
+    same = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in groups])
     rows = F.array(*[
         F.struct(F.lit(name).alias("measure"), F.try_divide(F.col(f"s{i}"), F.col("w")).alias("mean"),
                  (F.col(f"d{i}") / F.sqrt(F.col("n").cast("double"))).alias("sem"))
         for i, name in enumerate(values)
     ])
-    return grouped.select("date", *keys, "n", "n_unique", F.explode(rows).alias("r")).select(
-        "r.measure", "date", *keys, "r.mean", "r.sem", "n", "n_unique")
+    return summed.join(users, same).select(*groups, "n", "n_unique", F.explode(rows).alias("r")).select(
+        "r.measure", *groups, "r.mean", "r.sem", "n", "n_unique")
 
 
 def indicator_results(weighted_home: DataFrame, weighted_home_work: DataFrame, home_measures: Mapping[str, str],

@@ -75,10 +75,7 @@ def work_evidence(pieces: DataFrame, homes: DataFrame | None = None, p: LabelPar
 
 def daily_pick(evidence: DataFrame) -> DataFrame:
     """One cluster per user and day, the lowest that qualifies."""
-    return (
-        evidence.select(*_KEY).repartition("user_id")
-        .groupBy("user_id", "date_trunc").agg(F.min("cluster_label").alias("cluster_label"))
-    )
+    return evidence.groupBy("user_id", "date_trunc").agg(F.min("cluster_label").alias("cluster_label"))
 
 
 def fill_gaps(picks: DataFrame) -> DataFrame:
@@ -118,8 +115,9 @@ def label_work(labelled: DataFrame, p: LabelParams = LabelParams()) -> DataFrame
 def label_home_and_work(pieces: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
     """Both labels in one plan that computes each kind of evidence once.
 
-    Home picks and work evidence are brought together by user; there, work evidence at a
-    home cluster is dropped, days are filled, and a single join hands the marks back.
+    Home picks and work evidence are brought together by user, a few rows per day; there,
+    work evidence at a home cluster is dropped and days are filled.  A single join hands
+    the marks back.
     """
     tagged = _tagged(daily_pick(home_evidence(pieces, p)), "H").unionByName(_tagged(work_evidence(pieces, p=p), "W"))
     is_home = F.max(F.col("_kind") == "H").over(Window.partitionBy("user_id", "cluster_label"))
@@ -172,10 +170,9 @@ def start_hour_histogram(labelled: DataFrame) -> DataFrame:
 
 
 def _per_day(pieces: DataFrame) -> DataFrame:
-    """Sums per (user, cluster, day), left partitioned by (user, cluster) for the windows that follow."""
+    """Sums per (user, cluster, day), combined before the shuffle."""
     return (
-        pieces.select(*_KEY, "duration", "total_pings_stop").repartition("user_id", "cluster_label")
-        .groupBy(*_KEY).agg(F.sum("duration").alias("duration"), F.sum("total_pings_stop").alias("total_pings_stop"))
+        pieces.groupBy(*_KEY).agg(F.sum("duration").alias("duration"), F.sum("total_pings_stop").alias("total_pings_stop"))
         .withColumn("_day", day_number(F.col("date_trunc")))
     )
 

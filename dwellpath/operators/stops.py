@@ -23,8 +23,12 @@ from dwellpath.session import cut_lineage
 # Executors need not have this package installed: the pass travels with the task.
 cloudpickle.register_pickle_by_value(sys.modules["dwellpath"])
 
-# At most this many users are looked up as heavy; it bounds the broadcast list.
+# How many users are treated as heavy at most, which bounds the broadcast list; how many
+# users a sketch follows to find them; and the share of all pings below which a user is
+# no burden to a task.
 HEAVY_USER_SLOTS = 1000
+HEAVY_USER_TRACKED = 20_000
+HEAVY_USER_SHARE = 1e-4
 
 
 def sessionise(pings: DataFrame, max_gap: int = 3600) -> DataFrame:
@@ -93,15 +97,27 @@ def find_stop_locations(pings: DataFrame, params: StopParams = StopParams(), max
 
 
 def _heavy_users(pings: DataFrame, params: StopParams) -> DataFrame | None:
-    """Users above the ping limit, or None; the one small job run while a plan is built.
-
-    A frequent-items sketch is merged from a bounded summary per task, reads only the
-    user column and returns at most ``HEAVY_USER_SLOTS`` users, so the list is safe to
-    broadcast.  It may miscount slightly; that only decides which of two equivalent
-    routes a user takes.
+    """Users with too many pings for one task, or None; the one small job run while a plan is built.
+
+    Reads only the user column.  Each task keeps a frequent-items sketch of bounded size;
+    the sketches are merged in two steps, so no task receives those of all others.  A
+    user is heavy above ``params.heavy_user_pings`` and ``HEAVY_USER_SHARE`` of all pings,
+    and at most ``HEAVY_USER_SLOTS`` users are taken, so the list is safe to broadcast.
+    The sketch may miscount slightly; that only decides which of two equivalent routes a
+    user takes.
     """
-    sketch = pings.agg(F.expr(f"approx_top_k(user_id, {HEAVY_USER_SLOTS}, {HEAVY_USER_SLOTS * 50})").alias("u")).first()
-    users = [(entry["item"],) for entry in sketch["u"] or [] if entry["count"] > params.heavy_user_pings]
+    group = (F.spark_partition_id() % 256).alias("group")
+    sketch = (
+        pings.groupBy(group)
+        .agg(F.expr(f"approx_top_k_accumulate(user_id, {HEAVY_USER_TRACKED})").alias("s"), F.count(F.lit(1)).alias("n"))
+        .groupBy(F.lit(0).alias("all"))  # unlike a global aggregate, gives no row for empty input
+        .agg(F.expr(f"approx_top_k_combine(s, {HEAVY_USER_TRACKED})").alias("s"), F.sum("n").alias("n"))
+        .selectExpr(f"approx_top_k_estimate(s, {HEAVY_USER_SLOTS}) as top", "n").first()
+    )
+    if sketch is None:
+        return None
+    limit = max(params.heavy_user_pings, HEAVY_USER_SHARE * sketch["n"])
+    users = [(entry["item"],) for entry in sketch["top"] if entry["count"] > limit]
     if not users:
         return None
     return F.broadcast(pings.sparkSession.createDataFrame(users, "user_id string"))

@@ -29,10 +29,11 @@ def labelled_pieces_of(pings: DataFrame, zones: DataFrame | None = None, units_o
     """Entry 1: pings to labelled day pieces.
 
     ``zones`` shifts the pings to local time first.  ``units_of`` adds ``geom_id`` to a
-    DataFrame of stops; without it the column is NULL.
+    DataFrame of stops; without it the column is NULL.  The stops feed three branches of
+    the labelling, so they are written once.
     """
     local = pings if zones is None else localise(pings, zones)
-    stops = find_stop_locations(local, stop_params, max_accuracy, on_invalid=on_invalid)
+    stops = cut_lineage(find_stop_locations(local, stop_params, max_accuracy, on_invalid=on_invalid))
     stops = stops.withColumn("geom_id", F.lit(None).cast("string")) if units_of is None else units_of(stops)
     return label_home_and_work(day_pieces(stops), label_params)
 

@@ -510,6 +510,8 @@ def oracle_sql() -> dict[str, str]:
     reach_days = "p.date_trunc between v.date_trunc - 14 and v.date_trunc"
     return {
         "a1_read_pings": show("pings", "s:user_id i:ping_id i:epoch_time f:lat f:lon f:accuracy s:country"),
+        "a4_read_admins": show("admins", "s:country s:geom_id s:metro_area_name f:pop f:wealth_index"),
+        "a5_stage_round_trip": show("pings", "s:user_id i:ping_id i:epoch_time f:lat f:lon f:accuracy s:country"),
         "b1_validate": show(
             "select 'lat_range' as rule, (" + outside.format(c="lat", b=90) + ") as violations, (select count(*) from pings)"
             " as pings union all select 'lon_range', (" + outside.format(c="lon", b=180) + "), (select count(*) from pings)"
