@@ -204,8 +204,8 @@ def _settle_compact(users: pa.Array, t, lat, lon, acc, begin, end, params: StopP
 def find_stops(batches: Iterator[pa.RecordBatch], params: StopParams) -> Iterator[pa.RecordBatch]:
     """Pings sorted by (user, time) in, stops out.
 
-    Columns: user_id, epoch_time, lat, lon, accuracy, and ``head``, which marks pings
-    where a separately shuffled unit of a user begins.
+    Columns: user_id, epoch_time, lat, lon, accuracy.  If units of a user were shuffled
+    apart, ``head`` marks the pings where one begins.
     """
     dist = _metres if params.metric == "haversine" else _units
     radius = params.radius_m
@@ -222,7 +222,10 @@ def find_stops(batches: Iterator[pa.RecordBatch], params: StopParams) -> Iterato
             for name, kind in (("epoch_time", np.int64), ("lat", np.float64), ("lon", np.float64),
                                ("accuracy", np.float64))
         )
-        cut = np.array(batch.column("head").to_numpy(zero_copy_only=False), dtype=bool)
+        if "head" in batch.schema.names:
+            cut = np.array(batch.column("head").to_numpy(zero_copy_only=False), dtype=bool)
+        else:
+            cut = np.zeros(n, dtype=bool)
         first_user = users[0].as_py()
         if last is None or last[0] != first_user:
             cut[0] = True

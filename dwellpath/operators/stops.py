@@ -66,24 +66,21 @@ def detect_stops(pings: DataFrame, params: StopParams = StopParams(), on_invalid
         pings = validate_pings(pings, on_invalid)
     pings = pings.select("user_id", "ping_id", "epoch_time", "lat", "lon", "accuracy")
 
-    zero = F.lit(0).cast("long")
-    whole = [zero.alias("unit_t"), zero.alias("unit_p"), F.lit(False).alias("head")]
     heavy = _heavy_users(pings, params)
     if heavy is None:
-        return _walk(pings.select("*", *whole), params)
-    light = pings.join(heavy, "user_id", "left_anti").select("*", *whole)
+        return _walk(pings, ["user_id"], params)
+    light = pings.join(heavy, "user_id", "left_anti").select(
+        "*", F.lit(0).cast("long").alias("unit_t"), F.lit(0).cast("long").alias("unit_p"), F.lit(False).alias("head"))
     units = cut_lineage(_heavy_units(pings.join(heavy, "user_id", "left_semi"), params))
     compact, other = _split_compact(units, params)
-    return _walk(light.unionByName(other), params).unionByName(_stops_of_compact_units(compact, params))
+    walked = _walk(light.unionByName(other), ["user_id", "unit_t", "unit_p"], params)
+    return walked.unionByName(_stops_of_compact_units(compact, params))
 
 
-def _walk(units: DataFrame, params: StopParams) -> DataFrame:
-    """Sort each unit by time and search it for stops."""
-    ordered = (
-        units.repartition("user_id", "unit_t", "unit_p")
-        .sortWithinPartitions("user_id", "unit_t", "unit_p", "epoch_time", "ping_id")
-        .select("user_id", "epoch_time", "lat", "lon", "accuracy", "head")
-    )
+def _walk(pings: DataFrame, unit: list[str], params: StopParams) -> DataFrame:
+    """Bring each unit together, sort it by time and search it for stops; only the columns needed are sent."""
+    sent = ["user_id", "epoch_time", "lat", "lon", "accuracy", *(["head"] if "head" in pings.columns else [])]
+    ordered = pings.repartition(*unit).sortWithinPartitions(*unit, "epoch_time", "ping_id").select(*sent)
     return ordered.mapInArrow(lambda batches: find_stops(batches, params), STOPS)
 
 
