@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from decimal import Decimal
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,12 @@ HEAVY_USER_SLOTS = 1000
 HEAVY_USER_TRACKED = 20_000
 HEAVY_USER_SHARE = 1e-4
 
+# From this many pings a unit that stays in one spot is aggregated instead of walked.
+DENSE_UNIT_PINGS = 100_000
+
+# (epoch_time, ping_id) as one number: twice the range of a long apart per second.
+_ORDER_STEP, _ORDER_TYPE = Decimal(2 ** 65), "decimal(38,0)"
+
 
 def sessionise(pings: DataFrame, max_gap: int = 3600) -> DataFrame:
     """Add ``session_id``, counting from 0 per user; a gap > ``max_gap`` starts a new one.
@@ -59,7 +66,7 @@ def detect_stops(pings: DataFrame, params: StopParams = StopParams(), on_invalid
     One shuffle by user, one sort, one Arrow pass.  Users with more than
     ``params.heavy_user_pings`` pings are cut into independent units first (see
     :func:`_heavy_units`), written once, and spread over many tasks; units that do not
-    leave one spot are settled by aggregation.
+    leave one spot for very long are settled by aggregation.
     """
     require_columns(pings, "user_id", "ping_id", "epoch_time", "lat", "lon", "accuracy")
     if on_invalid != "keep":
@@ -70,11 +77,10 @@ def detect_stops(pings: DataFrame, params: StopParams = StopParams(), on_invalid
     if heavy is None:
         return _walk(pings, ["user_id"], params)
     light = pings.join(heavy, "user_id", "left_anti").select(
-        "*", F.lit(0).cast("long").alias("unit_t"), F.lit(0).cast("long").alias("unit_p"), F.lit(False).alias("head"))
+        "*", F.lit(0).cast(_ORDER_TYPE).alias("unit"), F.lit(False).alias("head"))
     units = cut_lineage(_heavy_units(pings.join(heavy, "user_id", "left_semi"), params))
-    compact, other = _split_compact(units, params)
-    walked = _walk(light.unionByName(other), ["user_id", "unit_t", "unit_p"], params)
-    return walked.unionByName(_stops_of_compact_units(compact, params))
+    dense, other = _route_units(units, params)
+    return _walk(light.unionByName(other), ["user_id", "unit"], params).unionByName(_stops_of_dense_units(dense, params))
 
 
 def _walk(pings: DataFrame, unit: list[str], params: StopParams) -> DataFrame:
@@ -179,25 +185,32 @@ def _heavy_units(pings: DataFrame, params: StopParams) -> DataFrame:
     """Cut each user's pings into units that can be searched for stops on their own.
 
     Neighbouring pings are compared inside (user, time bucket); what crosses a bucket
-    edge comes from one summary row per bucket.  A unit is named by its first ping, so
-    ``(user_id, unit_t, unit_p)`` is a finer shuffle key than the user.
+    edge comes from one summary row per bucket.  ``order`` puts pings in sequence as one
+    number, which keeps the summaries hash aggregations.  A unit is named by the order of
+    its first ping, so ``(user_id, unit)`` is a finer shuffle key than the user.
     """
-    order = ["epoch_time", "ping_id"]
     bucket = ["user_id", "_bucket"]
-    keyed = pings.withColumn("_bucket", F.floor(F.col("epoch_time") / params.heavy_bucket_seconds))
-    inside = Window.partitionBy(*bucket).orderBy(*order)
+    order = F.col("epoch_time").cast("decimal(20,0)") * F.lit(_ORDER_STEP) + F.col("ping_id")
+    keyed = (
+        pings.withColumn("_bucket", F.floor(F.col("epoch_time") / params.heavy_bucket_seconds))
+        .withColumn("order", order.cast(_ORDER_TYPE))
+    )
+    inside = Window.partitionBy(*bucket).orderBy("epoch_time", "ping_id")
     along = Window.partitionBy("user_id").orderBy("_bucket")
     upto = Window.unboundedPreceding
 
+    latest = F.struct("epoch_time", "lat", "lon")
     entering = (
-        keyed.groupBy(*bucket).agg(F.max(F.struct(*order, "lat", "lon")).alias("_last"))
-        .select(*bucket, F.lag("_last").over(along).alias("_entering"))
+        keyed.groupBy(*bucket)
+        .agg(F.max("epoch_time").alias("epoch_time"), F.max_by("lat", "order").alias("lat"),
+             F.max_by("lon", "order").alias("lon"))
+        .select(*bucket, F.lag(latest).over(along).alias("_entering"))
     )
     marked = (
         keyed.join(entering, bucket)
-        .withColumn("_before", F.coalesce(F.lag(F.struct(*order, "lat", "lon")).over(inside), F.col("_entering")))
+        .withColumn("_before", F.coalesce(F.lag(latest).over(inside), F.col("_entering")))
         .withColumn("head", _breaks(params, F.col("_before")))
-        .withColumn("_start", F.when(F.col("head"), F.struct(*order)))
+        .withColumn("_start", F.when(F.col("head"), F.col("order")))
         .drop("_before", "_entering")
     )
     carried = (
@@ -205,9 +218,51 @@ def _heavy_units(pings: DataFrame, params: StopParams) -> DataFrame:
         .select(*bucket, F.max("_latest").over(along.rowsBetween(upto, -1)).alias("_carried"))
     )
     unit = F.coalesce(F.max("_start").over(inside.rowsBetween(upto, 0)), F.col("_carried"))
-    return (
-        marked.join(carried, bucket)
-        .withColumn("_unit", unit)
-        .select("user_id", "ping_id", "epoch_time", "lat", "lon", "accuracy",
-                F.col("_unit.epoch_time").alias("unit_t"), F.col("_unit.ping_id").alias("unit_p"), "head")
+    return marked.join(carried, bucket).select(
+        "user_id", "ping_id", "epoch_time", "lat", "lon", "accuracy", "order", unit.alias("unit"), "head")
+
+
+def _route_units(units: DataFrame, params: StopParams) -> tuple[DataFrame, DataFrame]:
+    """Units to aggregate, with ``last`` marking their last ping, and units to walk.
+
+    Units too small or too short for any stop end here.  Aggregated are those with many
+    pings in a bounding box so small that every ping joins whatever median the pings
+    before it have: such a unit is one stop as a whole.
+    """
+    box = units.groupBy("user_id", "unit").agg(
+        F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"),
+        F.max("lon").alias("east"), F.max("order").alias("latest"), F.count(F.lit(1)).alias("pings"),
+        (F.max("epoch_time") - F.min("epoch_time")).alias("stay"))
+    possible = box.where(F.col("pings") >= params.min_size)
+    if params.min_stay is not None:
+        possible = possible.where(F.col("stay") >= params.min_stay)
+    if params.metric == "euclidean":
+        size = F.hypot(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
+    else:
+        crosses = (F.col("south") <= 0) & (F.col("north") >= 0)
+        widest = F.when(crosses, 0.0).otherwise(F.least(F.abs("south"), F.abs("north")))
+        size = EARTH_RADIUS_M * F.hypot(
+            F.radians(F.col("north") - F.col("south")),
+            F.radians(F.col("east") - F.col("west")) * F.cos(F.radians(widest)))
+    dense = (F.col("pings") >= DENSE_UNIT_PINGS) & (size <= params.radius_m * 0.999)
+    judged = units.join(possible.select("user_id", "unit", "latest", dense.alias("dense")), ["user_id", "unit"])
+    return (judged.where("dense").withColumn("last", F.col("order") == F.col("latest")),
+            judged.where("not dense").drop("dense", "latest", "order"))
+
+
+def _stops_of_dense_units(units: DataFrame, params: StopParams) -> DataFrame:
+    """Stops by aggregation: a device that never moves is counted in parallel, however many pings it has.
+
+    Exact medians are merged as counts of distinct values, combined before the shuffle.
+    """
+    used = F.lit(True) if params.accuracy_includes_last else ~F.col("last")
+    unknown = F.col("accuracy").isNull() | F.isnan("accuracy")
+    stops = units.groupBy("user_id", "unit").agg(
+        F.min("epoch_time").alias("t_start"), F.max("epoch_time").alias("t_end"),
+        F.median("lat").alias("lat"), F.median("lon").alias("lon"),
+        F.median(F.when(used, F.col("accuracy"))).alias("accuracy"),
+        F.count_if(used & unknown).alias("unknown"),
+        F.count(F.lit(1)).alias("total_pings_stop"),
     )
+    return stops.withColumn("median_accuracy", F.when(F.col("unknown") == 0, F.col("accuracy"))).select(
+        *STOPS.fieldNames())

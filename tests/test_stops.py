@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import dwellpath as dp
+from dwellpath.operators import stops
 from dwellpath.operators.stop_pass import RunningMedian
 
 PING = "user_id string, ping_id long, epoch_time long, lat double, lon double, accuracy double"
@@ -103,7 +104,9 @@ def test_running_median_follows_every_prefix(values):
     dp.StopParams(), dp.StopParams.untimed(), dp.StopParams(accuracy_includes_last=True, min_size=3, radius_m=25),
     dp.StopParams(metric="euclidean", radius_m=0.0004), dp.StopParams(min_size=1, min_stay=0),
 ])
-def test_matches_the_rules_on_any_route_and_batch_size(spark, params):
+@pytest.mark.parametrize("dense", [1, 100_000])
+def test_matches_the_rules_on_any_route_and_batch_size(spark, monkeypatch, params, dense):
+    monkeypatch.setattr(stops, "DENSE_UNIT_PINGS", dense)
     rows = wandering(7)
     want = plain_stops(rows, params)
     assert len(want) > 50
@@ -118,7 +121,8 @@ def test_matches_the_rules_on_any_route_and_batch_size(spark, params):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_one_dominant_user_gives_the_same_stops_when_split(spark):
+def test_one_dominant_user_gives_the_same_stops_when_split(spark, monkeypatch):
+    monkeypatch.setattr(stops, "DENSE_UNIT_PINGS", 500)
     rows = wandering(11, users=2, n=1500) + at_spot(range(1_600_000_000, 1_600_600_000, 300), user="still")
     want = plain_stops(rows, dp.StopParams())
     same(stops_of(spark, rows, heavy_user_pings=1000), want)
@@ -152,9 +156,9 @@ def test_even_group_and_accuracy_without_the_last_ping(spark):
 
 
 def test_accuracy_limit_is_strict(spark):
-    stops = dp.detect_stops(pings_of(spark, at_spot([0, 300, 600], [200, 200, 1])))
-    assert dp.drop_inaccurate(stops).count() == 0
-    assert dp.drop_inaccurate(stops, 200.5).count() == 1
+    found = dp.detect_stops(pings_of(spark, at_spot([0, 300, 600], [200, 200, 1])))
+    assert dp.drop_inaccurate(found).count() == 0
+    assert dp.drop_inaccurate(found, 200.5).count() == 1
 
 
 def test_equal_times_are_ordered_by_ping(spark):
