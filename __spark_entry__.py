@@ -84,6 +84,10 @@ class Stages:
         return self._once("pieces", lambda: sample.with_geom_id(
             dp.day_pieces(self.clustered), self.spark, self.sf_dir))
 
+    @property
+    def homes(self) -> DataFrame:
+        return dp.label_home(self.pieces).where(F.col("location_type") == "H")
+
     @property
     def labelled(self) -> DataFrame:
         return self._once("labelled", lambda: dp.cut_lineage(dp.label_home_and_work(self.pieces)))
@@ -168,13 +172,16 @@ _QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "c10_day_split": lambda s: dp.split_at_midnight(s.clustered),
     "c11_time_fields": lambda s: dp.day_pieces(s.clustered),
     "c12_mode_label": lambda s: dp.most_frequent_label(s.clustered, ["user_id"]),
+    "d2_night_pieces": lambda s: dp.night_pieces(s.pieces).select("user_id", "t_start", "cluster_label"),
     "d3_home_evidence": lambda s: dp.home_evidence(s.pieces),
     "d4_daily_home": lambda s: dp.daily_pick(dp.home_evidence(s.pieces)),
     "d5_home_days": lambda s: dp.fill_gaps(dp.daily_pick(dp.home_evidence(s.pieces))).withColumn(
         "observed", F.col("observed").cast("long")),
     "d6_home": lambda s: dp.label_home(s.pieces),
-    "d8_work_evidence": lambda s: dp.work_evidence(
-        s.pieces, dp.label_home(s.pieces).where(F.col("location_type") == "H")),
+    "d7_work_hours": lambda s: dp.work_hour_pieces(s.pieces, s.homes).select("user_id", "t_start", "cluster_label"),
+    "d8_work_evidence": lambda s: dp.work_evidence(s.pieces, s.homes),
+    "d10_work_days": lambda s: dp.fill_gaps(dp.daily_pick(dp.work_evidence(s.pieces, s.homes))).withColumn(
+        "observed", F.col("observed").cast("long")),
     "d11_work": lambda s: dp.label_work(dp.label_home(s.pieces)),
     "d12_labels": lambda s: dp.label_home_and_work(s.pieces),
     "d13_day_share": lambda s: dp.day_share(s.pieces),

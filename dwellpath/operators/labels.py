@@ -31,10 +31,10 @@ def night_pieces(pieces: DataFrame, p: LabelParams = LabelParams()) -> DataFrame
     return pieces.where((F.col("t_start_hour") >= p.end_hour_day) | (F.col("t_end_hour") <= p.start_hour_day))
 
 
-def work_hour_pieces(pieces: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
-    """Weekday pieces inside working hours."""
+def work_hour_pieces(pieces: DataFrame, homes: DataFrame | None = None, p: LabelParams = LabelParams()) -> DataFrame:
+    """Weekday pieces inside working hours, at clusters not in ``homes`` (``user_id``, ``cluster_label``)."""
     inside = (F.col("t_start_hour") >= p.start_hour_day + 4) & (F.col("t_end_hour") <= p.end_hour_day - 6)
-    return pieces.where(inside & ~F.col("weekday").isin(1, 7))
+    return _without(pieces.where(inside & ~F.col("weekday").isin(1, 7)), homes)
 
 
 def home_evidence(pieces: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
@@ -55,22 +55,19 @@ def home_evidence(pieces: DataFrame, p: LabelParams = LabelParams()) -> DataFram
 def work_evidence(pieces: DataFrame, homes: DataFrame | None = None, p: LabelParams = LabelParams()) -> DataFrame:
     """Days on which a cluster qualifies as work, with the rolling mean behind it.
 
-    Clusters in ``homes`` (``user_id``, ``cluster_label``) are left out.  Windows never
-    span clusters, so they can be dropped at the end, where few rows remain.
+    Clusters in ``homes`` are left out.  Windows never span clusters, so they can be
+    dropped at the end, where few rows remain.
     """
     require_columns(pieces, *_KEY, "duration", "total_pings_stop", "t_start_hour", "t_end_hour", "weekday")
     trailing = _trailing_days(p.work_window_days)
     enough = F.count(F.lit(1)).over(trailing) >= p.work_min_days
-    evidence = (
-        _per_day(work_hour_pieces(pieces, p))
+    return _without(
+        _per_day(work_hour_pieces(pieces, p=p))
         .select("*", F.when(enough, F.avg("duration").over(trailing)).alias("duration_average"))
         .where(F.col("duration_average") >= p.work_min_seconds)
-        .drop("_day")
+        .drop("_day"),
+        homes,
     )
-    if homes is None:
-        return evidence
-    known = homes.select("user_id", "cluster_label").distinct()
-    return evidence.join(known, ["user_id", "cluster_label"], "left_anti")
 
 
 def daily_pick(evidence: DataFrame) -> DataFrame:
@@ -169,6 +166,12 @@ def start_hour_histogram(labelled: DataFrame) -> DataFrame:
     )
 
 
+def _without(rows: DataFrame, homes: DataFrame | None) -> DataFrame:
+    if homes is None:
+        return rows
+    return rows.join(homes.select("user_id", "cluster_label").distinct(), ["user_id", "cluster_label"], "left_anti")
+
+
 def _per_day(pieces: DataFrame) -> DataFrame:
     """Sums per (user, cluster, day), combined before the shuffle."""
     return (

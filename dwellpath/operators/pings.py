@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,18 +49,19 @@ def validation_report(pings: DataFrame) -> DataFrame:
 
 
 def validate_pings(pings: DataFrame, mode: str = "fail") -> DataFrame:
-    """B1: keep only valid coordinates (``drop``) or stop the job at a bad one (``fail``).
+    """B1: keep only valid pings (``drop``) or stop the job at an invalid one (``fail``).
 
-    Both are plain expressions evaluated during the scan.
+    Coordinates must lie strictly inside their range; user and time must be known.  Both
+    modes are plain expressions evaluated during the scan.
     """
     require_columns(pings, "lat", "lon")
-    valid = _inside("lat", 90) & _inside("lon", 180)
+    known = [name for name in ("user_id", "epoch_time") if name in pings.columns]
+    valid = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in known], _inside("lat", 90) & _inside("lon", 180))
     if mode == "drop":
         return pings.where(valid)
     if mode == "fail":
-        message = F.concat(F.lit("coordinates out of range: "),
-                           F.coalesce(F.col("lat").cast("string"), F.lit("null")), F.lit(", "),
-                           F.coalesce(F.col("lon").cast("string"), F.lit("null")))
+        shown = [F.coalesce(F.col(name).cast("string"), F.lit("null")) for name in (*known, "lat", "lon")]
+        message = F.concat(F.lit("invalid ping: "), F.concat_ws(", ", *shown))
         checked = F.when(valid, F.col("lat")).otherwise(F.raise_error(message).cast("double"))
         return pings.withColumn("lat", checked)
     raise ValueError(f"mode must be 'fail' or 'drop', not {mode!r}")

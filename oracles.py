@@ -547,10 +547,17 @@ def oracle_sql() -> dict[str, str]:
             "select user_id, cluster_label as most_frequent_label from (select user_id, cluster_label, row_number() over"
             " (partition by user_id order by count(*) desc, cluster_label) as r from clustered group by 1, 2) where r = 1",
             "s:user_id i:most_frequent_label"),
+        "d2_night_pieces": show(
+            "select * from pieces where t_start_hour >= 23 or t_end_hour <= 5", "s:user_id i:t_start i:cluster_label"),
         "d3_home_evidence": show("home_evidence", f"{_EVIDENCE} i:days_count i:duration_cum i:total_pings_cum"),
         "d4_daily_home": show("home_picks", "s:user_id d:date_trunc i:cluster_label"),
         "d5_home_days": show("home_filled", "s:user_id d:date_trunc i:cluster_label i:observed"),
         "d6_home": show("homes", _LABELLED),
+        "d7_work_hours": show(
+            "select * from homes h where t_start_hour >= 9 and t_end_hour <= 17 and weekday not in (1, 7) and not exists"
+            " (select 1 from homes o where o.user_id = h.user_id and o.cluster_label = h.cluster_label"
+            " and o.location_type = 'H')", "s:user_id i:t_start i:cluster_label"),
+        "d10_work_days": show("work_filled", "s:user_id d:date_trunc i:cluster_label i:observed"),
         "d8_work_evidence": show("work_evidence", f"{_EVIDENCE} f:duration_average"),
         "d11_work": show("labelled", _LABELLED),
         "d12_labels": show("labelled", _LABELLED),

@@ -186,8 +186,10 @@ def test_invalid_coordinates(spark):
     report = {row.rule: row.violations for row in dp.validation_report(pings).collect()}
     assert report == {"lat_range": 2, "lon_range": 1, "time_order": 1}
     assert dp.validate_pings(pings, "drop").count() == 1
-    with pytest.raises(Exception, match="coordinates out of range"):
+    with pytest.raises(Exception, match="invalid ping: u"):
         dp.detect_stops(pings).collect()
+    with pytest.raises(Exception, match="invalid ping: null, 5"):
+        dp.detect_stops(pings_of(spark, [(None, 0, 5, 1.0, 1.0, 1.0)])).collect()
     with pytest.raises(ValueError):
         dp.validate_pings(pings, "other")
 
