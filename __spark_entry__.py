@@ -115,8 +115,8 @@ class Stages:
 
     @property
     def results(self) -> DataFrame:
-        return self._once("results", lambda: dp.cut_lineage(dp.indicators_of(
-            self.labelled, self.admins, BINS, LABELS, COUNTRY, ACTIVITY)))
+        return self._once("results", lambda: dp.indicators_of(
+            self.labelled, self.admins, BINS, LABELS, COUNTRY, ACTIVITY))
 
     @property
     def active(self) -> DataFrame:
@@ -128,11 +128,8 @@ class Stages:
 
     @property
     def city(self) -> tuple[DataFrame, DataFrame]:
-        if "city" not in self._made:
-            counts, users = dp.city_migration(self.labelled, self.budgets, self.admins, BINS, LABELS, COUNTRY, ACTIVITY)
-            self._made["city"] = dp.cut_lineage(counts)
-            self._made["city_users"] = dp.cut_lineage(users)
-        return self._made["city"], self._made["city_users"]
+        return self._once("city", lambda: dp.city_migration(
+            self.labelled, self.budgets, self.admins, BINS, LABELS, COUNTRY, ACTIVITY))
 
     @property
     def net_rural_wide(self) -> DataFrame:

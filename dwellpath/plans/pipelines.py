@@ -44,31 +44,37 @@ def indicators_of(labelled: DataFrame, admins: DataFrame, bins: Sequence[float],
                   home_work_measures: Mapping[str, str] = HOME_WORK_MEASURES) -> DataFrame:
     """Entry 2: labelled pieces to the long table of weighted indicators.
 
-    Budgets and metrics feed several branches, so each is written once.
+    Budgets and metrics feed several branches, and the result is a small table that later
+    steps read more than once, so each is written.
     """
     budgets = cut_lineage(time_budgets(labelled, label_params.start_hour_day, label_params.end_hour_day))
     metrics = cut_lineage(metrics_with_admins(labelled, budgets, activity))
     wealth = wealth_percentile(admins)
-    return indicator_results(weight_by_home(metrics, wealth, bins, labels),
-                             weight_by_home_and_work(metrics, wealth, bins, labels),
-                             home_measures, home_work_measures, state)
+    return cut_lineage(indicator_results(
+        weight_by_home(metrics, wealth, bins, labels), weight_by_home_and_work(metrics, wealth, bins, labels),
+        home_measures, home_work_measures, state))
 
 
 def city_migration(labelled: DataFrame, budgets: DataFrame, admins: DataFrame, bins: Sequence[float],
                    labels: Sequence[str], country: str, activity: ActivityParams = ActivityParams(),
                    seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """H6: daily mover counts of the main metro area's residents, and who they are."""
-    active = active_users(budgets, activity)
-    units = home_units(labelled, admins, active, bins, labels, country)
-    moves = home_moves(add_urban_rural(labelled, admins), seed)
-    return mover_counts(moves, units, country), user_info(units, active, country)
+    """H6: daily mover counts of the main metro area's residents, and who they are.
+
+    Both are small tables that the series built on them read more than once, so they are
+    written.
+    """
+    active = cut_lineage(active_users(budgets, activity))
+    units = cut_lineage(home_units(labelled, admins, active, bins, labels, country))
+    residents = labelled.join(units.select("user_id"), "user_id", "left_semi")
+    moves = home_moves(add_urban_rural(residents, admins), seed)
+    return cut_lineage(mover_counts(moves, units, country)), user_info(units, active, country)
 
 
 def country_migration(labelled: DataFrame, budgets: DataFrame, admins: DataFrame, bins: Sequence[float],
                       labels: Sequence[str], country: str, activity: ActivityParams = ActivityParams(level=0.2),
                       seed: int = 0) -> DataFrame:
     """H7: the same counts for residents who have a home stop in a rural unit."""
-    active = active_users(budgets, activity)
+    active = cut_lineage(active_users(budgets, activity))
     residents = metro_residents(labelled, main_metro_units(admins, bins, labels), active)
     rural = urban_rural(admins).where(F.col("urban_rural") == "rural")
     seen_rural = (
@@ -76,4 +82,4 @@ def country_migration(labelled: DataFrame, budgets: DataFrame, admins: DataFrame
     )
     units = home_units(residents, admins, active, bins, labels, country)
     moves = home_moves(add_urban_rural(residents.join(seen_rural, "user_id", "left_semi"), admins), seed)
-    return mover_counts(moves, units, country)
+    return cut_lineage(mover_counts(moves, units, country))
