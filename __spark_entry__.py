@@ -237,6 +237,9 @@ _QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
 }
 
 
+MOBILITY_QUERIES = frozenset(_QUERIES)
+
+
 def _folder(spark: SparkSession) -> str:
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/exchange/{uuid.uuid4().hex}"
@@ -271,12 +274,25 @@ def _tidy(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+def _training_text() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL for training text; none if that subpackage or its pipeline is not there."""
+    try:
+        import corpus_pipeline
+        from dwellpath.llm import queries as llm
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "dwellpath.llm", "dwellpath.llm.queries"):
+            raise
+        return {}, {}
+    pipeline_sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**llm.QUERIES, "pipeline": corpus_pipeline.run}, {**llm.ORACLE_SQL, **pipeline_sql}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(make: Callable[[Stages], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: _tidy(make(Stages.of(spark, sf_dir)))
 
-    return {name: bind(make) for name, make in _QUERIES.items()}
+    return {name: bind(make) for name, make in _QUERIES.items()} | _training_text()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | _training_text()[1]

@@ -8,7 +8,8 @@ import __spark_entry__ as entry
 from tests.compare import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in entry.MOBILITY_QUERIES}
+ORACLES = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(ORACLES)
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
