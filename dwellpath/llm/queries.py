@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellpath.llm import bpe, chat, decontaminate, imatch, lines, secrets, warc
+from dwellpath.llm import bpe, chat, decontaminate, imatch, lines, minhash, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_forest": minhash.op1_minhash_forest,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat_windows": chat.op5_chat_windows,
     "op6_imatch": imatch.op6_imatch,
     "op7_decontaminate": decontaminate.op7_decontaminate,
