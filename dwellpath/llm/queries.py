@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellpath.llm import bpe, chat, decontaminate, imatch, lines, minhash, secrets, toxicity, warc
+from dwellpath.llm import bpe, chat, decontaminate, imatch, lines, minhash, mixing, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_forest": minhash.op1_minhash_forest,
+    "op2_context_mixing": mixing.op2_context_mixing,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat_windows": chat.op5_chat_windows,
