@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dwellpath.llm import bpe, decontaminate, lines
+from dwellpath.llm import bpe, decontaminate, lines, minhash, toxicity as tox
 from dwellpath.llm.common import shared_path, table
-from pyspark.sql import functions as F
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at a half or more go."""
+    return tox.drop_toxic(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines shared by five or more documents stay in one of them; ``n_chars`` follows the text."""
     kept = lines.drop_shared_lines(docs)
@@ -21,6 +26,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                          else F.col(name) for name in docs.columns])
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) one document stays."""
+    return minhash.drop_near_duplicates(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more are benchmark words go."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -32,7 +42,9 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("decontamination", decontamination),
     ("byte_bpe", byte_bpe),
 ]

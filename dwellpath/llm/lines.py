@@ -50,17 +50,18 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     """
     drop = free_name(docs, "_drop")
     lists = shared_lines(docs.select("doc_id", "text"), min_chars, min_docs).select(
-        F.col("doc_id").alias("_lost_by"), F.col("drop").alias(drop))
-    marked = docs.join(lists, docs["doc_id"].eqNullSafe(F.col("_lost_by")), "left")
+        F.col("doc_id").alias(loser := free_name(docs, "_lost_by")), F.col("drop").alias(drop))
+    marked = docs.join(lists, docs["doc_id"].eqNullSafe(F.col(loser)), "left")
     lines = F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)
     kept = F.when(F.col(drop).isNull(), lines).otherwise(F.transform(F.filter(
         F.arrays_zip(lines.alias("line"), line_hashes(docs["text"], min_chars).alias("hash")),
         lambda row: row["hash"].isNull() | ~F.array_contains(F.col(drop), row["hash"])), lambda row: row["line"]))
     names = [free_name(docs, name) for name in ("n_lines", "n_dropped", "kept_text")]
+    left = free_name(docs, "_kept")
     return (
-        marked.select(*[docs[name] for name in docs.columns], F.size(lines).cast("long").alias(names[0]), kept.alias("_kept"))
-        .select(*docs.columns, names[0], (F.col(names[0]) - F.size("_kept")).alias(names[1]),
-                F.array_join("_kept", "\n").alias(names[2]))
+        marked.select(*[docs[name] for name in docs.columns], F.size(lines).cast("long").alias(names[0]), kept.alias(left))
+        .select(*docs.columns, names[0], (F.col(names[0]) - F.size(left)).alias(names[1]),
+                F.array_join(left, "\n").alias(names[2]))
     )
 
 
