@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections import defaultdict
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,9 @@ from pyspark.sql import types as T
 from dwellpath.llm.common import documents, free_name, pieces_of
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
-CACHED_PIECES = 400_000
+# A block's texts, and the pieces remembered from earlier blocks of a task.
+BLOCK_BYTES = 16 << 20
+CACHED_PIECES = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,88 +38,115 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    """Encodes distinct pieces, given the rank of every token."""
+    """Encodes distinct pieces, given the rank of every token (below 2 ** 16)."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.bytes = [ranks[bytes([b])] for b in range(256)]
-
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """Token ids of each piece."""
-        out: list[list[int] | None] = [None] * len(pieces)
-        rest = []
-        for at, piece in enumerate(pieces):
-            whole = self.ranks.get(piece)
-            if whole is None:
-                rest.append(at)
-            else:
-                out[at] = [whole]
-        for at, ids in zip(rest, self._replay([pieces[at] for at in rest])):
-            out[at] = ids
-        return out
-
-    def _replay(self, pieces: list[bytes]) -> list[list[int]]:
-        symbols, starts = [-1], []  # -1 stands between pieces
-        for piece in pieces:
-            starts.append(len(symbols))
-            symbols.extend(map(self.bytes.__getitem__, piece))
-            symbols.append(-1)
-        following, preceding = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
-        places: defaultdict[tuple[int, int], list[int]] = defaultdict(list)
-        for at, pair in enumerate(zip(symbols, symbols[1:])):
-            places[pair].append(at)
-        tokens, ranks = self.tokens, self.ranks
-        rank_of: dict[tuple[int, int], int | None] = {}
-        pairs_of: defaultdict[int, list[tuple[int, int]]] = defaultdict(list)  # several pairs may give one token
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        merges = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    merges[left << 16 | right] = rank
+        self.pairs = np.array(sorted(merges), np.int64)
+        self.pair_ranks = np.array([merges[pair] for pair in self.pairs.tolist()], np.int32)
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all pieces in one array, and where each piece's begin (one more at the end)."""
+        whole = np.array([self.ranks.get(piece, -1) for piece in pieces], np.int32)
+        rest = np.flatnonzero(whole < 0)
+        ids, counts = self._replay([pieces[at] for at in rest.tolist()])
+        lengths = np.ones(len(pieces), np.int64)
+        lengths[rest] = counts
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        out = np.empty(int(starts[-1]), np.int32)
+        direct = np.flatnonzero(whole >= 0)
+        out[starts[direct]] = whole[direct]
+        taken = np.repeat(whole < 0, lengths)
+        out[taken] = ids
+        return out, starts
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair of symbols, -1 where there is none."""
+        code = left.astype(np.int64) << 16 | right
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == code) & (left >= 0) & (right >= 0), self.pair_ranks[at], -1)
+
+    def _replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Merge in rank order: ids of all pieces in a row, and how many each has.
+
+        Of several places of one rank in a piece the leftmost merges first; should that
+        create a pair of a lower rank, the lower one is merged before the other places.
+        """
+        if not pieces:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        sizes = np.array([len(piece) for piece in pieces])
+        begins = np.cumsum(sizes + 1) - sizes  # one free place before each piece
+        total = int(sizes.sum()) + len(pieces) + 1
+        symbol = np.full(total, -1, np.int32)  # -1 stands between pieces
+        inside = np.ones(total, bool)
+        inside[begins - 1] = inside[-1] = False
+        symbol[inside] = self.bytes[raw]
+        word = np.cumsum(~inside)
+        following, preceding = np.arange(1, total + 1), np.arange(-1, total - 1)
+        rank_at = np.append(self._rank(symbol[:-1], symbol[1:]), np.int32(-1))  # of the pair that begins there
+
+        # the inverted index: rank of a pair -> its positions, in parts
+        index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
 
-        def open_pair(pair: tuple[int, int]) -> int | None:
-            """Note a pair that has come up; its rank, if it can be merged."""
-            if pair not in rank_of:
-                rank_of[pair] = ranks.get(tokens[pair[0]] + tokens[pair[1]]) if pair[0] >= 0 <= pair[1] else None
-            rank = rank_of[pair]
-            if rank is not None and pair not in places:
-                if not pairs_of[rank]:
+        def enter(positions: np.ndarray, ranks: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            positions, ranks = positions[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for rank, part in zip(ranks[np.append(0, cuts)].tolist(), np.split(positions, cuts)):
+                if rank not in index:
+                    index[rank] = []
                     heapq.heappush(queue, rank)
-                pairs_of[rank].append(pair)
-            return rank
+                index[rank].append(part)
 
-        found, places = places, defaultdict(list)
-        for pair, positions in found.items():
-            if open_pair(pair) is not None:
-                places[pair] = positions
+        first = np.flatnonzero(rank_at >= 0)
+        if len(first):
+            enter(first, rank_at[first])
         while queue:
             rank = heapq.heappop(queue)
-            positions = sorted(at for pair in pairs_of.pop(rank) for at in places.pop(pair))
-            for number, at in enumerate(positions):  # leftmost first
+            parts = index.pop(rank)
+            at = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+            at = at[rank_at[at] == rank]  # the others have merged with another neighbour
+            if not len(at):
+                continue
+            right = following[at]
+            if len(at) > 1 and (chained := right[:-1] == at[1:]).any():
+                # in a run of overlapping places every second one merges
+                begin = np.append(0, np.flatnonzero(~chained) + 1)
+                offset = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+                at = at[offset % 2 == 0]
                 right = following[at]
-                if symbols[at] < 0 or rank_of.get((symbols[at], symbols[right])) != rank:
-                    continue  # one of the two has been merged with another neighbour
-                symbols[at], symbols[right] = rank, -2  # -2 is absorbed
-                after, before = following[right], preceding[at]
-                following[at], preceding[after] = after, at
-                lower = False
-                for pair, where in (((symbols[before], rank), before), ((rank, symbols[after]), at)):
-                    created = open_pair(pair)
-                    if created is not None:
-                        places[pair].append(where)
-                        lower |= created < rank
-                if lower:  # the new pair comes before what is left of this rank
-                    for rest in positions[number + 1:]:
-                        pair = (symbols[rest], symbols[following[rest]])
-                        if rank_of.get(pair) == rank:
-                            open_pair(pair)
-                            places[pair].append(rest)
-                    break
-        results = []
-        for at in starts:
-            ids = []
-            while symbols[at] != -1:
-                ids.append(symbols[at])
-                at = following[at]
-            results.append(ids)
-        return results
+            merged = np.full(len(at), rank, np.int32)
+            before, after = preceding[at], following[right]
+            left_rank, right_rank = self._rank(symbol[before], merged), self._rank(merged, symbol[after])
+            if len(at) > 1 and (((left_rank >= 0) & (left_rank < rank)) | ((right_rank >= 0) & (right_rank < rank))).any():
+                leftmost = np.append(True, word[at[1:]] != word[at[:-1]])
+                if not leftmost.all():
+                    later = at[~leftmost]
+                    at, right, merged, before, after, left_rank, right_rank = (
+                        part[leftmost] for part in (at, right, merged, before, after, left_rank, right_rank))
+                    enter(later, np.full(len(later), rank, np.int32))
+            symbol[at], symbol[right] = rank, -2  # -2 is absorbed
+            rank_at[right] = -1
+            following[at], preceding[after] = after, at
+            if len(at) > 1 and (after[:-1] == at[1:]).any():  # merged neighbours meet each other
+                before, after = preceding[at], following[at]
+                left_rank, right_rank = self._rank(symbol[before], merged), self._rank(merged, symbol[after])
+            rank_at[before], rank_at[at] = left_rank, right_rank
+            positions, ranks = np.concatenate([before, at]), np.concatenate([left_rank, right_rank])
+            able = ranks >= 0
+            if able.any():
+                enter(positions[able], ranks[able])
+        kept = symbol >= 0
+        return symbol[kept], np.bincount(word[kept] - 1, minlength=len(pieces))
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN, text: str = "text",
@@ -134,22 +164,28 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         replay, find = MergeReplay(read_ranks(vocabulary)), regex.compile(pattern).findall
-        known: dict[str, list[int]] = {}
-        for batch in pieces_of(batches, rows=4096):
-            cut = [find(value) if value else [] for value in batch.column(text_at).to_pylist()]
-            new = set().union(*cut).difference(known)
-            if len(known) + len(new) > CACHED_PIECES:
-                known.clear()
-                new = set().union(*cut)
-            new = list(new)
-            known.update(zip(new, replay.encode([piece.encode() for piece in new])))
-            values, offsets = [], [0]
-            for pieces in cut:
-                for piece in pieces:
-                    values += known[piece]
-                offsets.append(len(values))
-            found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=names)
+        known: dict[str, int] = {}
+        ids, starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        for batch in pieces_of(batches, rows=1 << 14, size=BLOCK_BYTES):
+            if len(known) > CACHED_PIECES:
+                known, ids, starts = {}, ids[:0], starts[:1]
+            had, rows = len(known), []
+            for value in batch.column(text_at).to_pylist():
+                rows.append(np.array([known.setdefault(piece, len(known)) for piece in find(value)] if value else [], np.int64))
+            new = list(itertools.islice(known, had, None))
+            new_ids, new_starts = replay.encode([piece.encode() for piece in new])
+            ids, starts = np.concatenate([ids, new_ids]), np.concatenate([starts, starts[-1] + new_starts[1:]])
+            for some in range(0, len(rows), 256):
+                owned = rows[some:some + 256]
+                pieces = np.concatenate(owned)
+                lengths = starts[pieces + 1] - starts[pieces]
+                ends = np.cumsum(lengths)
+                offset = np.repeat(starts[pieces] - ends + lengths, lengths)
+                values = ids[offset + np.arange(len(offset))]
+                bounds = np.append(0, ends)[np.append(0, np.cumsum([len(row) for row in owned]))]
+                found = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+                part = batch.slice(some, len(owned))
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=names)
 
     return docs.mapInArrow(run, schema), column
 
