@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +23,8 @@ def validation_report(pings: DataFrame) -> DataFrame:
 
     ``time_order`` counts pings without a whole second to their predecessor.  Epochs
     are whole seconds, so after sorting these are exactly the repeats of a
-    (user, second); no window over a user is needed.
+    (user, second); no window over a user is needed.  ``user_known`` and ``time_known``
+    count pings without a user or a time, which have no order.
     """
     require_columns(pings, "user_id", "epoch_time", "lat", "lon")
     report = (
@@ -36,14 +38,16 @@ def validation_report(pings: DataFrame) -> DataFrame:
             F.sum("rows").alias("pings"),
             F.sum("bad_lat").alias("lat_range"),
             F.sum("bad_lon").alias("lon_range"),
-            F.sum(F.col("rows") - 1).alias("time_order"),
+            F.sum(F.when(F.col("user_id").isNotNull() & F.col("epoch_time").isNotNull(), F.col("rows") - 1)).alias("time_order"),
+            F.sum(F.when(F.col("user_id").isNull(), F.col("rows"))).alias("user_known"),
+            F.sum(F.when(F.col("epoch_time").isNull(), F.col("rows"))).alias("time_known"),
         )
     )
     return report.select(
         F.explode(F.array(*[
             F.struct(F.lit(rule).alias("rule"), F.coalesce(F.col(rule), F.lit(0)).alias("violations"),
                      F.coalesce(F.col("pings"), F.lit(0)).alias("pings"))
-            for rule in ("lat_range", "lon_range", "time_order")
+            for rule in ("lat_range", "lon_range", "time_order", "user_known", "time_known")
         ])).alias("r")
     ).select("r.*")
 
@@ -52,7 +56,8 @@ def validate_pings(pings: DataFrame, mode: str = "fail") -> DataFrame:
     """B1: keep only valid pings (``drop``) or stop the job at an invalid one (``fail``).
 
     Coordinates must lie strictly inside their range; user and time must be known.  Both
-    modes are plain expressions evaluated during the scan.
+    modes are filters evaluated during the scan, so neither is lost when a plan reads no
+    coordinates.
     """
     require_columns(pings, "lat", "lon")
     known = [name for name in ("user_id", "epoch_time") if name in pings.columns]
@@ -62,8 +67,7 @@ def validate_pings(pings: DataFrame, mode: str = "fail") -> DataFrame:
     if mode == "fail":
         shown = [F.coalesce(F.col(name).cast("string"), F.lit("null")) for name in (*known, "lat", "lon")]
         message = F.concat(F.lit("invalid ping: "), F.concat_ws(", ", *shown))
-        checked = F.when(valid, F.col("lat")).otherwise(F.raise_error(message).cast("double"))
-        return pings.withColumn("lat", checked)
+        return pings.where(valid | F.raise_error(message).cast("boolean"))
     raise ValueError(f"mode must be 'fail' or 'drop', not {mode!r}")
 
 
@@ -87,19 +91,22 @@ def localise(pings: DataFrame, zones: DataFrame) -> DataFrame:
 def most_observed_users(pings: DataFrame) -> DataFrame:
     """The user with most pings per country, and the place of their first ping.
 
-    Two aggregations, both combined before the shuffle; ties go to the lower id.
+    Pings are counted per user, one user per country is chosen from the counts, and only
+    that user's pings are looked at for the first; ties go to the lower id.  Aggregations
+    are on plain values, so nothing is sorted.
     """
     require_columns(pings, "country", "user_id", "epoch_time", "ping_id", "lat", "lon")
-    per_user = pings.groupBy("country", "user_id").agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.min(F.struct("epoch_time", "ping_id", "lat", "lon")).alias("first"),
-    )
-    return (
-        per_user.groupBy("country")
-        .agg(F.min(F.struct((-F.col("observations")).alias("rank"), "user_id", "observations", "first")).alias("top"))
-        .select("country", "top.user_id", "top.observations", F.col("top.first.lat").alias("lat"),
-                F.col("top.first.lon").alias("lon"))
-    )
+    counted = pings.groupBy("country", "user_id").agg(F.count(F.lit(1)).alias("observations"))
+    most = counted.groupBy("country").agg(F.max("observations").alias("observations"))
+    same = F.col("c.country").eqNullSafe(F.col("m.country")) & (F.col("c.observations") == F.col("m.observations"))
+    top = counted.alias("c").join(most.alias("m"), same, "left_semi").groupBy("country", "observations").agg(
+        F.min("user_id").alias("user_id"))
+    mine = F.col("p.country").eqNullSafe(F.col("t.country")) & F.col("p.user_id").eqNullSafe(F.col("t.user_id"))
+    theirs = pings.alias("p").join(top.alias("t"), mine).select("t.country", "t.user_id", "observations", *[
+        F.col(f"p.{name}") for name in ("epoch_time", "ping_id", "lat", "lon")])
+    order = F.col("epoch_time").cast("decimal(20,0)") * F.lit(Decimal(2 ** 65)) + F.col("ping_id")
+    first = {name: F.min_by(name, order.cast("decimal(38,0)")).alias(name) for name in ("lat", "lon")}
+    return theirs.groupBy("country", "user_id", "observations").agg(first["lat"], first["lon"])
 
 
 def hourly_share(pings: DataFrame) -> DataFrame:

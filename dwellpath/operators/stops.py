@@ -44,20 +44,23 @@ def sessionise(pings: DataFrame, max_gap: int = 3600) -> DataFrame:
     A time bucket no wider than ``max_gap`` cannot contain such a gap, so sessions are
     decided between buckets: the pings are first reduced to one row per (user, bucket),
     combined before the shuffle, and only those rows are ordered along a user.  A user
-    with a large part of all pings is thus never sorted in one task.
+    with a large part of all pings is thus never sorted in one task.  A ping without time
+    has no session (NULL); pings without a user are sessions of one unknown user.
     """
     require_columns(pings, "user_id", "epoch_time")
     keyed = pings.withColumn("_bucket", F.floor(F.col("epoch_time") / max(max_gap, 1)))
     along = Window.partitionBy("user_id").orderBy("_bucket")
     sessions = (
-        keyed.groupBy("user_id", "_bucket")
+        keyed.where(F.col("epoch_time").isNotNull()).groupBy("user_id", "_bucket")
         .agg(F.min("epoch_time").alias("_first"), F.max("epoch_time").alias("_last"))
         .withColumn("_new", F.coalesce(F.col("_first") - F.lag("_last").over(along) > max_gap, F.lit(False)))
         .select("user_id", "_bucket",
                 F.sum(F.col("_new").cast("long")).over(along.rowsBetween(Window.unboundedPreceding, 0))
                 .alias("session_id"))
     )
-    return keyed.join(sessions, ["user_id", "_bucket"]).drop("_bucket")
+    sessions = sessions.select(F.col("user_id").alias("_user"), F.col("_bucket").alias("_when"), "session_id")
+    same = F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_bucket") == F.col("_when"))
+    return keyed.join(sessions, same, "left").select(*pings.columns, "session_id")
 
 
 def detect_stops(pings: DataFrame, params: StopParams = StopParams(), on_invalid: str = "fail") -> DataFrame:
@@ -137,50 +140,6 @@ def _breaks(params: StopParams, before: Column) -> Column:
     return before.isNull() | far
 
 
-def _split_compact(units: DataFrame, params: StopParams) -> tuple[DataFrame, DataFrame]:
-    """Units that surely are one stop as a whole, with ``last`` marking their last ping, and the others.
-
-    A unit is compact when the bounding box of its pings is so small that every ping
-    joins whatever median the pings before it have.
-    """
-    key = ["user_id", "unit_t", "unit_p"]
-    box = units.groupBy(*key).agg(
-        F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"),
-        F.max("lon").alias("east"), F.max(F.struct("epoch_time", "ping_id")).alias("latest"))
-    if params.metric == "euclidean":
-        size = F.hypot(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
-    else:
-        crosses = (F.col("south") <= 0) & (F.col("north") >= 0)
-        widest = F.when(crosses, 0.0).otherwise(F.least(F.abs("south"), F.abs("north")))
-        size = EARTH_RADIUS_M * F.hypot(
-            F.radians(F.col("north") - F.col("south")),
-            F.radians(F.col("east") - F.col("west")) * F.cos(F.radians(widest)))
-    judged = box.select(*key, "latest", (size <= params.radius_m * 0.999).alias("compact"))
-    joined = units.join(judged, key).withColumn("last", F.struct("epoch_time", "ping_id") == F.col("latest"))
-    return (joined.where("compact").drop("compact", "latest", "head"),
-            joined.where("not compact").drop("compact", "latest", "last"))
-
-
-def _stops_of_compact_units(units: DataFrame, params: StopParams) -> DataFrame:
-    """Stops by aggregation: a device that never moves is counted in parallel, however many pings it has.
-
-    Exact medians are merged as counts of distinct values, combined before the shuffle.
-    """
-    used = F.lit(True) if params.accuracy_includes_last else ~F.col("last")
-    unknown = F.col("accuracy").isNull() | F.isnan("accuracy")
-    stops = units.groupBy("user_id", "unit_t", "unit_p").agg(
-        F.min("epoch_time").alias("t_start"), F.max("epoch_time").alias("t_end"),
-        F.median("lat").alias("lat"), F.median("lon").alias("lon"),
-        F.median(F.when(used, F.col("accuracy"))).alias("accuracy"),
-        F.count_if(used & unknown).alias("unknown"),
-        F.count(F.lit(1)).alias("total_pings_stop"),
-    ).where(F.col("total_pings_stop") >= params.min_size)
-    if params.min_stay is not None:
-        stops = stops.where(F.col("t_end") - F.col("t_start") >= params.min_stay)
-    return stops.withColumn("median_accuracy", F.when(F.col("unknown") == 0, F.col("accuracy"))).select(
-        *STOPS.fieldNames())
-
-
 def _heavy_units(pings: DataFrame, params: StopParams) -> DataFrame:
     """Cut each user's pings into units that can be searched for stops on their own.
 

@@ -52,6 +52,11 @@ LABELLED_PIECES = T.StructType([
     T.StructField("work_label", _L, True),
 ])
 
+BUDGETS = _struct(
+    ("user_id", _S), ("date_trunc", T.DateType()), ("day_night", _S), ("H", _D), ("W", _D), ("O", _D),
+    ("absolute_H", _L), ("absolute_W", _L), ("absolute_O", _L),
+)
+
 ADMINS = _struct(
     ("country", _S), ("geom_id", _S), ("metro_area_name", _S), ("pop", _D), ("wealth_index", _D),
 )

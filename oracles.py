@@ -517,6 +517,8 @@ def oracle_sql() -> dict[str, str]:
             " as pings union all select 'lon_range', (" + outside.format(c="lon", b=180) + "), (select count(*) from pings)"
             " union all select 'time_order', (select count(*) from (select epoch_time - lag(epoch_time) over"
             " (partition by user_id order by epoch_time, ping_id) as gap from pings) where gap < 1),"
+            " (select count(*) from pings) union all select 'user_known', (select count(*) from pings where user_id is null),"
+            " (select count(*) from pings) union all select 'time_known', (select count(*) from pings where epoch_time is null),"
             " (select count(*) from pings)", "s:rule i:violations i:pings"),
         "b1_drop_invalid": show(
             "select * replace (lat * 3 as lat, lon * 2 as lon) from pings where lat * 3 > -90 and lat * 3 < 90"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import types as T
 
 import dwellpath as dp
 from dwellpath import schema
@@ -42,6 +43,15 @@ def test_stages_are_found_by_their_run_and_pruned_by_country(spark, tmp_path):
         dp.read_stage(spark, str(tmp_path), "durations", {"hw": 28, "ww": 28})
 
 
+def test_countries_written_one_by_one_stay(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "BR", 1), ("b", "CO", 2)], "user_id string, country string, n long")
+    for country in ("BR", "CO", "BR"):
+        dp.write_stage(rows.where(rows.country == country), str(tmp_path), "durations", {})
+    typed = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("n", T.LongType())])
+    back = dp.read_stage(spark, str(tmp_path), "durations", {}, schema=typed)
+    assert sorted(map(tuple, back.collect())) == [("a", 1, "BR"), ("b", 2, "CO")]
+
+
 PING = "user_id string, ping_id long, country string, epoch_time long, lat double, lon double"
 
 
@@ -64,6 +74,12 @@ def test_most_observed_user_and_hourly_share(spark):
         ("BR", 1): 75.0, ("BR", 2): 25.0, ("MX", 0): 100.0}
 
 
+def test_counting_observations_sorts_no_pings(spark):
+    pings = spark.createDataFrame([], PING)
+    plan = dp.most_observed_users(pings)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") == 2  # choosing among the few users with the highest count
+
+
 def test_a_session_in_another_zone_is_refused(spark):
     pings = spark.createDataFrame([], PING)
     spark.conf.set("spark.sql.session.timeZone", "Asia/Manila")

@@ -184,7 +184,7 @@ def test_invalid_coordinates(spark):
             ("u", 3, 900, None, 0.0, 1.0)]
     pings = pings_of(spark, rows)
     report = {row.rule: row.violations for row in dp.validation_report(pings).collect()}
-    assert report == {"lat_range": 2, "lon_range": 1, "time_order": 1}
+    assert report == {"lat_range": 2, "lon_range": 1, "time_order": 1, "user_known": 0, "time_known": 0}
     assert dp.validate_pings(pings, "drop").count() == 1
     with pytest.raises(Exception, match="invalid ping: u"):
         dp.detect_stops(pings).collect()
@@ -194,6 +194,22 @@ def test_invalid_coordinates(spark):
         dp.validate_pings(pings, "other")
 
 
+def test_a_failing_check_survives_column_pruning(spark):
+    bad = pings_of(spark, at_spot([0, 60], lat=95.0)).withColumn("country", F.lit("BR"))
+    with pytest.raises(Exception, match="invalid ping"):
+        dp.hourly_share(dp.validate_pings(bad)).collect()
+    with pytest.raises(Exception, match="invalid ping"):
+        dp.sessionise(dp.validate_pings(bad)).select("user_id").collect()
+
+
+def test_sessions_keep_every_ping(spark):
+    rows = [(None, 0, 0, 1.0, 1.0, 1.0), (None, 1, 9000, 1.0, 1.0, 1.0), ("u", 2, None, 1.0, 1.0, 1.0), ("u", 3, 5, 1.0, 1.0, 1.0)]
+    got = {r.ping_id: r.session_id for r in dp.sessionise(pings_of(spark, rows)).collect()}
+    assert got == {0: 0, 1: 1, 2: None, 3: 0}
+    report = {row.rule: row.violations for row in dp.validation_report(pings_of(spark, rows)).collect()}
+    assert report["user_known"] == 2 and report["time_known"] == 1 and report["time_order"] == 0
+
+
 def test_whole_users_are_walked_in_one_python_pass(spark):
     plan = dp.detect_stops(pings_of(spark, at_spot([0, 300])))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
