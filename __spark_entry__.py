@@ -158,7 +158,8 @@ _QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "b6_label_columns": lambda s: dp.select_label_columns(s.labelled),
     "c1_sessions": lambda s: dp.sessionise(s.pings).select("user_id", "ping_id", "session_id"),
     "c2_stops": lambda s: s.detected,
-    "c2_stops_split_users": lambda s: dp.detect_stops(s.pings, dp.StopParams(heavy_user_pings=0)),
+    "c2_stops_split_users": lambda s: dp.detect_stops(s.pings, dp.StopParams(period_seconds=3600)),
+    "c2_ping_labels": lambda s: dp.label_pings(s.pings),
     "c3_stops_untimed": lambda s: dp.detect_stops(s.pings, dp.StopParams.untimed()),
     "c5_stops_all_accuracies": lambda s: dp.detect_stops(s.pings, dp.StopParams(accuracy_includes_last=True)),
     "c6_clusters": lambda s: s.clustered,

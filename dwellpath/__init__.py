@@ -66,7 +66,7 @@ from dwellpath.operators.pings import (
     validate_pings,
     validation_report,
 )
-from dwellpath.operators.stops import detect_stops, find_stop_locations, sessionise
+from dwellpath.operators.stops import detect_stops, find_stop_locations, label_pings, sessionise
 from dwellpath.params import ActivityParams, LabelParams, StopParams
 from dwellpath.plans.pipelines import city_migration, country_migration, indicators_of, labelled_pieces_of
 from dwellpath.session import cut_lineage

@@ -1,22 +1,27 @@
 """The one sequential step: growing stops around a running median.
 
 Whether a ping belongs to the current stop depends on every earlier decision, so no
-SQL window expresses it.  This module is the body of a ``mapInArrow`` over pings that
-Spark has already partitioned and sorted.  It cuts the stream wherever a stop must end
-whatever came before, settles the easy units of a batch with numpy, and walks only the
-rest ping by ping.  One open stop is carried from batch to batch.
+SQL window expresses it.  This module holds the bodies of two ``mapInArrow`` passes over
+pings that Spark has already partitioned and sorted.  Both cut the stream wherever a stop
+must end whatever came before, settle units that stay in one spot with numpy, and walk
+only the rest ping by ping.
 
 Where a stop must end.  A ping joins the current stop only within ``r`` of its median,
 and adding it moves each coordinate of the median towards the ping, never past it.  So
 the median is always within ``r`` of the latest member, and a ping farther than ``2 r``
 from its predecessor is farther than ``r`` from the median.  Such a jump, like a gap in
 time, starts from a clean state: the pings on both sides are independent.
+
+The first pass sees a user's pings period by period.  What lies between two sure ends is
+complete there; what touches an edge of the period is handed on, and the second pass sees
+it joined to its continuation in the neighbouring periods.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import asin, cos, radians, sin, sqrt
 
 import numpy as np
@@ -28,6 +33,7 @@ from dwellpath.params import EARTH_RADIUS_M, StopParams
 STOP_FIELDS = pa.schema([
     ("user_id", pa.string()), ("t_start", pa.int64()), ("t_end", pa.int64()), ("lat", pa.float64()),
     ("lon", pa.float64()), ("median_accuracy", pa.float64()), ("total_pings_stop", pa.int64()),
+    ("first_ping", pa.int64()), ("last_ping", pa.int64()),
 ])
 
 # The jump rule needs lon differences that do not wrap and a slowly varying cos(lat).
@@ -46,58 +52,28 @@ def jump_threshold(params: StopParams) -> float:
 
 
 class RunningMedian:
-    """Median of a growing multiset, kept as distinct values with counts.
-
-    Memory follows the number of distinct coordinates inside one stop, not the
-    number of pings.
-    """
+    """Median of a growing multiset in two heaps, the lower and the upper half; adding costs O(log n)."""
 
-    __slots__ = ("values", "counts", "size", "mid", "below")
+    __slots__ = ("low", "high")
 
-    def __init__(self, value: float) -> None:
-        self.values, self.counts = [value], [1]
-        self.size, self.mid, self.below = 1, 0, 0
+    def __init__(self, values: np.ndarray) -> None:
+        ordered = np.sort(values)
+        middle = (len(ordered) + 1) // 2
+        self.low, self.high = (-ordered[:middle])[::-1].tolist(), ordered[middle:].tolist()
 
     def add(self, value: float) -> None:
-        values, counts = self.values, self.counts
-        at = bisect_left(values, value)
-        if at < len(values) and values[at] == value:
-            counts[at] += 1
+        low, high = self.low, self.high
+        if value <= -low[0]:
+            heapq.heappush(low, -value)
         else:
-            values.insert(at, value)
-            counts.insert(at, 1)
-            if at <= self.mid:
-                self.mid += 1
-        if at < self.mid:
-            self.below += 1
-        self.size += 1
-        rank = (self.size - 1) // 2
-        while self.below > rank:
-            self.mid -= 1
-            self.below -= counts[self.mid]
-        while self.below + counts[self.mid] <= rank:
-            self.below += counts[self.mid]
-            self.mid += 1
+            heapq.heappush(high, value)
+        if len(low) > len(high) + 1:
+            heapq.heappush(high, -heapq.heappop(low))
+        elif len(high) > len(low):
+            heapq.heappush(low, -heapq.heappop(high))
 
     def value(self) -> float:
-        low = self.values[self.mid]
-        if self.below + self.counts[self.mid] > self.size // 2:
-            return low
-        return 0.5 * (low + self.values[self.mid + 1])
-
-
-def _median_of_counts(counts: dict[float, int]) -> float | None:
-    total = sum(counts.values())
-    if not total or any(value != value for value in counts):
-        return None
-    ranks, found, seen = ((total - 1) // 2, total // 2), [], 0
-    for value in sorted(counts):
-        seen += counts[value]
-        while len(found) < 2 and ranks[len(found)] < seen:
-            found.append(value)
-        if len(found) == 2:
-            break
-    return 0.5 * (found[0] + found[1])
+        return -self.low[0] if len(self.low) > len(self.high) else 0.5 * (self.high[0] - self.low[0])
 
 
 def _metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -110,40 +86,6 @@ def _units(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     return sqrt((lat1 - lat2) ** 2 + (lon1 - lon2) ** 2)
 
 
-class _OpenStop:
-    """The stop being grown."""
-
-    __slots__ = ("user", "lats", "lons", "t_first", "t_last", "size", "accuracies", "last_accuracy")
-
-    def __init__(self, user: str, t: int, lat: float, lon: float, accuracy: float) -> None:
-        self.user, self.t_first, self.t_last, self.size = user, t, t, 1
-        self.lats, self.lons = RunningMedian(lat), RunningMedian(lon)
-        self.accuracies, self.last_accuracy = {accuracy: 1}, accuracy
-
-    def add(self, t: int, lat: float, lon: float, accuracy: float) -> None:
-        self.lats.add(lat)
-        self.lons.add(lon)
-        self.t_last = t
-        self.size += 1
-        self.accuracies[accuracy] = self.accuracies.get(accuracy, 0) + 1
-        self.last_accuracy = accuracy
-
-    def row(self, params: StopParams) -> tuple | None:
-        """The finished stop, or None if it is too small or too short."""
-        if self.size < params.min_size:
-            return None
-        if params.min_stay is not None and self.t_last - self.t_first < params.min_stay:
-            return None
-        accuracies = self.accuracies
-        if not params.accuracy_includes_last:
-            accuracies = dict(accuracies)
-            accuracies[self.last_accuracy] -= 1
-            if not accuracies[self.last_accuracy]:
-                del accuracies[self.last_accuracy]
-        return (self.user, self.t_first, self.t_last, self.lats.value(), self.lons.value(),
-                _median_of_counts(accuracies), self.size)
-
-
 def _consecutive_distance(metric: str, lat1, lon1, lat2, lon2) -> np.ndarray:
     if metric == "euclidean":
         return np.hypot(lat1 - lat2, lon1 - lon2)
@@ -177,13 +119,45 @@ def _segment_medians(values: np.ndarray, owner: np.ndarray, starts: np.ndarray,
     return np.where(sizes > 0, 0.5 * (ordered[low] + ordered[high]), np.nan)
 
 
-def _settle_compact(users: pa.Array, t, lat, lon, acc, begin, end, params: StopParams) -> pa.RecordBatch:
+@dataclass
+class _Pings:
+    """Pings as columns."""
+
+    user: pa.Array
+    t: np.ndarray
+    ping: np.ndarray
+    lat: np.ndarray
+    lon: np.ndarray
+    accuracy: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> "_Pings":
+        t, ping, lat, lon, accuracy = (
+            (batch.column(name).fill_null(0) if name == "ping_id" else batch.column(name)).to_numpy(
+                zero_copy_only=False).astype(kind, copy=False)
+            for name, kind in (("epoch_time", np.int64), ("ping_id", np.int64), ("lat", np.float64), ("lon", np.float64),
+                               ("accuracy", np.float64)))
+        return cls(batch.column("user_id").cast(pa.string()), t, ping, lat, lon, accuracy)
+
+    def cut(self, low: int, high: int) -> "_Pings":
+        return _Pings(self.user.slice(low, high - low), *(
+            column[low:high] for column in (self.t, self.ping, self.lat, self.lon, self.accuracy)))
+
+    @staticmethod
+    def joined(parts: list["_Pings"]) -> "_Pings":
+        if len(parts) == 1:
+            return parts[0]
+        return _Pings(pa.concat_arrays([p.user for p in parts]), *(
+            np.concatenate([getattr(p, name) for p in parts]) for name in ("t", "ping", "lat", "lon", "accuracy")))
+
+
+def _settle_compact(pings: _Pings, begin, end, params: StopParams) -> pa.RecordBatch:
     """Stops of the units ``[begin, end)`` that are one stop as a whole."""
     sizes = end - begin
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     rows = np.arange(sizes.sum()) - np.repeat(starts, sizes) + np.repeat(begin, sizes)
-    used, last = acc[rows].copy(), starts + sizes - 1
+    used, last = pings.accuracy[rows].copy(), starts + sizes - 1
     unknown = np.isnan(used)
     if not params.accuracy_includes_last:
         used[last] = np.inf  # sorts behind the others, and is not counted below
@@ -191,94 +165,176 @@ def _settle_compact(users: pa.Array, t, lat, lon, acc, begin, end, params: StopP
     medians = _segment_medians(used, owner, starts, sizes if params.accuracy_includes_last else sizes - 1)
     medians = np.where(np.logical_or.reduceat(unknown, starts), np.nan, medians)
     return pa.RecordBatch.from_arrays([
-        users.take(pa.array(begin)),
-        pa.array(t[begin]),
-        pa.array(t[end - 1]),
-        pa.array(_segment_medians(lat[rows], owner, starts, sizes)),
-        pa.array(_segment_medians(lon[rows], owner, starts, sizes)),
+        pings.user.take(pa.array(begin)),
+        pa.array(pings.t[begin]),
+        pa.array(pings.t[end - 1]),
+        pa.array(_segment_medians(pings.lat[rows], owner, starts, sizes)),
+        pa.array(_segment_medians(pings.lon[rows], owner, starts, sizes)),
         pa.array(medians, from_pandas=True),
         pa.array(sizes.astype(np.int64)),
+        pa.array(pings.ping[begin]),
+        pa.array(pings.ping[end - 1]),
     ], schema=STOP_FIELDS)
 
 
-def find_stops(batches: Iterator[pa.RecordBatch], params: StopParams) -> Iterator[pa.RecordBatch]:
-    """Pings sorted by (user, time) in, stops out.
+def _still_together(params: StopParams, pings: _Pings, low: int, high: int, box: tuple) -> int:
+    """How many pings from ``low`` on keep the box of those before small enough for all to be one stop."""
+    south, north, west, east = box
+    lat, lon = pings.lat[low:high], pings.lon[low:high]
+    small = _surely_together(
+        params, np.minimum(np.minimum.accumulate(lat), south), np.maximum(np.maximum.accumulate(lat), north),
+        np.minimum(np.minimum.accumulate(lon), west), np.maximum(np.maximum.accumulate(lon), east))
+    return high - low if small.all() else int(np.argmin(small))
 
-    Columns: user_id, epoch_time, lat, lon, accuracy.  If units of a user were shuffled
-    apart, ``head`` marks the pings where one begins.
+
+def _stops_of_unit(pings: _Pings, params: StopParams) -> list[tuple[int, int]]:
+    """The runs of pings ``[first, end)`` of one unit that are grown together.
+
+    A run whose box is small is extended by whole slices; only once it has outgrown that
+    is every ping held against the running median.
     """
     dist = _metres if params.metric == "haversine" else _units
-    radius = params.radius_m
-    current: _OpenStop | None = None
-    last: tuple | None = None  # user, time, lat, lon of the latest ping
-
+    radius, total, runs, first = params.radius_m, len(pings.t), [], 0
+    while first < total:
+        at, step = first + 1, 64
+        box = (pings.lat[first], pings.lat[first], pings.lon[first], pings.lon[first])
+        while at < total:
+            more = _still_together(params, pings, at, min(at + step, total), box)
+            if more:
+                lat, lon = pings.lat[at:at + more], pings.lon[at:at + more]
+                box = (min(box[0], lat.min()), max(box[1], lat.max()), min(box[2], lon.min()), max(box[3], lon.max()))
+            at += more
+            if more < step:
+                break
+            step *= 2
+        if at < total:
+            lats, lons = RunningMedian(pings.lat[first:at]), RunningMedian(pings.lon[first:at])
+            while at < total:
+                until = min(at + 4096, total)
+                outside = False
+                for lat, lon in zip(pings.lat[at:until].tolist(), pings.lon[at:until].tolist()):
+                    if dist(lat, lon, lats.value(), lons.value()) > radius:
+                        outside = True
+                        break
+                    lats.add(lat)
+                    lons.add(lon)
+                    at += 1
+                if outside:
+                    break
+        runs.append((first, at))
+        first = at
+    return runs
+
+
+def _stops_between(pings: _Pings, begin: np.ndarray, end: np.ndarray, params: StopParams) -> Iterator[pa.RecordBatch]:
+    """Stops of the complete units ``[begin, end)``."""
+    def able(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        enough = high - low >= params.min_size
+        if params.min_stay is not None:
+            enough &= pings.t[high - 1] - pings.t[low] >= params.min_stay
+        return enough
+
+    kept = able(begin, end)
+    begin, end = begin[kept], end[kept]
+    if not len(begin):
+        return
+    bounds = np.column_stack([begin, end]).ravel()
+    if bounds[-1] == len(pings.t):
+        bounds = bounds[:-1]
+    together = _surely_together(
+        params, np.minimum.reduceat(pings.lat, bounds)[::2], np.maximum.reduceat(pings.lat, bounds)[::2],
+        np.minimum.reduceat(pings.lon, bounds)[::2], np.maximum.reduceat(pings.lon, bounds)[::2])
+    runs = [np.column_stack([begin[together], end[together]])]
+    for low, high in zip(begin[~together].tolist(), end[~together].tolist()):
+        runs.append(np.array(_stops_of_unit(pings.cut(low, high), params)) + low)
+    low, high = np.concatenate(runs).T
+    kept = able(low, high)
+    if kept.any():
+        yield _settle_compact(pings, low[kept], high[kept], params)
+
+
+def _sure_ends(params: StopParams, before: _Pings, after: _Pings) -> np.ndarray:
+    """Where a stop must end between consecutive pings."""
+    ends = _surely_apart(params, before.lat, before.lon, after.lat, after.lon)
+    if params.max_gap is not None:
+        ends |= after.t - before.t > params.max_gap
+    return ends
+
+
+def _changes(column: pa.Array, last) -> np.ndarray:
+    """True at each row whose value differs from the row before it; ``last`` is the value before the first."""
+    changed = np.ones(len(column), bool)
+    changed[1:] = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    changed[0] = column[0].as_py() != last
+    return changed
+
+
+def _units_of(batches: Iterator[pa.RecordBatch], keys: list[str], params: StopParams):
+    """Units of sorted pings, batch by batch.
+
+    Yields the pings, where units begin and end, and whether a sure end (rather than the
+    first or last ping of a group of ``keys``) stands at either side.  A unit that goes on
+    in the next batch is kept in parts until it ends.
+    """
+    parts: list[_Pings] = []
+    opened_surely, last_keys = False, [object()] * len(keys)
     for batch in batches:
-        n = batch.num_rows
-        if not n:
+        if not batch.num_rows:
             continue
-        users = batch.column("user_id").cast(pa.string())
-        t, lat, lon, acc = (
-            batch.column(name).to_numpy(zero_copy_only=False).astype(kind, copy=False)
-            for name, kind in (("epoch_time", np.int64), ("lat", np.float64), ("lon", np.float64),
-                               ("accuracy", np.float64))
-        )
-        if "head" in batch.schema.names:
-            cut = np.array(batch.column("head").to_numpy(zero_copy_only=False), dtype=bool)
-        else:
-            cut = np.zeros(n, dtype=bool)
-        first_user = users[0].as_py()
-        if last is None or last[0] != first_user:
-            cut[0] = True
-        else:
-            if params.max_gap is not None:
-                cut[0] |= t[0] - last[1] > params.max_gap
-            cut[0] |= bool(_surely_apart(params, np.array([last[2]]), np.array([last[3]]), lat[:1], lon[:1])[0])
-        if n > 1:
-            cut[1:] |= pc.not_equal(users.slice(1), users.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            if params.max_gap is not None:
-                cut[1:] |= np.diff(t) > params.max_gap
-            cut[1:] |= _surely_apart(params, lat[:-1], lon[:-1], lat[1:], lon[1:])
-        begin = np.flatnonzero(cut)
-        found: list[tuple] = []
-
-        def walk(stop: _OpenStop | None, low: int, high: int, user: str) -> _OpenStop | None:
-            for ti, la, lo, ac in zip(t[low:high].tolist(), lat[low:high].tolist(), lon[low:high].tolist(),
-                                      acc[low:high].tolist()):
-                if stop is not None:
-                    if dist(la, lo, stop.lats.value(), stop.lons.value()) <= radius:
-                        stop.add(ti, la, lo, ac)
-                        continue
-                    found.append(stop.row(params))
-                stop = _OpenStop(user, ti, la, lo, ac)
-            return stop
-
-        current = walk(current, 0, begin[0] if len(begin) else n, last[0] if last else first_user)
-        if len(begin):
-            if current is not None:
-                found.append(current.row(params))
-            whole_begin, whole_end = begin[:-1], begin[1:]
-            if len(whole_begin):
-                able = whole_end - whole_begin >= params.min_size
-                if params.min_stay is not None:
-                    able &= t[whole_end - 1] - t[whole_begin] >= params.min_stay
-                together = able & _surely_together(
-                    params, np.minimum.reduceat(lat, begin)[:-1], np.maximum.reduceat(lat, begin)[:-1],
-                    np.minimum.reduceat(lon, begin)[:-1], np.maximum.reduceat(lon, begin)[:-1])
-                if together.any():
-                    yield _settle_compact(users, t, lat, lon, acc, whole_begin[together], whole_end[together], params)
-                rest = able & ~together
-                for low, high in zip(whole_begin[rest].tolist(), whole_end[rest].tolist()):
-                    found.append(walk(None, low, high, users[low].as_py()).row(params))
-            current = walk(None, int(begin[-1]), n, users[int(begin[-1])].as_py())
-        last = (users[n - 1].as_py(), int(t[-1]), float(lat[-1]), float(lon[-1]))
-        done = [row for row in found if row is not None]
-        if done:
-            yield _to_batch(done)
-
-    if current is not None and (row := current.row(params)) is not None:
-        yield _to_batch([row])
-
-
-def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
+        pings = _Pings.of(batch)
+        columns = [batch.column(name) for name in keys]
+        group = np.zeros(len(pings.t), bool)
+        for column, last in zip(columns, last_keys):
+            group |= _changes(column, last)
+        sure = np.zeros(len(pings.t), bool)
+        sure[1:] = _sure_ends(params, pings.cut(0, len(pings.t) - 1), pings.cut(1, len(pings.t)))
+        if parts:
+            sure[0] = _sure_ends(params, parts[-1].cut(len(parts[-1].t) - 1, len(parts[-1].t)), pings.cut(0, 1))[0]
+        sure &= ~group
+        cuts = np.flatnonzero(group | sure)
+        last_keys = [column[len(column) - 1].as_py() for column in columns]
+        if not len(cuts):
+            parts.append(pings)
+            continue
+        if cuts[0] > 0:
+            parts.append(pings.cut(0, int(cuts[0])))
+        if parts:
+            whole = _Pings.joined(parts)
+            yield whole, np.array([0]), np.array([len(whole.t)]), np.array([opened_surely]), np.array([sure[cuts[0]]])
+        if len(cuts) > 1:
+            yield pings, cuts[:-1], cuts[1:], sure[cuts[:-1]], sure[cuts[1:]]
+        parts, opened_surely = [pings.cut(int(cuts[-1]), len(pings.t))], bool(sure[cuts[-1]])
+    if parts:
+        whole = _Pings.joined(parts)
+        yield whole, np.array([0]), np.array([len(whole.t)]), np.array([opened_surely]), np.array([False])
+
+
+def search_periods(batches: Iterator[pa.RecordBatch], params: StopParams) -> Iterator[pa.RecordBatch]:
+    """Pings sorted by (user, period, time) in; stops, and pings that touch an edge of their period, out.
+
+    ``part`` tells them apart: 0 a stop, 1 a ping before the period's first sure end (or of
+    a period without one), 2 a ping after its last.
+    """
+    for pings, begin, end, from_sure, to_sure in _units_of(batches, ["user_id", "period"], params):
+        complete = from_sure & to_sure
+        for stops in _stops_between(pings, begin[complete], end[complete], params):
+            yield _parted(stops, 0)
+        for part, touching in ((1, ~from_sure), (2, from_sure & ~to_sure)):
+            if touching.any():
+                rows = np.concatenate([np.arange(b, e) for b, e in zip(begin[touching], end[touching])])
+                yield _parted(pa.RecordBatch.from_arrays([
+                    pings.user.take(pa.array(rows)), pa.array(pings.t[rows]), pa.nulls(len(rows), pa.int64()),
+                    pa.array(pings.lat[rows]), pa.array(pings.lon[rows]), pa.array(pings.accuracy[rows]),
+                    pa.nulls(len(rows), pa.int64()), pa.array(pings.ping[rows]), pa.nulls(len(rows), pa.int64()),
+                ], schema=STOP_FIELDS), part)
+
+
+def _parted(rows: pa.RecordBatch, part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(column, type=field.type) for column, field in zip(zip(*rows), STOP_FIELDS)], schema=STOP_FIELDS)
+        [*rows.columns, pa.array(np.full(rows.num_rows, part, np.int32))], names=[*rows.schema.names, "part"])
+
+
+def search_chains(batches: Iterator[pa.RecordBatch], params: StopParams) -> Iterator[pa.RecordBatch]:
+    """Pings sorted by (user, chain, time) in, stops out."""
+    for pings, begin, end, _, _ in _units_of(batches, ["user_id", "chain"], params):
+        yield from _stops_between(pings, begin, end, params)

@@ -3,41 +3,21 @@
 from __future__ import annotations
 
 import sys
-from decimal import Decimal
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dwellpath.functions.geo import distance
 from dwellpath.operators.pings import drop_inaccurate, validate_pings
-from dwellpath.operators.stop_pass import (
-    JUMP_MAX_LAT,
-    JUMP_MAX_LON,
-    find_stops,
-    jump_threshold,
-)
-from dwellpath.params import EARTH_RADIUS_M, StopParams
+from dwellpath.operators.stop_pass import search_chains, search_periods
+from dwellpath.params import StopParams
 from dwellpath.schema import STOPS, require_columns
 from dwellpath.session import cut_lineage
 
 # Executors need not have this package installed: the pass travels with the task.
 cloudpickle.register_pickle_by_value(sys.modules["dwellpath"])
 
-# How many users are treated as heavy at most, which bounds the broadcast list; how many
-# users a sketch follows to find them; and the share of all pings below which a user is
-# no burden to a task.
-HEAVY_USER_SLOTS = 1000
-HEAVY_USER_TRACKED = 20_000
-HEAVY_USER_SHARE = 1e-4
-
-# From this many pings a unit that stays in one spot is aggregated instead of walked.
-DENSE_UNIT_PINGS = 100_000
-
-# (epoch_time, ping_id) as one number: twice the range of a long apart per second.
-_ORDER_STEP, _ORDER_TYPE = Decimal(2 ** 65), "decimal(38,0)"
-
-
 def sessionise(pings: DataFrame, max_gap: int = 3600) -> DataFrame:
     """Add ``session_id``, counting from 0 per user; a gap > ``max_gap`` starts a new one.
 
@@ -64,33 +44,69 @@ def sessionise(pings: DataFrame, max_gap: int = 3600) -> DataFrame:
 
 
 def detect_stops(pings: DataFrame, params: StopParams = StopParams(), on_invalid: str = "fail") -> DataFrame:
-    """Every stop of every user, before the accuracy filter.
+    """Every stop of every user, before the accuracy filter."""
+    return _stops_with_ends(pings, params, on_invalid).select(*STOPS.fieldNames())
 
-    One shuffle by user, one sort, one Arrow pass.  Users with more than
-    ``params.heavy_user_pings`` pings are cut into independent units first (see
-    :func:`_heavy_units`), written once, and spread over many tasks; units that do not
-    leave one spot for very long are settled by aggregation.
+
+def label_pings(pings: DataFrame, params: StopParams = StopParams(), on_invalid: str = "fail") -> DataFrame:
+    """For each ping the number of its stop, counted from 0 along the user, or -1 outside stops.
+
+    A stop is a run of pings in the order of (``epoch_time``, ``ping_id``), so its first and
+    last ping tell its members apart even if pings share a second.  Stops meet pings by
+    (user, period) and that order; a user has few stops in a period.
+    """
+    period = params.period_seconds
+    found = _stops_with_ends(pings, params, on_invalid)
+    # a user's stops do not overlap in time, so the window over them is bounded by the calendar
+    along = Window.partitionBy("user_id").orderBy("t_start", "first_ping")
+    numbered = found.withColumn("stop", (F.row_number().over(along) - 1).cast("long"))
+    spans = numbered.select(
+        F.col("user_id").alias("_user"), "stop",
+        F.struct(F.col("t_start").alias("t"), F.col("first_ping").alias("p")).alias("_from"),
+        F.struct(F.col("t_end").alias("t"), F.col("last_ping").alias("p")).alias("_to"),
+        F.explode(F.sequence(F.floor(F.col("t_start") / period), F.floor(F.col("t_end") / period))).alias("_period"))
+    checked = pings if on_invalid == "keep" else validate_pings(pings, on_invalid)
+    here = F.struct(F.col("epoch_time").alias("t"), F.col("ping_id").alias("p"))
+    inside = ((F.col("user_id") == F.col("_user")) & (F.floor(F.col("epoch_time") / period) == F.col("_period"))
+              & (here >= F.col("_from")) & (here <= F.col("_to")))
+    return checked.join(spans, inside, "left").select("user_id", "ping_id", F.coalesce("stop", F.lit(-1)).alias("stop"))
+
+
+def _stops_with_ends(pings: DataFrame, params: StopParams, on_invalid: str) -> DataFrame:
+    """Stops with their first and last ping; one route for every user.
+
+    Pings are brought together by (user, period) and searched; what touches an edge of a
+    period is chained to its continuation and searched again by (user, chain).  So no task
+    needs all pings of a user, only those of one period or of one stretch without any sure
+    end.  The first search has two readers and is written once.
     """
     require_columns(pings, "user_id", "ping_id", "epoch_time", "lat", "lon", "accuracy")
     if on_invalid != "keep":
         pings = validate_pings(pings, on_invalid)
-    pings = pings.select("user_id", "ping_id", "epoch_time", "lat", "lon", "accuracy")
-
-    heavy = _heavy_users(pings, params)
-    if heavy is None:
-        return _walk(pings, ["user_id"], params)
-    light = pings.join(heavy, "user_id", "left_anti").select(
-        "*", F.lit(0).cast(_ORDER_TYPE).alias("unit"), F.lit(False).alias("head"))
-    units = cut_lineage(_heavy_units(pings.join(heavy, "user_id", "left_semi"), params))
-    dense, other = _route_units(units, params)
-    return _walk(light.unionByName(other), ["user_id", "unit"], params).unionByName(_stops_of_dense_units(dense, params))
-
-
-def _walk(pings: DataFrame, unit: list[str], params: StopParams) -> DataFrame:
-    """Bring each unit together, sort it by time and search it for stops; only the columns needed are sent."""
-    sent = ["user_id", "epoch_time", "lat", "lon", "accuracy", *(["head"] if "head" in pings.columns else [])]
-    ordered = pings.repartition(*unit).sortWithinPartitions(*unit, "epoch_time", "ping_id").select(*sent)
-    return ordered.mapInArrow(lambda batches: find_stops(batches, params), STOPS)
+    period = F.floor(F.col("epoch_time") / params.period_seconds)
+    keyed = pings.select("user_id", "ping_id", "epoch_time", "lat", "lon", "accuracy", period.alias("period"))
+    by_period = ["user_id", "period"]
+    ordered = keyed.repartition(*by_period).sortWithinPartitions(*by_period, "epoch_time", "ping_id")
+    ends = T.StructType([*STOPS.fields, T.StructField("first_ping", T.LongType()), T.StructField("last_ping", T.LongType())])
+    searched = cut_lineage(ordered.mapInArrow(
+        lambda batches: search_periods(batches, params), T.StructType([*ends.fields, T.StructField("part", T.IntegerType())])))
+    touching = searched.where("part > 0").select(
+        "user_id", F.col("first_ping").alias("ping_id"), F.col("t_start").alias("epoch_time"), "lat", "lon",
+        F.col("median_accuracy").alias("accuracy"), (F.col("part") == 2).alias("later"),
+        F.floor(F.col("t_start") / params.period_seconds).alias("period"))
+    # one row per (user, period): the chain that its first pings continue
+    so_far = Window.partitionBy("user_id").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    carried = touching.groupBy(*by_period).agg(F.bool_or("later").alias("ended")).select(
+        F.col("user_id").alias("_user"), F.col("period").alias("_period"),
+        F.last(F.when(F.col("ended"), F.col("period")), ignorenulls=True).over(so_far).alias("_carried"))
+    first = F.lit(-(2 ** 62)).cast("long")
+    chained = touching.join(
+        carried, (F.col("user_id") == F.col("_user")) & (F.col("period") == F.col("_period"))).select(
+        "user_id", "epoch_time", "ping_id", "lat", "lon", "accuracy",
+        F.when(F.col("later"), F.col("period")).otherwise(F.coalesce("_carried", first)).alias("chain"))
+    chains = chained.repartition("user_id", "chain").sortWithinPartitions("user_id", "chain", "epoch_time", "ping_id")
+    return searched.where("part = 0").drop("part").unionByName(
+        chains.mapInArrow(lambda batches: search_chains(batches, params), ends))
 
 
 def find_stop_locations(pings: DataFrame, params: StopParams = StopParams(), max_accuracy: float = 200.0,
@@ -100,128 +116,3 @@ def find_stop_locations(pings: DataFrame, params: StopParams = StopParams(), max
 
     stops = drop_inaccurate(detect_stops(pings, params, on_invalid), max_accuracy)
     return cluster_stops(stops, CLUSTER_RADIUS_M if cluster_radius_m is None else cluster_radius_m)
-
-
-def _heavy_users(pings: DataFrame, params: StopParams) -> DataFrame | None:
-    """Users with too many pings for one task, or None; the one small job run while a plan is built.
-
-    Reads only the user column.  Each task keeps a frequent-items sketch of bounded size;
-    the sketches are merged in two steps, so no task receives those of all others.  A
-    user is heavy above ``params.heavy_user_pings`` and ``HEAVY_USER_SHARE`` of all pings,
-    and at most ``HEAVY_USER_SLOTS`` users are taken, so the list is safe to broadcast.
-    The sketch may miscount slightly; that only decides which of two equivalent routes a
-    user takes.
-    """
-    group = (F.spark_partition_id() % 256).alias("group")
-    sketch = (
-        pings.groupBy(group)
-        .agg(F.expr(f"approx_top_k_accumulate(user_id, {HEAVY_USER_TRACKED})").alias("s"), F.count(F.lit(1)).alias("n"))
-        .groupBy(F.lit(0).alias("all"))  # unlike a global aggregate, gives no row for empty input
-        .agg(F.expr(f"approx_top_k_combine(s, {HEAVY_USER_TRACKED})").alias("s"), F.sum("n").alias("n"))
-        .selectExpr(f"approx_top_k_estimate(s, {HEAVY_USER_SLOTS}) as top", "n").first()
-    )
-    if sketch is None:
-        return None
-    limit = max(params.heavy_user_pings, HEAVY_USER_SHARE * sketch["n"])
-    users = [(entry["item"],) for entry in sketch["top"] if entry["count"] > limit]
-    if not users:
-        return None
-    return F.broadcast(pings.sparkSession.createDataFrame(users, "user_id string"))
-
-
-def _breaks(params: StopParams, before: Column) -> Column:
-    """True where a stop surely ends between the ping ``before`` and this one."""
-    lat, lon = before["lat"], before["lon"]
-    far = distance(params.metric, lat, lon, F.col("lat"), F.col("lon")) > jump_threshold(params)
-    if params.metric == "haversine":
-        far = far & (F.abs(lat) < JUMP_MAX_LAT) & (F.abs(lon) < JUMP_MAX_LON)
-    if params.max_gap is not None:
-        far = far | (F.col("epoch_time") - before["epoch_time"] > params.max_gap)
-    return before.isNull() | far
-
-
-def _heavy_units(pings: DataFrame, params: StopParams) -> DataFrame:
-    """Cut each user's pings into units that can be searched for stops on their own.
-
-    Neighbouring pings are compared inside (user, time bucket); what crosses a bucket
-    edge comes from one summary row per bucket.  ``order`` puts pings in sequence as one
-    number, which keeps the summaries hash aggregations.  A unit is named by the order of
-    its first ping, so ``(user_id, unit)`` is a finer shuffle key than the user.
-    """
-    bucket = ["user_id", "_bucket"]
-    order = F.col("epoch_time").cast("decimal(20,0)") * F.lit(_ORDER_STEP) + F.col("ping_id")
-    keyed = (
-        pings.withColumn("_bucket", F.floor(F.col("epoch_time") / params.heavy_bucket_seconds))
-        .withColumn("order", order.cast(_ORDER_TYPE))
-    )
-    inside = Window.partitionBy(*bucket).orderBy("epoch_time", "ping_id")
-    along = Window.partitionBy("user_id").orderBy("_bucket")
-    upto = Window.unboundedPreceding
-
-    latest = F.struct("epoch_time", "lat", "lon")
-    entering = (
-        keyed.groupBy(*bucket)
-        .agg(F.max("epoch_time").alias("epoch_time"), F.max_by("lat", "order").alias("lat"),
-             F.max_by("lon", "order").alias("lon"))
-        .select(*bucket, F.lag(latest).over(along).alias("_entering"))
-    )
-    marked = (
-        keyed.join(entering, bucket)
-        .withColumn("_before", F.coalesce(F.lag(latest).over(inside), F.col("_entering")))
-        .withColumn("head", _breaks(params, F.col("_before")))
-        .withColumn("_start", F.when(F.col("head"), F.col("order")))
-        .drop("_before", "_entering")
-    )
-    carried = (
-        marked.groupBy(*bucket).agg(F.max("_start").alias("_latest"))
-        .select(*bucket, F.max("_latest").over(along.rowsBetween(upto, -1)).alias("_carried"))
-    )
-    unit = F.coalesce(F.max("_start").over(inside.rowsBetween(upto, 0)), F.col("_carried"))
-    return marked.join(carried, bucket).select(
-        "user_id", "ping_id", "epoch_time", "lat", "lon", "accuracy", "order", unit.alias("unit"), "head")
-
-
-def _route_units(units: DataFrame, params: StopParams) -> tuple[DataFrame, DataFrame]:
-    """Units to aggregate, with ``last`` marking their last ping, and units to walk.
-
-    Units too small or too short for any stop end here.  Aggregated are those with many
-    pings in a bounding box so small that every ping joins whatever median the pings
-    before it have: such a unit is one stop as a whole.
-    """
-    box = units.groupBy("user_id", "unit").agg(
-        F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"),
-        F.max("lon").alias("east"), F.max("order").alias("latest"), F.count(F.lit(1)).alias("pings"),
-        (F.max("epoch_time") - F.min("epoch_time")).alias("stay"))
-    possible = box.where(F.col("pings") >= params.min_size)
-    if params.min_stay is not None:
-        possible = possible.where(F.col("stay") >= params.min_stay)
-    if params.metric == "euclidean":
-        size = F.hypot(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
-    else:
-        crosses = (F.col("south") <= 0) & (F.col("north") >= 0)
-        widest = F.when(crosses, 0.0).otherwise(F.least(F.abs("south"), F.abs("north")))
-        size = EARTH_RADIUS_M * F.hypot(
-            F.radians(F.col("north") - F.col("south")),
-            F.radians(F.col("east") - F.col("west")) * F.cos(F.radians(widest)))
-    dense = (F.col("pings") >= DENSE_UNIT_PINGS) & (size <= params.radius_m * 0.999)
-    judged = units.join(possible.select("user_id", "unit", "latest", dense.alias("dense")), ["user_id", "unit"])
-    return (judged.where("dense").withColumn("last", F.col("order") == F.col("latest")),
-            judged.where("not dense").drop("dense", "latest", "order"))
-
-
-def _stops_of_dense_units(units: DataFrame, params: StopParams) -> DataFrame:
-    """Stops by aggregation: a device that never moves is counted in parallel, however many pings it has.
-
-    Exact medians are merged as counts of distinct values, combined before the shuffle.
-    """
-    used = F.lit(True) if params.accuracy_includes_last else ~F.col("last")
-    unknown = F.col("accuracy").isNull() | F.isnan("accuracy")
-    stops = units.groupBy("user_id", "unit").agg(
-        F.min("epoch_time").alias("t_start"), F.max("epoch_time").alias("t_end"),
-        F.median("lat").alias("lat"), F.median("lon").alias("lon"),
-        F.median(F.when(used, F.col("accuracy"))).alias("accuracy"),
-        F.count_if(used & unknown).alias("unknown"),
-        F.count(F.lit(1)).alias("total_pings_stop"),
-    )
-    return stops.withColumn("median_accuracy", F.when(F.col("unknown") == 0, F.col("accuracy"))).select(
-        *STOPS.fieldNames())

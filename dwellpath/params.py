@@ -13,9 +13,9 @@ class StopParams:
 
     ``max_gap`` and ``min_stay`` are seconds; ``None`` switches the time test off.
     ``accuracy_includes_last`` decides whether the median accuracy of a stop covers
-    its last ping.  ``heavy_user_pings`` is the number of pings beyond which one
-    user is cut into independent units before the sequential pass; it changes the
-    partitioning only, never the result.
+    its last ping.  ``period_seconds`` is the stretch of time a user's pings are first
+    searched by; it changes the partitioning only, never the result.  Above a radius of
+    10 km no jump in space ends a stop for sure, so units are then cut by time alone.
     """
 
     radius_m: float = 50.0
@@ -24,8 +24,7 @@ class StopParams:
     max_gap: int | None = 3600
     metric: str = "haversine"
     accuracy_includes_last: bool = False
-    heavy_user_pings: int = 20_000_000
-    heavy_bucket_seconds: int = 3600
+    period_seconds: int = 86_400
 
     def __post_init__(self) -> None:
         if self.metric not in ("haversine", "euclidean"):

@@ -88,6 +88,14 @@ CTES["untimed_sessions"] = "select *, 0 as session_id from pings"
 _stop_ctes("", "sessions", True)
 _stop_ctes("_untimed", "untimed_sessions", False)
 CTES["stops"] = "select * from stops_all where median_accuracy < 200"
+CTES["ping_members"] = "select c.*, g.head from chain c join grow g using (user_id, session_id, pos)"
+CTES["ping_labels"] = """
+select m.user_id, m.ping_id, coalesce(s.stop, -1) as stop
+from ping_members m left join (
+  select user_id, session_id, head, row_number() over (partition by user_id order by session_id, head) - 1 as stop
+  from ping_members group by user_id, session_id, head
+  having count(*) >= 2 and max(epoch_time) - min(epoch_time) >= 300) s using (user_id, session_id, head)
+"""
 
 CTES["local_pings"] = """
 select * replace (cast(epoch(timezone(case country when 'BR' then 'America/Sao_Paulo' when 'CO' then 'America/Bogota'
@@ -536,6 +544,7 @@ def oracle_sql() -> dict[str, str]:
         "c1_sessions": show("sessions", "s:user_id i:ping_id i:session_id"),
         "c2_stops": show("stops_all", _STOP),
         "c2_stops_split_users": show("stops_all", _STOP),
+        "c2_ping_labels": show("ping_labels", "s:user_id i:ping_id i:stop"),
         "c3_stops_untimed": show("stops_all_untimed", _STOP),
         "c5_stops_all_accuracies": show(
             "select * replace (full_accuracy as median_accuracy) from stops_all", _STOP),

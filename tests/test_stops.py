@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 import statistics
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import dwellpath as dp
-from dwellpath.operators import stops
-from dwellpath.operators.stop_pass import RunningMedian
+from dwellpath.operators.stop_pass import RunningMedian, _Pings, _stops_of_unit
 
 PING = "user_id string, ping_id long, epoch_time long, lat double, lon double, accuracy double"
 METRE = math.degrees(1 / 6_371_000.0)
@@ -93,39 +94,64 @@ def same(got, want):
 
 @given(st.lists(st.integers(-5, 5).map(float) | st.floats(-1, 1), min_size=1, max_size=60))
 def test_running_median_follows_every_prefix(values):
-    median = RunningMedian(values[0])
-    assert median.value() == values[0]
-    for n, value in enumerate(values[1:], 2):
-        median.add(value)
-        assert median.value() == pytest.approx(statistics.median(values[:n]), abs=1e-12)
+    for known in {1, (len(values) + 1) // 2}:
+        median = RunningMedian(np.array(values[:known]))
+        assert median.value() == pytest.approx(statistics.median(values[:known]), abs=1e-12)
+        for n, value in enumerate(values[known:], known + 1):
+            median.add(value)
+            assert median.value() == pytest.approx(statistics.median(values[:n]), abs=1e-12)
 
 
 @pytest.mark.parametrize("params", [
     dp.StopParams(), dp.StopParams.untimed(), dp.StopParams(accuracy_includes_last=True, min_size=3, radius_m=25),
     dp.StopParams(metric="euclidean", radius_m=0.0004), dp.StopParams(min_size=1, min_stay=0),
 ])
-@pytest.mark.parametrize("dense", [1, 100_000])
-def test_matches_the_rules_on_any_route_and_batch_size(spark, monkeypatch, params, dense):
-    monkeypatch.setattr(stops, "DENSE_UNIT_PINGS", dense)
+@pytest.mark.parametrize("period", [86_400, 1_800])
+def test_matches_the_rules_for_any_period_and_batch_size(spark, params, period):
     rows = wandering(7)
     want = plain_stops(rows, params)
     assert len(want) > 50
+    params = dp.StopParams(**{**params.__dict__, "period_seconds": period})
     same(sorted(tuple(r) for r in dp.detect_stops(pings_of(spark, rows), params).collect()), want)
-    split = dp.StopParams(**{**params.__dict__, "heavy_user_pings": 0, "heavy_bucket_seconds": 1800})
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
     try:
         shuffled = pings_of(spark, rows).repartition(5, F.rand(3))
         same(sorted(tuple(r) for r in dp.detect_stops(shuffled, params).collect()), want)
-        same(sorted(tuple(r) for r in dp.detect_stops(shuffled, split).collect()), want)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_one_dominant_user_gives_the_same_stops_when_split(spark, monkeypatch):
-    monkeypatch.setattr(stops, "DENSE_UNIT_PINGS", 500)
+def test_a_still_device_beside_wandering_ones(spark):
     rows = wandering(11, users=2, n=1500) + at_spot(range(1_600_000_000, 1_600_600_000, 300), user="still")
-    want = plain_stops(rows, dp.StopParams())
-    same(stops_of(spark, rows, heavy_user_pings=1000), want)
+    same(stops_of(spark, rows), plain_stops(rows, dp.StopParams()))
+
+
+def test_a_long_noisy_dwell_takes_time_in_proportion():
+    rng = np.random.default_rng(1)
+    seconds = []
+    for n in (100_000, 400_000):
+        noise = rng.normal(0, 9 * METRE, (2, n))
+        pings = _Pings(pa.array(["u"] * n), np.arange(n), np.arange(n), 10 + noise[0], 20 + noise[1], np.ones(n))
+        started = time.process_time()
+        assert sum(b - a for a, b in _stops_of_unit(pings, dp.StopParams())) == n
+        seconds.append(time.process_time() - started)
+    assert seconds[1] < 8 * seconds[0]
+
+
+def test_every_ping_is_labelled_with_its_stop(spark):
+    rows = wandering(5, users=4) + [("same", i, 1_600_000_000 + i // 3 * 200, 10 + i // 9 * 200 * METRE, 20.0, 1.0) for i in range(60)]
+    stops = sorted(tuple(r) for r in dp.detect_stops(pings_of(spark, rows)).collect())
+    got = {(r.user_id, r.ping_id): r.stop for r in dp.label_pings(pings_of(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    counted = {}
+    for (user, _), stop in got.items():
+        if stop >= 0:
+            counted[user, stop] = counted.get((user, stop), 0) + 1
+    numbered, want = {}, {}
+    for user, *_, size in stops:
+        numbered[user] = numbered.get(user, -1) + 1
+        want[user, numbered[user]] = size
+    assert counted == want
 
 
 def test_no_stop_from_one_ping_or_none(spark):
@@ -210,6 +236,6 @@ def test_sessions_keep_every_ping(spark):
     assert report["user_known"] == 2 and report["time_known"] == 1 and report["time_order"] == 0
 
 
-def test_whole_users_are_walked_in_one_python_pass(spark):
+def test_no_user_is_sent_to_one_task(spark):
     plan = dp.detect_stops(pings_of(spark, at_spot([0, 300])))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
+    assert "hashpartitioning(user_id" in plan and "chain" in plan
