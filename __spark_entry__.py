@@ -6,6 +6,7 @@ import os
 import sys
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -15,6 +16,7 @@ from pyspark.sql import types as T  # noqa: E402
 
 import dwellpath as dp  # noqa: E402
 import oracles  # noqa: E402
+from dwellpath import schema  # noqa: E402
 from dwellpath.session import ensure_checkpoint_dir  # noqa: E402
 from dwellpath.sources import sample  # noqa: E402
 
@@ -71,6 +73,10 @@ class Stages:
     def admins(self) -> DataFrame:
         return self._once("admins", lambda: sample.sample_admins(self.spark, self.sf_dir))
 
+    @property
+    def admins3(self) -> DataFrame:
+        return self._once("admins3", lambda: sample.sample_admins(self.spark, self.sf_dir, countries=3))
+
     @property
     def detected(self) -> DataFrame:
         return self._once("detected", lambda: dp.detect_stops(self.pings))
@@ -141,12 +147,15 @@ class Stages:
 
 
 _QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
-    "a1_read_pings": lambda s: dp.prepare_pings(
+    "a1_read_pings": lambda s: _through_parquet(
         s.pings.select(F.col("user_id").alias("uid"), "ping_id", F.timestamp_seconds("epoch_time").alias("datetime"),
                        "country", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
                        F.col("accuracy").alias("horizontal_accuracy"))),
+    "a3_labelled_stage": lambda s: _through_stage(s.labelled, schema.LABELLED_PIECES),
+    "a3_budget_stage": lambda s: _through_stage(s.budgets, schema.BUDGETS),
     "a4_read_admins": lambda s: _through_csv(s.admins),
     "a5_stage_round_trip": lambda s: _through_stage(s.pings),
+    "a5_two_countries": lambda s: _country_by_country(s.pings),
     "b1_validate": lambda s: dp.validation_report(s.pings),
     "b1_drop_invalid": lambda s: dp.validate_pings(
         s.pings.withColumn("lat", F.col("lat") * 3).withColumn("lon", F.col("lon") * 2), "drop"),
@@ -221,6 +230,10 @@ _QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "h1_metro_residents": lambda s: dp.metro_residents(
         s.labelled, dp.main_metro_units(s.admins, BINS, LABELS), s.active).select("user_id", "t_start", "cluster_label"),
     "h2_home_unit": lambda s: dp.home_units(s.labelled, s.admins, s.active, BINS, LABELS, COUNTRY),
+    "h2_home_unit_countries": lambda s: _each_country(lambda country: dp.home_units(
+        s.labelled, s.admins3, s.active, BINS, LABELS, country)),
+    "h6_city_countries": lambda s: _each_country(lambda country: dp.city_migration(
+        s.labelled, s.budgets, s.admins3, BINS, LABELS, country, ACTIVITY)[0]),
     "h3_user_info": lambda s: s.city[1],
     "h4_moves": lambda s: s.moves.select(
         "user_id", "t_start", "geom_id", "prev_geom_id", "urban_rural", "prev_urban_rural", "change", "gap",
@@ -252,12 +265,31 @@ def _through_csv(admins: DataFrame) -> DataFrame:
     return dp.read_admins(admins.sparkSession, root, COUNTRY)
 
 
-def _through_stage(pings: DataFrame) -> DataFrame:
-    root, run = _folder(pings.sparkSession), {"radius": 50, "gap": 3600}
-    dp.write_stage(pings, root, "pings", run)
+def _through_parquet(raw: DataFrame) -> DataFrame:
+    path = f"{_folder(raw.sparkSession)}/raw"
+    raw.write.parquet(path)
+    return dp.read_pings(raw.sparkSession, path)
+
+
+def _through_stage(rows: DataFrame, kind: T.StructType | None = None) -> DataFrame:
+    root, run = _folder(rows.sparkSession), {"radius": 50, "gap": 3600}
+    stage = rows if "country" in rows.columns else rows.withColumn("country", F.lit(COUNTRY))
+    dp.write_stage(stage, root, "stage", run)
+    return dp.read_stage(rows.sparkSession, root, "stage", run, schema=kind)
+
+
+def _country_by_country(pings: DataFrame) -> DataFrame:
+    """One stage, written by one call per country."""
+    root, run = _folder(pings.sparkSession), {"radius": 50}
+    for country in sorted(sample.ZONES):
+        dp.write_stage(pings.where(F.col("country") == country), root, "pings", run)
     return dp.read_stage(pings.sparkSession, root, "pings", run)
 
 
+def _each_country(make: Callable[[str], DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [make(country) for country in ("C0", "C1", "C2")])
+
+
 def _tidy(df: DataFrame) -> DataFrame:
     """Plain column types for the comparison: dates as text, whole numbers as long, doubles rounded."""
     columns = []

@@ -6,6 +6,7 @@ from dwellpath.operators.admin import (
     main_metro_units,
     metro_population,
     metro_units,
+    units_of_country,
     urban_rural,
     wealth_percentile,
     with_wealth_label,

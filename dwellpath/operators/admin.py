@@ -16,6 +16,12 @@ from dwellpath.functions.binning import bin_label
 from dwellpath.schema import require_columns
 
 
+def units_of_country(admins: DataFrame, country: str) -> DataFrame:
+    """The units of one country.  Unit ids are only unique within a country, so joins by unit start from here."""
+    require_columns(admins, "country", "geom_id")
+    return admins.where(F.col("country") == country)
+
+
 def wealth_percentile(admins: DataFrame, by_metro: bool = False) -> DataFrame:
     """``pct_wealth``, the population share of the units at least as rich; near 0 is richest.
 

@@ -7,7 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellpath.operators.admin import add_urban_rural, main_metro_units, urban_rural, wealth_percentile
+from dwellpath.operators.admin import (
+    add_urban_rural,
+    main_metro_units,
+    units_of_country,
+    urban_rural,
+    wealth_percentile,
+)
 from dwellpath.operators.budgets import active_users, metrics_with_admins, time_budgets
 from dwellpath.operators.days import day_pieces
 from dwellpath.operators.indicators import indicator_results, weight_by_home, weight_by_home_and_work
@@ -45,8 +51,10 @@ def indicators_of(labelled: DataFrame, admins: DataFrame, bins: Sequence[float],
     """Entry 2: labelled pieces to the long table of weighted indicators.
 
     Budgets and metrics feed several branches, and the result is a small table that later
-    steps read more than once, so each is written.
+    steps read more than once, so each is written.  ``state`` is the country whose units
+    are used; users without a unit in it do not count.
     """
+    admins = units_of_country(admins, state)
     budgets = cut_lineage(time_budgets(labelled, label_params.start_hour_day, label_params.end_hour_day))
     metrics = cut_lineage(metrics_with_admins(labelled, budgets, activity))
     wealth = wealth_percentile(admins)
@@ -61,8 +69,9 @@ def city_migration(labelled: DataFrame, budgets: DataFrame, admins: DataFrame, b
     """H6: daily mover counts of the main metro area's residents, and who they are.
 
     Both are small tables that the series built on them read more than once, so they are
-    written.
+    written.  Units of other countries in ``admins`` play no part.
     """
+    admins = units_of_country(admins, country)
     active = cut_lineage(active_users(budgets, activity))
     units = cut_lineage(home_units(labelled, admins, active, bins, labels, country))
     residents = labelled.join(units.select("user_id"), "user_id", "left_semi")
@@ -74,6 +83,7 @@ def country_migration(labelled: DataFrame, budgets: DataFrame, admins: DataFrame
                       labels: Sequence[str], country: str, activity: ActivityParams = ActivityParams(level=0.2),
                       seed: int = 0) -> DataFrame:
     """H7: the same counts for residents who have a home stop in a rural unit."""
+    admins = units_of_country(admins, country)
     active = cut_lineage(active_users(budgets, activity))
     residents = metro_residents(labelled, main_metro_units(admins, bins, labels), active)
     rural = urban_rural(admins).where(F.col("urban_rural") == "rural")
@@ -82,4 +92,4 @@ def country_migration(labelled: DataFrame, budgets: DataFrame, admins: DataFrame
     )
     units = home_units(residents, admins, active, bins, labels, country)
     moves = home_moves(add_urban_rural(residents.join(seen_rural, "user_id", "left_semi"), admins), seed)
-    return cut_lineage(mover_counts(moves, units, country))
+    return mover_counts(moves, units, country)

@@ -454,6 +454,26 @@ CTES["smooth_moves"] = _smooth_migration("count({c}) over w")
 CTES["smooth_moves_pandas"] = _smooth_migration("nullif(count({c}) over w - 1, 0)")
 
 
+# What hangs on the admin units, once more for each country of the three-country table.
+_BY_COUNTRY = ["admins", "wealth_metro", "metro_labels", "metro_pop", "main_units", "home_in_metro", "residents", "unit_kind",
+               "move_steps", "moves", "movers"]
+
+
+def _of_country(sql: str, k: int) -> str:
+    named = re.sub(rf"\b({'|'.join(_BY_COUNTRY)})\b", rf"\1_c{k}", sql)
+    return named.replace("'XX'", f"'C{k}'")
+
+
+for _k in range(3):
+    for _name in _BY_COUNTRY:
+        CTES[f"{_name}_c{_k}"] = (f"select * from admins3 where country = 'C{_k}'" if _name == "admins"
+                                  else _of_country(CTES[_name], _k))
+
+
+def _countries(name: str) -> str:
+    return " union all ".join(f"select * from {name}_c{k}" for k in range(3))
+
+
 def statement(sql: str) -> str:
     """``sql`` with the common table expressions it needs, in dependency order."""
     ordered: list[str] = []
@@ -497,6 +517,7 @@ _PIECE = f"{_PLACE} i:total_duration_stop_location i:duration"
 _TIMED = f"{_PIECE} t:date d:date_trunc i:t_start_hour i:t_end_hour i:weekday"
 _LABELLED = f"{_TIMED} s:geom_id s:location_type i:home_label i:work_label"
 _EVIDENCE = "s:user_id i:cluster_label d:date_trunc i:duration i:total_pings_stop"
+_BUDGET = "s:user_id d:date_trunc s:day_night f:H f:W f:O i:absolute_H i:absolute_W i:absolute_O"
 _METRICS = "s:user_id d:date f:H i:R f:W i:C f:O"
 _UNIT = "s:country s:geom_id f:pop f:wealth_index f:pct_wealth"
 _HOME = f"{_METRICS} s:geom_id_home s:geom_id_work f:pop_home f:pct_wealth_home s:wealth_label_home i:n_users f:weight"
@@ -519,6 +540,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "a1_read_pings": show("pings", "s:user_id i:ping_id i:epoch_time f:lat f:lon f:accuracy s:country"),
         "a4_read_admins": show("admins", "s:country s:geom_id s:metro_area_name f:pop f:wealth_index"),
+        "a3_labelled_stage": show("select *, 'XX' as country from labelled", f"{_LABELLED} s:country"),
+        "a3_budget_stage": show("select *, 'XX' as country from budgets", f"{_BUDGET} s:country"),
+        "a5_two_countries": show("pings", "s:user_id i:ping_id i:epoch_time f:lat f:lon f:accuracy s:country"),
         "a5_stage_round_trip": show("pings", "s:user_id i:ping_id i:epoch_time f:lat f:lon f:accuracy s:country"),
         "b1_validate": show(
             "select 'lat_range' as rule, (" + outside.format(c="lat", b=90) + ") as violations, (select count(*) from pings)"
@@ -586,7 +610,7 @@ def oracle_sql() -> dict[str, str]:
         "d15_start_hours": show(
             "select location_type, weekday, t_start_hour, count(*) as pieces from labelled where t_start_hour <> 0"
             " group by all", "s:location_type i:weekday i:t_start_hour i:pieces"),
-        "e1_budget": show("budgets", "s:user_id d:date_trunc s:day_night f:H f:W f:O i:absolute_H i:absolute_W i:absolute_O"),
+        "e1_budget": show("budgets", _BUDGET),
         "e2_active": show("active", "s:user_id i:pre i:post i:tot"),
         "e3_daily": show("daily", _METRICS),
         "e4_modal_home": show("modal_home", "s:user_id s:geom_id_home"),
@@ -635,6 +659,8 @@ def oracle_sql() -> dict[str, str]:
             " (select user_id from labelled where location_type = 'H' and geom_id in (select geom_id from main_units))",
             "s:user_id i:t_start i:cluster_label"),
         "h2_home_unit": show("residents", _RESIDENT),
+        "h2_home_unit_countries": show(_countries("residents"), _RESIDENT),
+        "h6_city_countries": show(_countries("movers"), _MOVERS),
         "h3_user_info": show("select * from residents join active using (user_id)", f"{_RESIDENT} i:pre i:post i:tot"),
         "h4_moves": show("moves", "s:user_id i:t_start s:geom_id s:prev_geom_id s:urban_rural s:prev_urban_rural s:change"
                                   " i:gap i:rand_gap d:date_trunc"),
