@@ -81,6 +81,14 @@ class Stages:
     def detected(self) -> DataFrame:
         return self._once("detected", lambda: dp.detect_stops(self.pings))
 
+    @property
+    def hard_pings(self) -> DataFrame:
+        return self._once("hard_pings", lambda: sample.sample_hard_pings(self.spark, self.sf_dir))
+
+    @property
+    def hard_clustered(self) -> DataFrame:
+        return self._once("hard_clustered", lambda: dp.cut_lineage(dp.find_stop_locations(self.hard_pings)))
+
     @property
     def clustered(self) -> DataFrame:
         return self._once("clustered", lambda: dp.cut_lineage(dp.find_stop_locations(self.pings)))
@@ -168,14 +176,16 @@ _QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "c1_sessions": lambda s: dp.sessionise(s.pings).select("user_id", "ping_id", "session_id"),
     "c2_stops": lambda s: s.detected,
     "c2_stops_split_users": lambda s: dp.detect_stops(s.pings, dp.StopParams(period_seconds=3600)),
+    "c2_stops_noisy": lambda s: dp.detect_stops(s.hard_pings),
+    "c3_stops_noisy": lambda s: dp.detect_stops(s.hard_pings, dp.StopParams.untimed()),
+    "c6_clusters_chained": lambda s: s.hard_clustered,
+    "c9_recluster_chained": lambda s: dp.recluster(*_before_and_after(s.hard_clustered)),
     "c2_ping_labels": lambda s: dp.label_pings(s.pings),
     "c3_stops_untimed": lambda s: dp.detect_stops(s.pings, dp.StopParams.untimed()),
     "c5_stops_all_accuracies": lambda s: dp.detect_stops(s.pings, dp.StopParams(accuracy_includes_last=True)),
     "c6_clusters": lambda s: s.clustered,
     "c7_stop_locations": lambda s: dp.find_stop_locations(s.pings),
-    "c9_recluster": lambda s: dp.recluster(
-        s.clustered.where(F.col("t_start") < F.unix_timestamp(F.lit(oracles.SPLIT), "yyyy-MM-dd")),
-        s.clustered.where(F.col("t_start") >= F.unix_timestamp(F.lit(oracles.SPLIT), "yyyy-MM-dd"))),
+    "c9_recluster": lambda s: dp.recluster(*_before_and_after(s.clustered)),
     "c10_day_split": lambda s: dp.split_at_midnight(s.clustered),
     "c11_time_fields": lambda s: dp.day_pieces(s.clustered),
     "c12_mode_label": lambda s: dp.most_frequent_label(s.clustered, ["user_id"]),
@@ -254,6 +264,11 @@ _QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
 MOBILITY_QUERIES = frozenset(_QUERIES)
 
 
+def _before_and_after(stops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    split = F.unix_timestamp(F.lit(oracles.SPLIT), "yyyy-MM-dd")
+    return stops.where(F.col("t_start") < split), stops.where(F.col("t_start") >= split)
+
+
 def _folder(spark: SparkSession) -> str:
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/exchange/{uuid.uuid4().hex}"

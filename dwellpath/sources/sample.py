@@ -44,6 +44,23 @@ from k
 """
 
 
+# The same events as noisier tracks: more pings per visit, places 222 m apart, noise of up to
+# 55 m per axis, a drift along the visit, and pairs of pings that share a second.
+_HARD_PINGS_SQL = _PINGS_SQL[:_PINGS_SQL.index("k as (")] + """
+k as (select *, explode(sequence(0L, 5 + event_id % 10)) as k from m)
+select cast(user_id as string) as user_id,
+  event_id * 16 + k as ping_id,
+  b + (k div 2) * 150 as epoch_time,
+  cast(-30 + (user_id * 37) % 60 as double) + cast(place as double) * 0.002D
+    + cast((event_id * 7919 + k * 104729) % 1001 - 500 as double) * 0.00000103D + cast(k as double) * 0.00002D as lat,
+  cast(-100 + (user_id * 53) % 200 as double) + cast(place % 3 as double) * 0.001D
+    + cast((event_id * 6007 + k * 15485863) % 1001 - 500 as double) * 0.00000103D as lon,
+  cast(5 + (event_id * 13 + k * 3) % 240 as double) as accuracy,
+  case user_id % 5 when 0 then 'BR' when 1 then 'CO' when 2 then 'ID' when 3 then 'MX' else 'PH' end as country
+from k
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,6 +69,10 @@ def sample_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_PINGS_SQL, events=_table(spark, sf_dir, "events"))
 
 
+def sample_hard_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_HARD_PINGS_SQL, events=_table(spark, sf_dir, "events"))
+
+
 def sample_zones(spark: SparkSession) -> DataFrame:
     rows = ", ".join(f"('{country}', '{zone}')" for country, zone in sorted(ZONES.items()))
     return spark.sql(f"select * from values {rows} as zones(country, timezone)")

@@ -123,6 +123,22 @@ from numbered n join (select user_id, a, min(root) as root from reach group by u
   on m.user_id = n.user_id and m.a = n.sid
 """
 
+_HARD = ["pings", "sessions", "untimed_sessions", "chain", "grow", "stops_all", "chain_untimed", "grow_untimed",
+         "stops_all_untimed", "stops", "numbered", "close_pairs", "reach", "clustered"]
+for _name in _HARD:
+    CTES[f"{_name}_hard"] = re.sub(rf"\b({'|'.join(_HARD)})\b", r"\1_hard", CTES[_name])
+_visits = CTES["pings"][CTES["pings"].index("from ("):].replace("range(0, 2 + event_id % 4)", "range(0, 6 + event_id % 10)")
+CTES["pings_hard"] = f"""
+select cast(user_id as varchar) as user_id, event_id * 16 + k as ping_id, b + (k // 2) * 150 as epoch_time,
+  cast(-30 + (user_id * 37) % 60 as double) + cast(place as double) * cast(0.002 as double)
+    + cast((event_id * 7919 + k * 104729) % 1001 - 500 as double) * cast(0.00000103 as double)
+    + cast(k as double) * cast(0.00002 as double) as lat,
+  cast(-100 + (user_id * 53) % 200 as double) + cast(place % 3 as double) * cast(0.001 as double)
+    + cast((event_id * 6007 + k * 15485863) % 1001 - 500 as double) * cast(0.00000103 as double) as lon,
+  cast(5 + (event_id * 13 + k * 3) % 240 as double) as accuracy,
+  case user_id % 5 when 0 then 'BR' when 1 then 'CO' when 2 then 'ID' when 3 then 'MX' else 'PH' end as country
+{_visits}"""
+
 CTES["day_cut"] = """
 select c.* exclude (t_start, t_end, d), t_end - t_start as total_duration_stop_location,
   greatest(t_start, d * 86400) as t_start, least(t_end, (d + 1) * 86400) as t_end,
@@ -568,6 +584,11 @@ def oracle_sql() -> dict[str, str]:
         "c1_sessions": show("sessions", "s:user_id i:ping_id i:session_id"),
         "c2_stops": show("stops_all", _STOP),
         "c2_stops_split_users": show("stops_all", _STOP),
+        "c2_stops_noisy": show("stops_all_hard", _STOP),
+        "c3_stops_noisy": show("stops_all_untimed_hard", _STOP),
+        "c6_clusters_chained": show("clustered_hard", _PLACE),
+        "c9_recluster_chained": show(
+            "select *, t_end - t_start as total_duration_stop_location, t_end - t_start as duration from clustered_hard", _PIECE),
         "c2_ping_labels": show("ping_labels", "s:user_id i:ping_id i:stop"),
         "c3_stops_untimed": show("stops_all_untimed", _STOP),
         "c5_stops_all_accuracies": show(
