@@ -42,15 +42,15 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     digested = pages.select("page_id", "url", payload.alias("payload")).select(
         "page_id", "url", "payload", F.sha2("payload", 256).alias("digest"))
+    named = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     index = cut_lineage(digested.select(
         "page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1")))
     # max ignores nulls: a payload whose pages all lack an id has the keeper null, and all are responses
     keepers = index.groupBy("digest").agg(F.max("page_id").alias("keeper"))
-    stored = digested.select("page_id", "digest", "payload").alias("d").join(
-        keepers.alias("k"), F.col("d.page_id").eqNullSafe(F.col("k.keeper")) & (F.col("d.digest") == F.col("k.digest")),
-        "left_semi")
-    # rows left over for one digest can only be repeats of one page id
-    stored.groupBy("page_id", "digest").agg(F.first("payload").alias("payload")).select("digest", "payload").write.parquet(
+    # of each payload the rows of one page; more than one can only be repeats of that page
+    chosen = keepers.select("digest", F.coalesce(F.col("keeper").cast("string"), F.lit("none")).alias("page"))
+    stored = digested.select(named.alias("page"), "digest", "payload").join(chosen, ["digest", "page"], "left_semi")
+    stored.groupBy("digest", "page").agg(F.first("payload").alias("payload")).select("digest", "payload").write.parquet(
         f"{path}/payloads")
     revisit = (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     header = F.concat(
@@ -70,7 +70,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
 
 
 def _header_field(name: str) -> Column:
-    return F.regexp_extract(F.col("header").cast("string"), rf"(?m)^{name}: (.*?)\r?$", 1)
+    return F.regexp_extract(F.col("header").cast("string"), rf"(?dm)^{name}: (.*?)\r?$", 1)
 
 
 def _page(field: Column) -> Column:
