@@ -180,6 +180,8 @@ _QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "c3_stops_noisy": lambda s: dp.detect_stops(s.hard_pings, dp.StopParams.untimed()),
     "c6_clusters_chained": lambda s: s.hard_clustered,
     "c9_recluster_chained": lambda s: dp.recluster(*_before_and_after(s.hard_clustered)),
+    "c9_recluster_touched": lambda s: dp.recluster(
+        *_before_and_after(s.clustered), history_radius_m=dp.CLUSTER_RADIUS_M),
     "c2_ping_labels": lambda s: dp.label_pings(s.pings),
     "c3_stops_untimed": lambda s: dp.detect_stops(s.pings, dp.StopParams.untimed()),
     "c5_stops_all_accuracies": lambda s: dp.detect_stops(s.pings, dp.StopParams(accuracy_includes_last=True)),

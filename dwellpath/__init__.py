@@ -70,7 +70,7 @@ from dwellpath.operators.pings import (
 from dwellpath.operators.stops import detect_stops, find_stop_locations, label_pings, sessionise
 from dwellpath.params import ActivityParams, LabelParams, StopParams
 from dwellpath.plans.pipelines import city_migration, country_migration, indicators_of, labelled_pieces_of
-from dwellpath.session import cut_lineage
+from dwellpath.session import cut_lineage, remove_stages
 from dwellpath.sources.tables import prepare_pings, read_admins, read_pings, read_stage, write_stage
 
 __all__ = [name for name in dir() if not name.startswith("_")]

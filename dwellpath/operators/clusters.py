@@ -60,20 +60,28 @@ def cluster_stops(stops: DataFrame, radius_m: float = CLUSTER_RADIUS_M) -> DataF
     return celled.join(labels, ["user_id", "_cell"]).select(*stops.columns, "cluster_label")
 
 
-def recluster(history: DataFrame, new_stops: DataFrame, radius_m: float = CLUSTER_RADIUS_M) -> DataFrame:
+def recluster(history: DataFrame, new_stops: DataFrame, radius_m: float = CLUSTER_RADIUS_M,
+              history_radius_m: float | None = None) -> DataFrame:
     """Cluster stored stops and newly found ones together.
 
-    Old labels are replaced; both durations are derived from the times where absent.
+    Old labels are replaced; both durations are derived from the times where absent.  If
+    ``history_radius_m``, the radius behind the stored labels, equals ``radius_m``, users
+    without a new stop keep their stored labels and only the others are clustered again.
     """
     names = [name for name in CLUSTERED_STOPS.fieldNames() if name != "cluster_label"]
     spans = [(name, F.col("t_end") - F.col("t_start")) for name in ("total_duration_stop_location", "duration")]
 
-    def conform(df: DataFrame) -> DataFrame:
-        require_columns(df, *names)
+    def conform(df: DataFrame, *more: str) -> DataFrame:
+        require_columns(df, *names, *more)
         extra = [F.coalesce(F.col(n), span).alias(n) if n in df.columns else span.alias(n) for n, span in spans]
-        return df.select(*names, *extra)
-
-    return cluster_stops(conform(history).unionByName(conform(new_stops)), radius_m)
+        return df.select(*names, *extra, *more)
+
+    if history_radius_m != radius_m:
+        return cluster_stops(conform(history).unionByName(conform(new_stops)), radius_m)
+    touched = cut_lineage(new_stops.select("user_id").distinct())
+    again = conform(history).join(touched, "user_id", "left_semi").unionByName(conform(new_stops))
+    kept = conform(history, "cluster_label").join(touched, "user_id", "left_anti")
+    return cluster_stops(again, radius_m).unionByName(kept)
 
 
 def most_frequent_label(df: DataFrame, keys: list[str], label: str = "cluster_label") -> DataFrame:

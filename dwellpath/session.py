@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,8 +20,8 @@ def require_utc(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder; on a cluster
-    a machine-local folder would lose the data with the machine.
+    Only a local session without that setting gets a temporary folder, removed when the
+    program ends; on a cluster a machine-local folder would lose the data with the machine.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
@@ -28,7 +30,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         context.setCheckpointDir(configured)
     elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="dwellpath-"))
+        folder = tempfile.mkdtemp(prefix="dwellpath-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
@@ -44,3 +48,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/stages/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_stages(spark: SparkSession) -> None:
+    """Remove all tables :func:`cut_lineage` has written in this application; nothing may read them afterwards."""
+    root = spark.sparkContext.getCheckpointDir()
+    if root is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/stages")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

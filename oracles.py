@@ -597,6 +597,8 @@ def oracle_sql() -> dict[str, str]:
         "c7_stop_locations": show("clustered", _PLACE),
         "c9_recluster": show(
             "select *, t_end - t_start as total_duration_stop_location, t_end - t_start as duration from clustered", _PIECE),
+        "c9_recluster_touched": show(
+            "select *, t_end - t_start as total_duration_stop_location, t_end - t_start as duration from clustered", _PIECE),
         "c10_day_split": show("day_cut", _PIECE),
         "c11_time_fields": show("timed", _TIMED),
         "c12_mode_label": show(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import types as T
@@ -93,3 +94,16 @@ def test_a_session_in_another_zone_is_refused(spark):
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="lat"):
         dp.validation_report(spark.createDataFrame([], "user_id string, epoch_time long"))
+
+
+def test_written_stages_can_be_removed(spark, tmp_path):
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        (file,) = dp.cut_lineage(spark.range(3).coalesce(1)).inputFiles()
+        assert os.path.exists(file.removeprefix("file://"))
+        dp.remove_stages(spark)
+        assert not os.path.exists(file.removeprefix("file://"))
+    finally:
+        if before is not None:
+            spark.sparkContext.setCheckpointDir(before)
