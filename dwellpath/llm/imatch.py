@@ -49,7 +49,7 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, shares: dict[
 
 
 def fingerprints(texts: DataFrame, words: DataFrame, keys: list[str], shares: dict[int, int] = SHARES) -> DataFrame:
-    """``keys`` and ``hashes`` per group of ``keys``: one hash per subset, null where no term is in it.
+    """``keys`` and ``hashes`` per group of ``keys``: one 32-bit hash per subset, null where no term is in it.
 
     ``texts`` has one text per group of ``keys``; groups without lexicon terms do not appear.
     """
@@ -60,7 +60,7 @@ def fingerprints(texts: DataFrame, words: DataFrame, keys: list[str], shares: di
     def hashed(k: Column) -> Column:
         mine = F.filter("terms", lambda t: F.getbit(t["subsets"], k) == 1)
         joined = F.array_join(F.transform(mine, lambda t: t["term"]), " ")
-        return F.when(joined != "", F.xxhash64(joined))
+        return F.when(joined != "", F.hash(joined))
 
     return gathered.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), hashed).alias("hashes"))
 
@@ -87,8 +87,8 @@ def following(docs: DataFrame) -> DataFrame:
     ring = Window.orderBy("part")
     around = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = heads.select("part", F.coalesce(F.lead("key").over(ring), F.first("key").over(around)).alias("after"))
-    return ids.withColumn("next_key", F.lead("key").over(inside)).join(after, "part").select(
-        "key", F.coalesce("next_key", "after").alias("next_key"))
+    return cut_lineage(ids.withColumn("next_key", F.lead("key").over(inside)).join(after, "part").select(
+        "key", F.coalesce("next_key", "after").alias("next_key")))
 
 
 def _key() -> Column:
@@ -102,13 +102,13 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     Columns ``key``, ``doc_id``, ``next_key``, ``text``, ``edited``.  Rows that share an id
     are one document, the one with the greatest text; a null text is empty.
     """
-    base = docs.groupBy(_key().alias("key")).agg(
-        F.max("doc_id").alias("doc_id"), F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    # both uses of base read the same two columns, so its shuffle is written once
+    base = docs.groupBy(_key().alias("key")).agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
     own = base.join(following(docs), "key").withColumn("third", F.floor(F.char_length("text") / 3).cast("int"))
     wanted = own.select(F.col("next_key").alias("key"), F.col("key").alias("for_key"), "third")
     heads = base.join(wanted, "key").select(
         F.col("for_key").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("third")).alias("head"))
-    return own.join(heads, "key").select("key", "doc_id", "next_key", "text", F.concat(
+    return own.join(heads, "key").select("key", F.col("key").try_cast("long").alias("doc_id"), "next_key", "text", F.concat(
         F.substring(F.col("text"), F.lit(1), F.char_length("text") - F.col("third")), "head").alias("edited"))
 
 
@@ -119,7 +119,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """
     words = lexicon(docs)
     pairs = edited_pairs(docs)
-    digest = [F.sha2(F.col(name).cast("binary"), 256) for name in ("text", "edited")]
+    digest = [F.unhex(F.sha2(F.col(name).cast("binary"), 256)) for name in ("text", "edited")]
     both = pairs.select("key", F.inline(F.array(
         F.struct(F.lit(False).alias("changed"), F.col("text").alias("text")),
         F.struct(F.lit(True).alias("changed"), F.col("edited").alias("text")))))
@@ -128,10 +128,10 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         F.max(F.when(F.col("changed"), F.col("hashes"))).alias("other"))
     facts = pairs.select("key", "doc_id", "next_key", F.char_length("text").cast("long").alias("n_chars"),
                          digest[0].alias("sha"), digest[1].alias("edited_sha256"))
-    own = cut_lineage(facts.join(prints, "key", "left"))
+    own = cut_lineage(facts.join(prints, "key", "left"))  # read from both sides of the last join
     following_one = own.select(F.col("key").alias("next_key"), F.col("own").alias("next_own"), F.col("sha").alias("next_sha"))
     return own.join(following_one, "next_key").select(
-        "doc_id", "n_chars", "edited_sha256", _written("own", "sha").alias("fingerprint"),
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), _written("own", "sha").alias("fingerprint"),
         _written("other", "edited_sha256").alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other"), F.col("sha") == F.col("edited_sha256")).alias("near_edited"),
         likeness(F.col("own"), F.col("next_own"), F.col("sha") == F.col("next_sha")).alias("near_next"))
@@ -139,8 +139,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
 def _written(hashes: str, digest: str) -> Column:
     """A fingerprint as text: the hash of each subset in hexadecimal, - where no term is in it."""
-    each = F.transform(hashes, lambda h: F.coalesce(F.lower(F.hex(h)), F.lit("-")))
-    return F.coalesce(F.array_join(each, "."), F.col(digest))
+    each = F.transform(hashes, lambda h: F.coalesce(F.lower(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit("-")))
+    return F.coalesce(F.array_join(each, "."), F.lower(F.hex(digest)))
 
 
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
