@@ -126,7 +126,7 @@ def test_held_out_texts_score_better_than_by_word_counts(spark):
 def test_spelling_is_a_distribution():
     # over all words of one or two of four letters and the rest, probabilities stay below one
     histories = np.zeros((mixing.CONTEXTS, 1 << mixing.TABLE_BITS, 2), np.int32)
-    model = mixing.Spelling(histories, np.full((mixing.GATES, mixing.CONTEXTS + 1), 0.3), np.full((8, mixing.MAP_STEPS), 0.5))
+    model = mixing.Spelling(mixing._stretched(histories), np.full((mixing.GATES, mixing.CONTEXTS + 1), 0.3), np.full((8, mixing.MAP_STEPS), 0.5))
     letters = [bytes([b]) for b in range(256) if bytes([b]) not in b" \t\n\r\x0b\x0c"]
     total = sum(2 ** mixing._spelling_cost(letters, model))
     assert 0 < total < 1
