@@ -11,8 +11,15 @@ cost in proportion to its size.  Then all orders are searched for pairs that lie
 different components but in one region, that is, share a prefix of ``MIN_DEPTH`` values.
 The depth adapts: a region crowded with more than ``CROWD`` classes is cut by further
 values until its parts are small, and each of its classes meets its nearest ones in
-order.  That is repeated as long as crowded regions yield new links, for components that
-have grown make regions less crowded.
+order.
+
+What that leaves open is settled on the shingles: the classes of crowded regions, and of
+regions that two tasks share, if the region still holds several components.  Their sets
+are ordered by how rare a shingle is among them; similar sets must share one of their
+first shingles.  Sets first meet the most ordinary one of each shingle, which joins the
+variants of a template at a cost in proportion to their number; then all sets of different
+components that share a first shingle, and may be similar by their sizes and the
+shingle's places, are compared.
 
 Sorting is by range over (order, signature, id), so that not even a group of a third of
 all texts lands in one task.
@@ -43,6 +50,8 @@ MIN_AGREE = 6
 # Of the whole signature's values, similar pairs agree in 102 of 128 on average at 0.8; 80 is five deviations below.
 MIN_ALIKE = 0.625
 SIEVE_BITS = 23
+SKETCH_BITS = 24  # at most; fuller counters make the order of shingles less telling, not the result
+PART_ROWS = 1000  # sets of one shingle beyond this number are dealt to several parts
 
 _CHUNK = 1 << 16
 
@@ -147,13 +156,22 @@ def _sorted_orders(classes: DataFrame, orders: int) -> DataFrame:
     return rows.repartitionByRange("order", "key", "rep").sortWithinPartitions("order", "key", "rep")
 
 
-_PAIRS = "a long, b long, crowded boolean"
+_PAIRS = "a long, b long, region long"  # a pair without a region, or a class, null and a region that is not settled
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], names=["a", "b", "region"])
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, crowded: bool) -> pa.RecordBatch:
+def _marks(rows, lo: int, hi: int) -> pa.RecordBatch:
+    """The classes of one region, to be looked at again."""
+    import xxhash
+    order, keys, reps, _ = rows
+    region = xxhash.xxh64_intdigest(keys[lo, :MIN_DEPTH].tobytes(), seed=int(order[lo])) - (1 << 63)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), crowded))],
-        names=["a", "b", "crowded"])
+        [pa.array(reps[lo:hi]), pa.nulls(hi - lo, pa.int64()), pa.array(np.full(hi - lo, region, np.int64))],
+        names=["a", "b", "region"])
 
 
 def _read_sorted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -175,16 +193,17 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = (order[1:] == order[:-1]) & (keys[1:, :MIN_DEPTH] == keys[:-1, :MIN_DEPTH]).all(axis=1)
         near &= (keys[1:] == keys[:-1]).sum(axis=1) >= MIN_AGREE
         near &= reps[1:] != reps[:-1]
-        yield _pairs(reps[:-1][near], reps[1:][near], False)
+        yield _pairs(reps[:-1][near], reps[1:][near])
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs in one region but in different components.
 
     A region is held while it is read; beyond ``HELD`` rows its part so far is searched and
-    its last rows stay for the next, so memory has a bound.
+    its last rows stay for the next, so memory has a bound.  Such a region, and those at the
+    ends of a task's rows, are marked as unsettled.
     """
-    held = None
+    held, part = None, True  # whether the first region may have begun before
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -197,12 +216,19 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_from = int(starts[-1])
         if len(order) - open_from > HELD:
             yield from _search(rows, np.concatenate([starts, [len(order)]]))
-            held = tuple(part[-CROWD:] for part in rows)
+            if part and open_from:
+                yield _marks(rows, 0, int(starts[1]))
+            yield _marks(rows, open_from, len(order))
+            held, part = tuple(column[-CROWD:] for column in rows), True
         else:
             yield from _search(rows, starts)
-            held = tuple(part[open_from:] for part in rows)
+            if part and open_from:
+                yield _marks(rows, 0, int(starts[1]))
+                part = False
+            held = tuple(column[open_from:] for column in rows)
     if held is not None:
         yield from _search(held, np.array([0, len(held[0])]))
+        yield _marks(held, 0, len(held[0]))
 
 
 HELD = 200_000
@@ -211,15 +237,14 @@ HELD = 200_000
 def _search(rows, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
     _, keys, reps, roots = rows
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    crowded: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def compare(a: np.ndarray, b: np.ndarray, into: list) -> None:
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
         apart = roots[a] != roots[b]
         a, b = a[apart], b[apart]
         if len(a):
             alike = (keys[a] == keys[b]).sum(axis=1) >= MIN_AGREE
             if alike.any():
-                into.append((reps[a[alike]], reps[b[alike]]))
+                found.append((reps[a[alike]], reps[b[alike]]))
 
     stack = [(int(lo), int(hi), MIN_DEPTH) for lo, hi in zip(bounds[:-1], bounds[1:]) if hi - lo > 1]
     while stack:
@@ -229,20 +254,19 @@ def _search(rows, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
             continue
         if hi - lo <= CROWD:
             a, b = np.triu_indices(hi - lo, 1)
-            compare(a + lo, b + lo, found)
+            compare(a + lo, b + lo)
             continue
         if depth == MIN_DEPTH:
-            crowded.append((reps[lo:hi], reps[lo:hi]))  # a mark: these classes are looked at again
+            yield _marks(rows, lo, hi)
             for lag in range(1, LAGS + 1):
                 at = np.arange(lo, hi - lag)
-                compare(at, at + lag, crowded)
+                compare(at, at + lag)
         if depth < MAX_DEPTH:
             cuts = np.flatnonzero(keys[lo + 1:hi, depth] != keys[lo:hi - 1, depth]) + lo + 1
             edges = [lo, *cuts.tolist(), hi]
             stack.extend((s, e, depth + 1) for s, e in zip(edges[:-1], edges[1:]) if e - s > 1)
-    for pairs, flag in ((found, False), (crowded, True)):
-        if pairs:
-            yield _pairs(np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs]), flag)
+    if found:
+        yield _pairs(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
 
 
 def _confirm(size: int, percent: int):
@@ -323,6 +347,127 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, pe
     return cut_lineage(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a long, b long").distinct())
 
 
+def _rooted(frame: DataFrame, roots: DataFrame) -> DataFrame:
+    """``frame`` with ``root``, the component of its ``rep``."""
+    return frame.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+
+def _unsettled(marks: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rep`` of the marked classes (``rep``, ``region``) whose region holds several components."""
+    placed = _rooted(marks, roots)
+    several = placed.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return cut_lineage(placed.join(several, "region", "left_semi").select("rep").distinct())
+
+
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """In how many sets each hashed shingle occurs, 0 for one; shingles may share a counter."""
+    total = sets.agg(F.sum(F.octet_length("shingles") / 8).cast("long")).first()[0] or 0
+    bits = min(SKETCH_BITS, max(12, total.bit_length() + 1))
+    shift = np.uint64(64 - bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, np.int64)
+        for batch in pieces_of(batches):
+            slots = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64) >> shift
+            np.add.at(table, slots.astype(np.int64), 1)
+        used = np.flatnonzero(table)
+        for some in np.array_split(used, len(used) // _CHUNK + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(table[some])], names=["slot", "n"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots, counts = batch.column(0).to_numpy(), np.minimum(batch.column(1).to_numpy(), 65535)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([slots.astype("<i4").tobytes()], pa.binary()), pa.array([counts.astype("<u2").tobytes()], pa.binary())],
+                names=["slots", "counts"])
+
+    summed = sets.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    out = np.zeros(1 << bits, np.uint16)
+    for row in summed.mapInArrow(pack, "slots binary, counts binary").toLocalIterator():
+        out[np.frombuffer(row["slots"], "<i4")] = np.frombuffer(row["counts"], "<u2")
+    return out
+
+
+def _first_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of each set, one of which it shares with every set similar to it.
+
+    Per shingle also ``place`` among those of its set that others hold and their number
+    ``common``, the set's ``size`` and how ``ordinary`` its shingles are.
+    """
+    counts = _shingle_counts(sets)
+    shift, shared = np.uint64(65 - len(counts).bit_length()), sets.sparkSession.sparkContext.broadcast(counts)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches):
+            out = []
+            for rep, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                shingles = np.frombuffer(packed, np.uint64)
+                held = shared.value[(shingles >> shift).astype(np.int64)]
+                size, alone = len(shingles), int((held == 0).sum())
+                # fewer in common than percent of the set are too few, so one of the others is
+                first = size + 1 - -(-percent * size // 100)
+                if first > alone:
+                    chosen = shingles[np.lexsort((shingles, held))[alone:first]]
+                    out.append((chosen.view(np.int64), rep, size, size - alone, float(np.log(held + 1.0).mean())))
+            if out:
+                lengths = [len(row[0]) for row in out]
+                wide = [np.repeat(np.array(column), lengths) for column in list(zip(*out))[1:]]
+                place = np.concatenate([np.arange(n) for n in lengths])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([row[0] for row in out])), *map(pa.array, wide[:3]), pa.array(place), pa.array(wide[3])],
+                    names=["shingle", "rep", "size", "common", "place", "ordinary"])
+
+    return cut_lineage(sets.select("rep", "shingles").mapInArrow(
+        choose, "shingle long, rep long, size long, common long, place long, ordinary double"))
+
+
+def _rest(unsettled: DataFrame, links: DataFrame, tested: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
+          percent: int) -> DataFrame:
+    """``links`` with those that join the components of ``unsettled`` classes."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in pieces_of(batches):
+            if len(known) > 1_000_000:
+                known.clear()
+            sets = [_shingle_hashes(text.lower().split(), size, known).tobytes() for text in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+    ends = unsettled.select(F.col("rep").alias("doc_id"))
+    wanted = _sieved(texts, ends).join(ends, "doc_id", "left_semi").select("doc_id", "text")
+    sets = cut_lineage(wanted.mapInArrow(hashed, "rep long, shingles binary").where(F.octet_length("shingles") > 0))
+    first = _first_shingles(sets, percent)
+
+    def near(one: str, other: str):
+        a, b = f"{one}.size", f"{other}.size"
+        return (F.col(a) * percent <= F.col(b) * 100) & (F.col(b) * percent <= F.col(a) * 100)
+
+    def pair(one: str, other: str) -> list:
+        return [F.least(f"{one}.rep", f"{other}.rep").alias("a"), F.greatest(f"{one}.rep", f"{other}.rep").alias("b")]
+
+    placed = _rooted(first, components(links))
+    hubs = placed.groupBy("shingle").agg(
+        F.max(F.struct("ordinary", "rep", "root", "size")).alias("h"), F.min("root").alias("low"), F.max("root").alias("high"))
+    to_hubs = cut_lineage(placed.alias("x").join(hubs.where("low < high").select("shingle", "h.*").alias("y"), "shingle").where(
+        (F.col("x.root") != F.col("y.root")) & near("x", "y")).select(*pair("x", "y")).distinct().join(tested, ["a", "b"], "left_anti"))
+    links = links.unionByName(_links(to_hubs, classes, texts, size, percent))
+
+    placed = cut_lineage(_rooted(first, components(links)))
+    # of two components at least one is not the commonest of a shingle, so pairs begin there
+    commonest = placed.groupBy("shingle", "root").count().groupBy("shingle").agg(
+        F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("rows"), F.count(F.lit(1)).alias("roots")).where(
+        "roots > 1").select("shingle", F.col("most.root").alias("main"), F.ceil(F.col("rows") / PART_ROWS).alias("parts"))
+    dealt = cut_lineage(placed.join(commonest, "shingle"))
+    all_of = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    some_of = dealt.where("root <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    overlap = F.least("x.place", "y.place") + 1 + F.least(
+        F.col("x.common") - F.col("x.place"), F.col("y.common") - F.col("y.place")) - 1
+    met = some_of.alias("x").join(all_of.alias("y"), ["shingle", "part"]).where(
+        (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+        & near("x", "y") & (overlap * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent))
+    rest = met.select(*pair("x", "y")).distinct().join(tested.unionByName(to_hubs), ["a", "b"], "left_anti")
+    return links.unionByName(_links(rest, classes, texts, size, percent))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Groups of near duplicates among ``docs`` (``doc_id`` long, ``text``), one row per row.
 
@@ -346,21 +491,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     tested = cut_lineage(_sorted_orders(alone, CHAIN_ORDERS).mapInArrow(_chain, _PAIRS).select("a", "b").distinct())
     links = _links(tested, classes, whole, shingle_words, percent)
     roots = cut_lineage(components(links))
-    searched = classes
-    while True:
-        placed = searched.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "rep", F.coalesce("root", "rep").alias("root"), "signature")
-        pairs = cut_lineage(_sorted_orders(placed, ORDERS).mapInArrow(_regions, _PAIRS).groupBy("a", "b").agg(
-            F.max("crowded").alias("crowded")).join(tested, ["a", "b"], "left_anti"))
-        new = _links(pairs.where("a <> b"), classes, whole, shingle_words, percent)
-        if not new.limit(1).count():
-            break
-        tested, links = tested.unionByName(pairs.select("a", "b").where("a <> b")), links.unionByName(new)
+    placed = _rooted(classes.select("rep", "signature"), roots)
+    met = cut_lineage(_sorted_orders(placed, ORDERS).mapInArrow(_regions, _PAIRS).distinct())
+    pairs = cut_lineage(met.where("region is null").select("a", "b").join(tested, ["a", "b"], "left_anti"))
+    links = cut_lineage(links.unionByName(_links(pairs, classes, whole, shingle_words, percent)))
+    roots = cut_lineage(components(links))
+    unsettled = _unsettled(met.where("region is not null").select(F.col("a").alias("rep"), "region"), roots)
+    if unsettled.limit(1).count():
+        links = _rest(unsettled, links, tested.unionByName(pairs), classes, whole, shingle_words, percent)
         roots = cut_lineage(components(links))
-        again = pairs.where("a = b").select(F.col("a").alias("rep"))
-        if not again.limit(1).count():
-            break
-        searched = cut_lineage(searched.join(again, "rep", "left_semi"))
     rooted = classes.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("root", "rep").alias("component_id"))
     named = signed.select("doc_id", "n_shingles", "digest").join(rooted, "digest", "left")

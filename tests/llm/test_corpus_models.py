@@ -83,6 +83,33 @@ def test_crowded_region_is_one_group(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_template_joins_variants_that_are_unlike_each_other(spark):
+    draw = random.Random(12)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(5000, " ".join(base))]
+    for k in range(1000):
+        copy = list(base)
+        for at in draw.sample(range(1, 199, 2), 9):
+            copy[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(copy)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert groups(got) == plain_groups(rows, 2)
+    assert {r.component_id for r in got.collect()} == {0}
+
+
+def test_crowded_unlike_variants_without_template_equal_brute_force(spark):
+    draw = random.Random(13)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(300):
+        copy = list(base)
+        for at in draw.sample(range(1, 199, 2), draw.choice([2, 6, 8, 10, 12])):
+            copy[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(copy)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert groups(got) == plain_groups(rows, 2)
+
+
 def test_one_row_of_each_group_stays(spark):
     docs = odd_documents(spark)
     kept = minhash.drop_near_duplicates(docs)
