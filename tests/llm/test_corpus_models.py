@@ -159,6 +159,14 @@ def test_spelling_is_a_distribution():
     assert 0 < total < 1
 
 
+def test_passages_have_about_a_dozen_words():
+    draw = np.random.default_rng(4)
+    symbols = [mixing._END, *(f"w{k}".encode() for k in range(5000))]
+    codes = np.append(draw.integers(1, 5001, 60_000), 0)
+    _, lengths = mixing._passages(codes, symbols)
+    assert lengths.sum() == len(codes) and 11 < lengths.mean() < 13
+
+
 # Toxicity
 
 
