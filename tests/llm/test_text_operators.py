@@ -266,6 +266,19 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert found >= 200 and false <= 0.05 * found + 1
 
 
+def test_long_ordinary_runs_are_not_reported(spark):
+    runs = [f"/usr/lib/python{k}/site-packages/common/tools" for k in range(30)]
+    runs += [f"the-{k}-best-places-to-see-in-the-north-of-italy" for k in range(30)] + ["-" * 40, "=" + "0" * 30 + "1", "_-" * 30]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    assert all(kind != 3 for row in secrets.find_secrets(docs).collect() for _, kind, _ in row.spans)
+
+
+def test_few_random_strings_are_enough(spark):
+    keys = ["".join(random.Random(k).choices(secrets.ALPHABETS["base64"], k=40)) for k in range(15)]
+    docs = spark.createDataFrame([(k, f"see {key} here") for k, key in enumerate(keys)], "doc_id long, text string")
+    assert sum([tuple(s) for s in row.spans] == [(4, 3, 44)] for row in secrets.find_secrets(docs).collect()) >= 12
+
+
 # Archives
 
 
