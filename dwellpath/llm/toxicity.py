@@ -29,7 +29,7 @@ from dwellpath.llm.decontaminate import words_of
 
 FEATURE_BITS = 18
 GRAM = 5
-FEATURES = 4096
+LEAST = 5  # positive documents that hold a feature; fewer suffice where there are fewer than ten
 # Bounds of the training sample, drawn by a hash of the id.
 POSITIVES, UNLABELLED = 8_000, 24_000
 KNOWN_WORDS = 300_000
@@ -91,10 +91,11 @@ def _feature_counts(docs: DataFrame, positives: np.ndarray) -> DataFrame:
 
 
 def _kept_features(counts: DataFrame, positives: int, rows: int) -> np.ndarray:
-    """The features whose count among the positives most exceeds what their share of all texts predicts."""
+    """The features whose count among the positives clearly exceeds what their share of all texts predicts."""
     expected = F.col("total") * (positives / max(1, rows))
     excess = (F.col("positive") - expected) / F.sqrt(expected)
-    best = counts.where((F.col("positive") >= 5) & (excess > 4)).orderBy(F.desc(excess), "bucket").limit(FEATURES)
+    least = max(1, min(LEAST, positives // 2))
+    best = counts.where((F.col("positive") >= least) & (excess > 4))
     return np.sort(np.array([r["bucket"] for r in best.select("bucket").collect()], np.int64))
 
 

@@ -189,6 +189,22 @@ def test_odd_texts_and_labels(spark):
     assert toxicity.drop_toxic(no_documents(spark), labels).count() == 0
 
 
+def test_few_toxic_documents_are_learned_from(spark):
+    rows = [(k, f"plain words number n{k} about weather and gardens") for k in range(200)]
+    toxic = [k for k in range(200, 230) if fold(k, 5) != 0][:3]
+    rows += [(k, "vilest slander against everyone") for k in toxic]
+    docs = spark.createDataFrame([*rows, (1000, "vilest slander against everyone")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k >= 200)) for k, _ in rows], "doc_id long, toxic int")
+    scored, column = toxicity.score(docs, toxicity.train(docs, labels))
+    scores = {r.doc_id: r[column] for r in scored.collect()}
+    assert scores[1000] >= 0.5 and all(scores[k] < 0.5 for k in range(200))
+
+
+def test_all_clear_features_are_kept(spark):
+    counts = spark.range(6000).selectExpr("id as bucket", "10L as positive", "20L as total")
+    assert len(toxicity._kept_features(counts, 10, 1000)) == 6000
+
+
 def test_risk_recovers_the_clean_class():
     draw = random.Random(2)
     toxic = [np.array([draw.randrange(5)]) for _ in range(300)]
