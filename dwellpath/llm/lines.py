@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellpath.llm.common import BLANKS, ascii_lower, documents, free_name
+from dwellpath.session import cut_lineage
 
 
 def line_key(line: Column) -> Column:
@@ -30,11 +31,14 @@ def line_hashes(text: Column, min_chars: int) -> Column:
 def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Lines to drop, as one row per ``doc_id``: ``drop``, the hashes of the lines it loses."""
     held = docs.select("doc_id", F.explode(F.array_compact(F.array_distinct(line_hashes(F.col("text"), min_chars)))).alias("line"))
+    # rows first, which combine before the shuffle; only lines in enough rows are reduced to distinct documents
+    often = held.groupBy("line").count().where(F.col("count") >= min_docs).select("line")
+    common = cut_lineage(held.join(often, "line").select("doc_id", "line").distinct())
     frequent = (
-        held.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper"))
+        common.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("docs") >= min_docs).select("line", "keeper")
     )
-    lost = held.join(frequent, "line").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    lost = common.join(frequent, "line").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id").agg(F.collect_set("line").alias("drop"))
 
 
@@ -42,10 +46,10 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     """``docs`` (with ``doc_id`` and ``text``), plus ``n_lines``, ``n_dropped`` and ``kept_text``.
 
     A line's key is the line without white space at its ends, A-Z lower-cased.  A key of
-    ``min_chars`` code points or more that ``min_docs`` or more rows hold stays only in the
+    ``min_chars`` code points or more that ``min_docs`` or more ids hold stays only in the
     rows of the largest ``doc_id`` that holds it; there all its lines stay.  A null or empty
-    text is one empty line.  Each row counts as a document, also rows that share an id; a
-    null id is below all others.  Columns of ``docs`` keep their names (clashes rename the
+    text is one empty line.  Rows that share an id, or have none, are one document; a null
+    id is below all others.  Columns of ``docs`` keep their names (clashes rename the
     new ones); the three new columns come last.
     """
     drop = free_name(docs, "_drop")

@@ -157,6 +157,11 @@ def test_lines_equal_brute_force(spark):
     assert lines.drop_shared_lines(no_documents(spark)).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    docs = spark.createDataFrame([*[(1, LINE)] * 4, (2, LINE)], "doc_id long, text string")
+    assert {r.n_dropped for r in lines.drop_shared_lines(docs).collect()} == {0}
+
+
 # Fingerprints
 
 
