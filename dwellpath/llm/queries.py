@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellpath.llm import bpe, chat, decontaminate, imatch, lines, minhash, mixing, secrets, toxicity, warc
+from dwellpath.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    divergence,
+    imatch,
+    lines,
+    minhash,
+    mixing,
+    secrets,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_forest": minhash.op1_minhash_forest,
@@ -19,9 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_warc": warc.op9_warc,
     "op10_secrets": secrets.op10_secrets,
+    "op12_divergence": divergence.op12_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": lines.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op12_divergence": divergence.OP12_SQL,
 }
