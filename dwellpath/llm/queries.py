@@ -12,6 +12,7 @@ from dwellpath.llm import (
     decontaminate,
     divergence,
     imatch,
+    lexical,
     lines,
     minhash,
     mixing,
@@ -31,11 +32,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_warc": warc.op9_warc,
     "op10_secrets": secrets.op10_secrets,
+    "op11_lexical": lexical.op11_lexical,
     "op12_divergence": divergence.op12_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": lines.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op11_lexical": lexical.OP11_SQL,
     "op12_divergence": divergence.OP12_SQL,
 }
