@@ -16,6 +16,7 @@ from dwellpath.llm import (
     lines,
     minhash,
     mixing,
+    neighbours,
     secrets,
     toxicity,
     warc,
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": secrets.op10_secrets,
     "op11_lexical": lexical.op11_lexical,
     "op12_divergence": divergence.op12_divergence,
+    "op13_learned_partitions": neighbours.op13_learned_partitions,
 }
 
 ORACLE_SQL: dict[str, str] = {
