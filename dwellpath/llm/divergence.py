@@ -23,7 +23,6 @@ id).  A group without kept terms takes part with value 0; an empty table gives n
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,11 +46,11 @@ CHUNK = 64
 # Fixed value: maximal runs of letters A-Z and of everything beyond ASCII, as UTF-8 bytes.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 
-# Counts held in a task before they are handed on.
-HELD_COUNTS = 1_000_000
+# Words held in a task before their counts are handed on.
+HELD_WORDS = 3_000_000
 
-_COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()),
-                      ("docs", pa.list_(pa.int64())), ("unnamed", pa.bool_())])
+_COUNTED = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())),
+                      ("counts", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
 _BIGGEST_EXACT = (2 ** 63 - 1) // WHOLE - 1
 
 
@@ -68,12 +67,13 @@ def divergence(docs: DataFrame) -> DataFrame:
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text",
         F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
-    # both readers need every count, and counting reads the texts, so it is done once
-    counted = cut_lineage(named.mapInArrow(count_terms, "lang string, source string, term string, n long,"
-                                           " docs array<long>, unnamed boolean"))
+    # three readers need the counts, and counting reads the texts, so it is done once
+    counted = cut_lineage(named.mapInArrow(
+        count_terms, "lang string, term string, sources array<string>, counts array<long>, docs array<long>"))
     counts = cut_lineage(
-        counted.where("source is not null").join(kept_terms(counted), ["lang", "term"], "left_semi")
-        .groupBy("lang", "term", "source").agg(F.sum("n").alias("n")))
+        counted.join(kept_terms(counted), ["lang", "term"], "left_semi")
+        .select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("entry"))
+        .groupBy("lang", "term", F.col("entry.sources").alias("source")).agg(F.sum("entry.counts").alias("n")))
     groups = _groups(named, counts)
     blocks = _in_blocks(counts)
     priced = cut_lineage(_with_groups(blocks, groups).groupBy("lang", "level", "part", "one", "two").applyInPandas(
@@ -81,65 +81,83 @@ def divergence(docs: DataFrame) -> DataFrame:
     return _ranked(priced, groups)
 
 
+class Numbers(dict):
+    """Numbers things from 0 on in the order they are first asked for."""
+
+    def __missing__(self, thing) -> int:
+        self[thing] = number = len(self)
+        return number
+
+
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts per (lang, source, term), and per (lang, term) documents that hold it.
+    """Per language and term: its counts by source, and up to ``MIN_DOCS`` different ids of documents that hold it.
 
-    Rows without a source list up to ``MIN_DOCS`` different ids of a term's documents (all of
-    them, if fewer), which is enough to tell whether so many exist anywhere; ``unnamed``
-    stands for the null id.
+    So many ids are enough to tell whether as many exist anywhere.  Words are numbered as
+    they are read, and counted by sorting numbers.
     """
-    counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-    holders: dict[str, dict[bytes, tuple]] = defaultdict(dict)
-
-    def result() -> Iterator[pa.RecordBatch]:
-        for (lang, source), terms in counts.items():
-            size = len(terms)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string()),
-                pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(list(terms.values()), pa.int64()),
-                pa.nulls(size, pa.list_(pa.int64())), pa.nulls(size, pa.bool_())], schema=_COUNTED)
-        for lang, terms in holders.items():
-            size = len(terms)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * size, pa.string()), pa.nulls(size, pa.string()),
-                pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array([0] * size, pa.int64()),
-                pa.array([[i for i in ids if i is not None] for ids in terms.values()], pa.list_(pa.int64())),
-                pa.array([None in ids for ids in terms.values()], pa.bool_())], schema=_COUNTED)
-        counts.clear()
-        holders.clear()
-
-    for batch in batches:
-        for piece in pieces_of([batch]):
-            names = {name: piece.column(name) for name in piece.schema.names}
-            for doc, text, lang, source in zip(names["doc_id"].to_pylist(), text_bytes(names["text"]),
-                                               names["lang"].to_pylist(), names["source"].to_pylist()):
-                terms = Counter(TERM.findall(text.lower()))
-                counts[lang, source].update(terms)
-                held = holders[lang]
-                for term in terms:
-                    ids = held.get(term)
-                    if ids is None:
-                        held[term] = (doc,)
-                    elif len(ids) < MIN_DOCS and doc not in ids:
-                        held[term] = (*ids, doc)
-            if sum(map(len, counts.values())) > HELD_COUNTS:
-                yield from result()
-    yield from result()
+    terms, langs, sources, docs = Numbers(), Numbers(), Numbers(), Numbers()
+    words: list[np.ndarray] = []
+    owners: list[tuple[int, int, int]] = []
+    held = 0
+
+    def result() -> pa.RecordBatch:
+        numbers = (terms, langs, sources, docs)
+        by_doc = np.array(owners, np.int64).reshape(-1, 3)[np.repeat(np.arange(len(words)), [len(w) for w in words])]
+        key = np.concatenate(words)
+        for column, known in zip(by_doc.T, numbers[1:]):
+            key = key * len(known) + column
+        key, times = np.unique(key, return_counts=True)
+        group, doc = key // len(docs), key % len(docs)
+        place = group // len(sources)
+        at_group, at_place = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (group, place))
+        # a document that repeats its id in another source counts once
+        holder, offsets = _first_of_each(np.unique(place * len(docs) + doc), len(docs))
+        names = pa.array(list(docs), pa.int64())
+        return pa.RecordBatch.from_arrays([
+            pa.array(list(langs), pa.string()).take(pa.array(place[at_place] % len(langs))),
+            pa.array(list(terms), pa.binary()).cast(pa.string()).take(pa.array(place[at_place] // len(langs))),
+            *(pa.ListArray.from_arrays(np.append(np.searchsorted(at_group, at_place), len(at_group)).astype(np.int32), values)
+              for values in (pa.array(list(sources), pa.string()).take(pa.array(group[at_group] % len(sources))),
+                             pa.array(np.add.reduceat(times, at_group)))),
+            pa.ListArray.from_arrays(offsets, names.take(pa.array(holder)))], schema=_COUNTED)
+
+    for piece in pieces_of(batches):
+        names = {name: piece.column(name) for name in piece.schema.names}
+        for doc, text, lang, source in zip(names["doc_id"].to_pylist(), text_bytes(names["text"]),
+                                           names["lang"].to_pylist(), names["source"].to_pylist()):
+            found = TERM.findall(text.lower())
+            if found:
+                words.append(np.fromiter(map(terms.__getitem__, found), np.int64, len(found)))
+                owners.append((langs[lang], sources[source], docs[doc]))
+                held += len(found)
+        if held > HELD_WORDS:
+            yield result()
+            for known in (terms, langs, sources, docs, words, owners):
+                known.clear()
+            held = 0
+    if held:
+        yield result()
+
+
+def _first_of_each(pairs: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``MIN_DOCS`` second parts of sorted ``first * wide + second``, and where each first part's begin."""
+    first = pairs // wide
+    starts = np.flatnonzero(np.diff(first, prepend=-1))
+    sizes = np.diff(np.append(starts, len(first)))
+    kept = np.arange(len(first)) - np.repeat(starts, sizes) < MIN_DOCS
+    return pairs[kept] % wide, np.concatenate([[0], np.cumsum(np.minimum(sizes, MIN_DOCS))]).astype(np.int32)
 
 
 def kept_terms(counted: DataFrame) -> DataFrame:
     """(lang, term) of the terms that occur in at least ``MIN_DOCS`` documents."""
-    holders = counted.where("source is null").withColumn(
-        "ids", F.size("docs") + F.col("unnamed").cast("int"))
-    # a term that one task has seen often enough needs no comparison of ids
-    sure = holders.where(F.col("ids") >= MIN_DOCS).select("lang", "term")
-    rare = (
-        holders.where(F.col("ids") < MIN_DOCS)
-        .select("lang", "term", F.explode(F.when(F.col("unnamed"), F.array_append("docs", F.lit(None).cast("long")))
-                                          .otherwise(F.col("docs"))).alias("doc"))
-        .distinct().groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS)
-        .select("lang", "term"))
-    return sure.union(rare).distinct()
+    seen = counted.groupBy("lang", "term").agg(F.max(F.size("docs")).alias("most"), F.sum(F.size("docs")).alias("all"))
+    # too few ids even if all differ, or enough in one place: no id needs to be compared
+    able = cut_lineage(seen.where(F.col("all") >= MIN_DOCS).select("lang", "term", (F.col("most") >= MIN_DOCS).alias("sure")))
+    compared = (
+        counted.join(able.where("not sure"), ["lang", "term"], "left_semi")
+        .select("lang", "term", F.explode("docs").alias("doc")).distinct()
+        .groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).select("lang", "term"))
+    return able.where("sure").select("lang", "term").union(compared)
 
 
 def _groups(named: DataFrame, counts: DataFrame) -> DataFrame:
@@ -164,7 +182,8 @@ def _in_blocks(counts: DataFrame) -> DataFrame:
     """
     totals = counts.groupBy("lang", "term").agg(F.sum("n").alias("whole")).withColumn(
         "level", F.floor(F.log2("whole")).cast("int"))
-    parts = totals.groupBy("lang", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    # some 60 rows per language; written, so that the join below knows their size
+    parts = cut_lineage(totals.groupBy("lang", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")))
     dealt = totals.join(parts, ["lang", "level"]).withColumn(
         "part", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int"))
     block = Window.partitionBy("lang", "level", "part")

@@ -44,7 +44,7 @@ SAMPLE, SAMPLE_BYTES = 16_384, 32 << 20
 PART, LINKS = 128, 10
 # A part may outgrow the mean size by this factor while links between parts are reduced.
 SLACK, ROUNDS = 1.05, 12
-HIDDEN, EPOCHS, BATCH, RATE = 128, 30, 256, 2e-3
+HIDDEN, EPOCHS, BATCH, RATE = 128, 20, 512, 4e-3
 # One in so many sample vectors is held back; the share of its neighbours that probing must cover.
 HELD_BACK, COVERED = 8, 0.97
 
