@@ -22,7 +22,6 @@ id).  A group without kept terms takes part with value 0; an empty table gives n
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +42,8 @@ TOP_TERMS = 200
 BLOCK = 4096
 CHUNK = 64
 
-# Fixed value: maximal runs of letters A-Z and of everything beyond ASCII, as UTF-8 bytes.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+# Terms are runs of letters A-Z, in lower case, and of everything beyond ASCII; the rest becomes blanks.
+LETTERS = bytes(code if code >= 128 else ord(chr(code).lower()) if chr(code).isalpha() else 32 for code in range(256))
 
 # Words held in a task before their counts are handed on.
 HELD_WORDS = 3_000_000
@@ -89,6 +88,19 @@ class Numbers(dict):
         return number
 
 
+def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The terms of all texts in order, and their number in each text."""
+    letters = np.frombuffer(b" ".join([*(text.translate(LETTERS) for text in texts), b""]), np.uint8)
+    inside = letters != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.Array.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters[inside])])
+    limits = np.searchsorted(starts, np.cumsum([0, *(len(text) + 1 for text in texts)]))
+    return words, np.diff(limits)
+
+
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per language and term: its counts by source, and up to ``MIN_DOCS`` different ids of documents that hold it.
 
@@ -97,12 +109,13 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     terms, langs, sources, docs = Numbers(), Numbers(), Numbers(), Numbers()
     words: list[np.ndarray] = []
+    sizes: list[int] = []
     owners: list[tuple[int, int, int]] = []
     held = 0
 
     def result() -> pa.RecordBatch:
         numbers = (terms, langs, sources, docs)
-        by_doc = np.array(owners, np.int64).reshape(-1, 3)[np.repeat(np.arange(len(words)), [len(w) for w in words])]
+        by_doc = np.repeat(np.array(owners, np.int64), sizes, axis=0)
         key = np.concatenate(words)
         for column, known in zip(by_doc.T, numbers[1:]):
             key = key * len(known) + column
@@ -111,7 +124,8 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = group // len(sources)
         at_group, at_place = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (group, place))
         # a document that repeats its id in another source counts once
-        holder, offsets = _first_of_each(np.unique(place * len(docs) + doc), len(docs))
+        pairs = np.sort(place * len(docs) + doc)
+        holder, offsets = _first_of_each(pairs[np.diff(pairs, prepend=-1) > 0], len(docs))
         names = pa.array(list(docs), pa.int64())
         return pa.RecordBatch.from_arrays([
             pa.array(list(langs), pa.string()).take(pa.array(place[at_place] % len(langs))),
@@ -122,17 +136,17 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.ListArray.from_arrays(offsets, names.take(pa.array(holder)))], schema=_COUNTED)
 
     for piece in pieces_of(batches):
-        names = {name: piece.column(name) for name in piece.schema.names}
-        for doc, text, lang, source in zip(names["doc_id"].to_pylist(), text_bytes(names["text"]),
-                                           names["lang"].to_pylist(), names["source"].to_pylist()):
-            found = TERM.findall(text.lower())
-            if found:
-                words.append(np.fromiter(map(terms.__getitem__, found), np.int64, len(found)))
-                owners.append((langs[lang], sources[source], docs[doc]))
-                held += len(found)
+        found, per_text = words_of(text_bytes(piece.column("text")))
+        found = found.dictionary_encode()
+        numbers = np.fromiter(map(terms.__getitem__, found.dictionary.to_pylist()), np.int64, len(found.dictionary))
+        words.append(numbers[found.indices.to_numpy()])
+        sizes.extend(per_text.tolist())
+        owners.extend(zip(*(map(numbers.__getitem__, piece.column(name).to_pylist())
+                            for name, numbers in (("lang", langs), ("source", sources), ("doc_id", docs)))))
+        held += len(found)
         if held > HELD_WORDS:
             yield result()
-            for known in (terms, langs, sources, docs, words, owners):
+            for known in (terms, langs, sources, docs, words, sizes, owners):
                 known.clear()
             held = 0
     if held:
