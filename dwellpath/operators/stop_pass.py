@@ -13,8 +13,9 @@ from its predecessor is farther than ``r`` from the median.  Such a jump, like a
 time, starts from a clean state: the pings on both sides are independent.
 
 The first pass sees a user's pings period by period.  What lies between two sure ends is
-complete there; what touches an edge of the period is handed on, and the second pass sees
-it joined to its continuation in the neighbouring periods.
+complete there.  What touches an edge of the period, a *unit*, is searched as if a stop
+began at its first ping, and handed on with the groups found so and a summary; how units
+join is settled in :mod:`dwellpath.operators.stop_chains`.
 """
 
 from __future__ import annotations
@@ -35,6 +36,14 @@ STOP_FIELDS = pa.schema([
     ("lon", pa.float64()), ("median_accuracy", pa.float64()), ("total_pings_stop", pa.int64()),
     ("first_ping", pa.int64()), ("last_ping", pa.int64()),
 ])
+SEARCH_FIELDS = pa.schema([
+    *STOP_FIELDS, ("kind", pa.int32()), ("unit", pa.int64()), ("place", pa.int64()), ("opened", pa.int64()),
+    ("marks", pa.list_(pa.float64())), ("counts", pa.list_(pa.int64())),
+])
+STOP, PING, SUMMARY = 0, 1, 2
+
+# Bins per radius of the counts that summaries carry.
+BINS_PER_RADIUS = 32
 
 # The jump rule needs lon differences that do not wrap and a slowly varying cos(lat).
 JUMP_MAX_RADIUS_M = 10_000.0
@@ -187,14 +196,14 @@ def _still_together(params: StopParams, pings: _Pings, low: int, high: int, box:
     return high - low if small.all() else int(np.argmin(small))
 
 
-def _stops_of_unit(pings: _Pings, params: StopParams) -> list[tuple[int, int]]:
-    """The runs of pings ``[first, end)`` of one unit that are grown together.
+def groups_of_unit(pings: _Pings, params: StopParams) -> Iterator[tuple[int, int]]:
+    """The runs of pings ``[first, end)`` of one unit that are grown together, one after the other.
 
     A run whose box is small is extended by whole slices; only once it has outgrown that
     is every ping held against the running median.
     """
     dist = _metres if params.metric == "haversine" else _units
-    radius, total, runs, first = params.radius_m, len(pings.t), [], 0
+    radius, total, first = params.radius_m, len(pings.t), 0
     while first < total:
         at, step = first + 1, 64
         box = (pings.lat[first], pings.lat[first], pings.lon[first], pings.lon[first])
@@ -221,36 +230,45 @@ def _stops_of_unit(pings: _Pings, params: StopParams) -> list[tuple[int, int]]:
                     at += 1
                 if outside:
                     break
-        runs.append((first, at))
+        yield first, at
         first = at
-    return runs
 
 
 def _stops_between(pings: _Pings, begin: np.ndarray, end: np.ndarray, params: StopParams) -> Iterator[pa.RecordBatch]:
     """Stops of the complete units ``[begin, end)``."""
-    def able(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        enough = high - low >= params.min_size
-        if params.min_stay is not None:
-            enough &= pings.t[high - 1] - pings.t[low] >= params.min_stay
-        return enough
-
-    kept = able(begin, end)
+    kept = _able(pings, begin, end, params)
     begin, end = begin[kept], end[kept]
     if not len(begin):
         return
-    bounds = np.column_stack([begin, end]).ravel()
-    if bounds[-1] == len(pings.t):
-        bounds = bounds[:-1]
-    together = _surely_together(
-        params, np.minimum.reduceat(pings.lat, bounds)[::2], np.maximum.reduceat(pings.lat, bounds)[::2],
-        np.minimum.reduceat(pings.lon, bounds)[::2], np.maximum.reduceat(pings.lon, bounds)[::2])
+    together = _surely_together(params, *boxes(pings, begin, end))
     runs = [np.column_stack([begin[together], end[together]])]
     for low, high in zip(begin[~together].tolist(), end[~together].tolist()):
-        runs.append(np.array(_stops_of_unit(pings.cut(low, high), params)) + low)
+        runs.append(np.array(list(groups_of_unit(pings.cut(low, high), params))) + low)
     low, high = np.concatenate(runs).T
-    kept = able(low, high)
+    yield from settle(pings, low, high, params)
+
+
+def _able(pings: _Pings, begin: np.ndarray, end: np.ndarray, params: StopParams) -> np.ndarray:
+    enough = end - begin >= params.min_size
+    if params.min_stay is not None:
+        enough &= pings.t[end - 1] - pings.t[begin] >= params.min_stay
+    return enough
+
+
+def settle(pings: _Pings, begin: np.ndarray, end: np.ndarray, params: StopParams) -> Iterator[pa.RecordBatch]:
+    """The groups ``[begin, end)`` that are long and large enough, as stops."""
+    kept = _able(pings, begin, end, params)
     if kept.any():
-        yield _settle_compact(pings, low[kept], high[kept], params)
+        yield _settle_compact(pings, begin[kept], end[kept], params)
+
+
+def boxes(pings: _Pings, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """South, north, west and east of each stretch ``[begin, end)``, none of them empty."""
+    bounds = np.column_stack([begin, end]).ravel()
+    if bounds[-1] == len(pings.t):
+        bounds = bounds[:-1]
+    return (np.minimum.reduceat(pings.lat, bounds)[::2], np.maximum.reduceat(pings.lat, bounds)[::2],
+            np.minimum.reduceat(pings.lon, bounds)[::2], np.maximum.reduceat(pings.lon, bounds)[::2])
 
 
 def _sure_ends(params: StopParams, before: _Pings, after: _Pings) -> np.ndarray:
@@ -269,8 +287,8 @@ def _changes(column: pa.Array, last) -> np.ndarray:
     return changed
 
 
-def _units_of(batches: Iterator[pa.RecordBatch], keys: list[str], params: StopParams):
-    """Units of sorted pings, batch by batch.
+def units_of(batches: Iterator[pa.RecordBatch], keys: list[str], params: StopParams | None):
+    """Units of sorted pings, batch by batch; without ``params`` only the keys cut them.
 
     Yields the pings, where units begin and end, and whether a sure end (rather than the
     first or last ping of a group of ``keys``) stands at either side.  A unit that goes on
@@ -287,8 +305,9 @@ def _units_of(batches: Iterator[pa.RecordBatch], keys: list[str], params: StopPa
         for column, last in zip(columns, last_keys):
             group |= _changes(column, last)
         sure = np.zeros(len(pings.t), bool)
-        sure[1:] = _sure_ends(params, pings.cut(0, len(pings.t) - 1), pings.cut(1, len(pings.t)))
-        if parts:
+        if params is not None:
+            sure[1:] = _sure_ends(params, pings.cut(0, len(pings.t) - 1), pings.cut(1, len(pings.t)))
+        if parts and params is not None:
             sure[0] = _sure_ends(params, parts[-1].cut(len(parts[-1].t) - 1, len(parts[-1].t)), pings.cut(0, 1))[0]
         sure &= ~group
         cuts = np.flatnonzero(group | sure)
@@ -310,31 +329,93 @@ def _units_of(batches: Iterator[pa.RecordBatch], keys: list[str], params: StopPa
 
 
 def search_periods(batches: Iterator[pa.RecordBatch], params: StopParams) -> Iterator[pa.RecordBatch]:
-    """Pings sorted by (user, period, time) in; stops, and pings that touch an edge of their period, out.
+    """Pings sorted by (user, period, time) in; stops, and pings and summaries of units, out.
 
-    ``part`` tells them apart: 0 a stop, 1 a ping before the period's first sure end (or of
-    a period without one), 2 a ping after its last.
+    Units are numbered 2 p for what lies before the first sure end of period p (all of it,
+    if there is none) and 2 p + 1 for what lies after the last.
     """
-    for pings, begin, end, from_sure, to_sure in _units_of(batches, ["user_id", "period"], params):
+    for pings, begin, end, from_sure, to_sure in units_of(batches, ["user_id", "period"], params):
         complete = from_sure & to_sure
         for stops in _stops_between(pings, begin[complete], end[complete], params):
-            yield _parted(stops, 0)
-        for part, touching in ((1, ~from_sure), (2, from_sure & ~to_sure)):
-            if touching.any():
-                rows = np.concatenate([np.arange(b, e) for b, e in zip(begin[touching], end[touching])])
-                yield _parted(pa.RecordBatch.from_arrays([
-                    pings.user.take(pa.array(rows)), pa.array(pings.t[rows]), pa.nulls(len(rows), pa.int64()),
-                    pa.array(pings.lat[rows]), pa.array(pings.lon[rows]), pa.array(pings.accuracy[rows]),
-                    pa.nulls(len(rows), pa.int64()), pa.array(pings.ping[rows]), pa.nulls(len(rows), pa.int64()),
-                ], schema=STOP_FIELDS), part)
-
-
-def _parted(rows: pa.RecordBatch, part: int) -> pa.RecordBatch:
+            yield _row_kind(stops, STOP)
+        if not complete.all():
+            begin, end, later = begin[~complete], end[~complete], from_sure[~complete]
+            unit = pings.t[begin] // params.period_seconds * 2 + later
+            yield from _touching(pings, begin, end, unit, params)
+
+
+def _row_kind(stops: pa.RecordBatch, kind: int, **more: pa.Array) -> pa.RecordBatch:
+    given = {"kind": pa.array(np.full(stops.num_rows, kind, np.int32)), **more}
     return pa.RecordBatch.from_arrays(
-        [*rows.columns, pa.array(np.full(rows.num_rows, part, np.int32))], names=[*rows.schema.names, "part"])
+        [*stops.columns, *(given.get(f.name, pa.nulls(stops.num_rows, f.type)) for f in list(SEARCH_FIELDS)[len(STOP_FIELDS):])],
+        schema=SEARCH_FIELDS)
 
 
-def search_chains(batches: Iterator[pa.RecordBatch], params: StopParams) -> Iterator[pa.RecordBatch]:
-    """Pings sorted by (user, chain, time) in, stops out."""
-    for pings, begin, end, _, _ in _units_of(batches, ["user_id", "chain"], params):
-        yield from _stops_between(pings, begin, end, params)
+def as_rows(pings: _Pings, rows: np.ndarray) -> pa.RecordBatch:
+    """Pings in the columns of stops."""
+    none = pa.nulls(len(rows), pa.int64())
+    return pa.RecordBatch.from_arrays([
+        pings.user.take(pa.array(rows)), pa.array(pings.t[rows]), none, pa.array(pings.lat[rows]), pa.array(pings.lon[rows]),
+        pa.array(pings.accuracy[rows]), none, pa.array(pings.ping[rows]), none], schema=STOP_FIELDS)
+
+
+def _touching(pings: _Pings, begin, end, unit, params: StopParams) -> Iterator[pa.RecordBatch]:
+    """Pings of the units ``[begin, end)`` with where their group opens, and a summary per unit."""
+    together = _surely_together(params, *boxes(pings, begin, end))
+    low, high, owner = begin[together], end[together], np.flatnonzero(together)
+    for which in np.flatnonzero(~together):
+        runs = np.array(list(groups_of_unit(pings.cut(begin[which], end[which]), params))) + begin[which]
+        low, high = np.append(low, runs[:, 0]), np.append(high, runs[:, 1])
+        owner = np.append(owner, np.full(len(runs), which))
+    order = np.argsort(low)
+    low, high, owner = low[order], high[order], owner[order]
+    sizes = end - begin
+    rows = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes)
+    yield _row_kind(
+        as_rows(pings, rows), PING, unit=pa.array(np.repeat(unit, sizes)), place=pa.array(rows - np.repeat(begin, sizes)),
+        opened=pa.array(np.repeat(low - begin[owner], high - low)))
+    # groups are in order of units, so a unit's first and last are where the owner changes
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    last = np.append(first[1:], len(owner)) - 1
+    several = last > first
+    second = np.minimum(first + 1, last)
+    marks = np.column_stack([
+        pings.lat[begin], pings.lon[begin], pings.lat[end - 1], pings.lon[end - 1], *boxes(pings, low[first], high[first]),
+        np.where(several, pings.lat[low[second]], np.nan), np.where(several, pings.lon[low[second]], np.nan),
+        *boxes(pings, low[last], high[last])])
+    counts = np.column_stack([last - first + 1, high[first] - low[first], low[last] - begin, high[last] - low[last]])
+    pieces = [np.concatenate(both) for both in zip(counts, _histograms(
+        params, pings, low[first], high[first], low[last], high[last]))]
+    yield _row_kind(
+        pa.RecordBatch.from_arrays([
+            pings.user.take(pa.array(begin)), pa.array(pings.t[begin]), pa.array(pings.t[end - 1]),
+            *[pa.nulls(len(begin), pa.float64())] * 3, *[pa.nulls(len(begin), pa.int64())] * 3], schema=STOP_FIELDS),
+        SUMMARY, unit=pa.array(unit), marks=pa.array(list(marks), pa.list_(pa.float64())),
+        counts=pa.array(pieces, pa.list_(pa.int64())))
+
+
+def bin_width(params: StopParams) -> float:
+    """Degrees (or units) that a bin of a summary's counts covers, on either axis."""
+    radius = params.radius_m if params.metric == "euclidean" else np.degrees(params.radius_m / EARTH_RADIUS_M)
+    return float(radius) / BINS_PER_RADIUS
+
+
+def _histograms(params: StopParams, pings: _Pings, *bounds: np.ndarray) -> list[np.ndarray]:
+    """Per unit, how many coordinates of its first and last group fall in each bin: (kind, bin, count) in a row.
+
+    Kinds 0 and 1 are latitude and longitude of the first group, 2 and 3 those of the last.
+    """
+    width, owners, bins = bin_width(params), [], []
+    for kind, (low, high, values) in enumerate(
+            (low, high, values) for low, high in (bounds[:2], bounds[2:]) for values in (pings.lat, pings.lon)):
+        sizes = high - low
+        rows = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
+        owners.append(np.repeat(np.arange(len(low)) * 4 + kind, sizes))
+        bins.append(np.floor(values[rows] / width).astype(np.int64))
+    owner, bin_ = np.concatenate(owners), np.concatenate(bins)
+    lowest = bin_.min()
+    span = bin_.max() - lowest + 1
+    keys, times = np.unique(owner * span + (bin_ - lowest), return_counts=True)
+    owner = keys // span
+    rows = np.column_stack([owner % 4, keys % span + lowest, times])
+    return np.split(rows.ravel(), np.flatnonzero(np.diff(owner // 4)) * 3 + 3)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import frexp
 
 EARTH_RADIUS_M = 6_371_000.0
 
@@ -16,6 +17,9 @@ class StopParams:
     its last ping.  ``period_seconds`` is the stretch of time a user's pings are first
     searched by; it changes the partitioning only, never the result.  Above a radius of
     10 km no jump in space ends a stop for sure, so units are then cut by time alone.
+    ``coordinate_step``, a power of two such as 2**-24 degrees (about 7 mm), first takes
+    coordinates to whole multiples of it.  Medians are then exact sums of such multiples,
+    so no engine's rounding decides which ping joins a stop or where a stop lies.
     """
 
     radius_m: float = 50.0
@@ -25,12 +29,15 @@ class StopParams:
     metric: str = "haversine"
     accuracy_includes_last: bool = False
     period_seconds: int = 86_400
+    coordinate_step: float | None = None
 
     def __post_init__(self) -> None:
         if self.metric not in ("haversine", "euclidean"):
             raise ValueError(f"unknown metric {self.metric!r}")
         if self.radius_m <= 0 or self.min_size < 1:
             raise ValueError("radius_m must be positive and min_size at least 1")
+        if self.coordinate_step is not None and frexp(self.coordinate_step)[0] != 0.5:
+            raise ValueError("coordinate_step must be a power of two")
 
     @classmethod
     def untimed(cls, **kw) -> "StopParams":

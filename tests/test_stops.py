@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import dwellpath as dp
-from dwellpath.operators.stop_pass import RunningMedian, _Pings, _stops_of_unit
+from dwellpath.operators.stop_pass import RunningMedian, _Pings, groups_of_unit
 
 PING = "user_id string, ping_id long, epoch_time long, lat double, lon double, accuracy double"
 METRE = math.degrees(1 / 6_371_000.0)
@@ -133,7 +133,7 @@ def test_a_long_noisy_dwell_takes_time_in_proportion():
         noise = rng.normal(0, 9 * METRE, (2, n))
         pings = _Pings(pa.array(["u"] * n), np.arange(n), np.arange(n), 10 + noise[0], 20 + noise[1], np.ones(n))
         started = time.process_time()
-        assert sum(b - a for a, b in _stops_of_unit(pings, dp.StopParams())) == n
+        assert sum(b - a for a, b in groups_of_unit(pings, dp.StopParams())) == n
         seconds.append(time.process_time() - started)
     assert seconds[1] < 8 * seconds[0]
 
@@ -238,4 +238,4 @@ def test_sessions_keep_every_ping(spark):
 
 def test_no_user_is_sent_to_one_task(spark):
     plan = dp.detect_stops(pings_of(spark, at_spot([0, 300])))._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(user_id" in plan and "chain" in plan
+    assert "hashpartitioning(user_id" in plan and "group_unit" in plan
