@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellpath.functions.geo import haversine_m
@@ -31,8 +31,9 @@ SPLIT = 4
 # Box bounds closer than this to the radius are settled by looking at smaller boxes.
 TOLERANCE_M = 1e-6
 
-# Users with more touching pairs of cells than this are followed by joins instead of in one task.
-LOCAL_EDGES = 100_000
+# Cells along the side of a region.  Touching cells are first followed region by region, so a task
+# holds at most REGION x REGION cells of one user, however often they were visited.
+REGION = 512
 
 _CELL_STRIDE = 1 << 32
 
@@ -48,25 +49,44 @@ def cluster_stops(stops: DataFrame, radius_m: float = CLUSTER_RADIUS_M) -> DataF
     grid = _Grid(radius_m)
     stops = cut_lineage(stops.drop("cluster_label"))
     celled = grid.assign(stops)
-    cells = cut_lineage(celled.groupBy("user_id", "_cell", "_band", "_col").agg(
-        F.expr(_BOUNDING_BOX), F.min(F.struct("t_start", "t_end", "lat", "lon")).alias("first")))
+    cells = cut_lineage(_cells_of(celled))
     roots = _components(_touching_cells(celled, cells, grid))
     rooted = cells.join(roots, ["user_id", "_cell"], "left").select(
-        "user_id", "_cell", "first", F.coalesce("_root", "_cell").alias("_root"))
-    clusters = rooted.groupBy("user_id", "_root").agg(F.min("first").alias("first"))
-    numbered = rank_in_time(clusters, "user_id", F.col("first.t_start"), [F.col("first"), F.col("_root")],
-                            "cluster_label").select("user_id", "_root", "cluster_label")
-    labels = rooted.join(numbered, ["user_id", "_root"]).select("user_id", "_cell", "cluster_label")
+        "user_id", "_cell", *_FIRST, F.coalesce("_root", "_cell").alias("_root"))
+    clusters = rooted.groupBy("user_id", "_root").agg(*_first_of())
+    labels = rooted.join(_numbered(clusters, "_root"), ["user_id", "_root"]).select("user_id", "_cell", "cluster_label")
     return celled.join(labels, ["user_id", "_cell"]).select(*stops.columns, "cluster_label")
 
 
+# The columns that order the stops of a user, and names for those of a cluster's first stop.
+_ORDER = ["t_start", "t_end", "lat", "lon"]
+_FIRST = [f"_first_{name}" for name in _ORDER]
+
+
+def _first_of(columns: list[str] = _FIRST) -> list[Column]:
+    """The lowest ``columns`` in order, as plain columns."""
+    return [F.min(F.struct(*columns))[name].alias(first) for name, first in zip(columns, _FIRST)]
+
+
+def _cells_of(celled: DataFrame, *more: Column) -> DataFrame:
+    return celled.groupBy("user_id", "_cell", "_band", "_col").agg(F.expr(_BOUNDING_BOX), *_first_of(_ORDER), *more)
+
+
+def _numbered(clusters: DataFrame, key: str) -> DataFrame:
+    """``cluster_label`` of each cluster: its place among the user's, by first stop."""
+    return rank_in_time(clusters, "user_id", F.col(_FIRST[0]), [F.col(name) for name in (*_FIRST, key)],
+                        "cluster_label").select("user_id", key, "cluster_label")
+
+
 def recluster(history: DataFrame, new_stops: DataFrame, radius_m: float = CLUSTER_RADIUS_M,
-              history_radius_m: float | None = None) -> DataFrame:
+              history_radius_m: float | None = CLUSTER_RADIUS_M) -> DataFrame:
     """Cluster stored stops and newly found ones together.
 
-    Old labels are replaced; both durations are derived from the times where absent.  If
-    ``history_radius_m``, the radius behind the stored labels, equals ``radius_m``, users
-    without a new stop keep their stored labels and only the others are clustered again.
+    Both durations are derived from the times where absent.  If ``history_radius_m``, the
+    radius behind the stored labels, equals ``radius_m``, stored clusters are taken as they
+    are: only cells within reach of new stops are compared, clusters that new stops connect
+    become one, and labels are counted anew for the users concerned.  Otherwise (None, if
+    unknown) everything is clustered again.  Stored stops without a label count as new.
     """
     names = [name for name in CLUSTERED_STOPS.fieldNames() if name != "cluster_label"]
     spans = [(name, F.col("t_end") - F.col("t_start")) for name in ("total_duration_stop_location", "duration")]
@@ -78,10 +98,49 @@ def recluster(history: DataFrame, new_stops: DataFrame, radius_m: float = CLUSTE
 
     if history_radius_m != radius_m:
         return cluster_stops(conform(history).unionByName(conform(new_stops)), radius_m)
-    touched = cut_lineage(new_stops.select("user_id").distinct())
-    again = conform(history).join(touched, "user_id", "left_semi").unionByName(conform(new_stops))
-    kept = conform(history, "cluster_label").join(touched, "user_id", "left_anti")
-    return cluster_stops(again, radius_m).unionByName(kept)
+    stored = conform(history, "cluster_label")
+    unlabelled = F.col("cluster_label").isNull()
+    fresh = cut_lineage(conform(new_stops).unionByName(stored.where(unlabelled).drop("cluster_label")))
+    return _insert(stored.where(~unlabelled), fresh, _Grid(radius_m))
+
+
+def _insert(stored: DataFrame, fresh: DataFrame, grid: "_Grid") -> DataFrame:
+    """Put ``fresh`` stops into stored clusters, connecting those they bridge.
+
+    A stored cell has one label, as its stops are connected.  The graph holds fresh cells and
+    the stored cells they may reach; stored cells of one label are tied together, so each
+    component is one cluster, made of any number of stored ones.
+    """
+    new = grid.assign(fresh)
+    reach = cut_lineage(grid.around(_cells_of(new)).distinct())
+    old = grid.assign(stored).join(reach, ["user_id", "_cell"], "left_semi")
+    celled = cut_lineage(new.withColumn("_old", F.lit(None).cast("long")).unionByName(
+        old.withColumnRenamed("cluster_label", "_old")))
+    cells = cut_lineage(_cells_of(celled, F.max("_old").alias("_old"), F.bool_or(F.col("_old").isNull()).alias("fresh")))
+    labelled = cells.where(F.col("_old").isNotNull())
+    anchors = labelled.groupBy("user_id", "_old").agg(F.min("_cell").alias("a"))
+    ties = labelled.join(anchors, ["user_id", "_old"]).select("user_id", "a", F.col("_cell").alias("b")).where("a <> b")
+    roots = _components(_touching_cells(celled, cells, grid).unionByName(ties))
+    rooted = cut_lineage(cells.join(roots, ["user_id", "_cell"], "left").select(
+        "user_id", "_cell", "_old", "fresh", F.coalesce("_root", "_cell").alias("_root")))
+    # a cluster is named by its root, or by its label below zero if nothing new reaches it
+    moved = rooted.where(F.col("_old").isNotNull()).select("user_id", F.col("_old").alias("cluster_label"), "_root").distinct()
+    touched = fresh.select("user_id").distinct()
+    firsts = (
+        stored.join(touched, "user_id", "left_semi").groupBy("user_id", "cluster_label").agg(*_first_of(_ORDER))
+        .join(moved, ["user_id", "cluster_label"], "left")
+        .select("user_id", *_FIRST, F.coalesce("_root", -1 - F.col("cluster_label")).alias("_root"))
+        .unionByName(new.join(rooted.where("fresh"), ["user_id", "_cell"]).groupBy("user_id", "_root").agg(*_first_of(_ORDER))))
+    numbers = cut_lineage(_numbered(firsts.groupBy("user_id", "_root").agg(*_first_of()), "_root"))
+    fresh_labels = rooted.where("fresh").join(numbers, ["user_id", "_root"]).select("user_id", "_cell", "cluster_label")
+    kept = stored.columns[:-1]
+    changed = numbers.where("_root < 0").select("user_id", (-1 - F.col("_root")).alias("_was"), "cluster_label").unionByName(
+        moved.withColumnRenamed("cluster_label", "_was").join(numbers, ["user_id", "_root"]).select(
+            "user_id", "_was", "cluster_label")).where("_was <> cluster_label").select(
+        F.col("user_id").alias("_user"), "_was", F.col("cluster_label").alias("_now"))
+    same = F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("cluster_label") == F.col("_was"))
+    return stored.join(changed, same, "left").select(*kept, F.coalesce("_now", "cluster_label").alias("cluster_label")).unionByName(
+        new.join(fresh_labels, ["user_id", "_cell"]).select(*kept, "cluster_label"))
 
 
 def most_frequent_label(df: DataFrame, keys: list[str], label: str = "cluster_label") -> DataFrame:
@@ -137,10 +196,20 @@ class _Grid:
         Looks at the cell's own band and the next two; bands and columns are limited to
         those within the radius of the points actually present.
         """
+        return self._reached(cells, "array(_band, _band + 1, _band + 2)").where("_band2 > _band or _col2 > _col").selectExpr(
+            *cells.columns, f"_band2 * {_CELL_STRIDE}L + _col2 as _other")
+
+    def around(self, cells: DataFrame) -> DataFrame:
+        """``user_id, _cell`` of all cells that points of ``cells`` may reach, their own among them."""
+        bands = "array(_band - 2, _band - 1, _band, _band + 1, _band + 2)"
+        return self._reached(cells, bands).selectExpr("user_id", f"_band2 * {_CELL_STRIDE}L + _col2 as _cell")
+
+    def _reached(self, cells: DataFrame, bands: str) -> DataFrame:
         half = math.sin(self.radius_m / (2 * EARTH_RADIUS_M))
+        far = f"{math.degrees(self.radius_m / EARTH_RADIUS_M) + 1e-9}D"
         return (
-            cells.selectExpr("*", "explode(array(_band, _band + 1, _band + 2)) as _band2")
-            .where(f"_band2 * {self.height}D - 90 - box.north <= {math.degrees(self.radius_m / EARTH_RADIUS_M) + 1e-9}D")
+            cells.selectExpr("*", f"explode({bands}) as _band2")
+            .where(f"_band2 * {self.height}D - 90 - box.north <= {far} and box.south - ((_band2 + 1) * {self.height}D - 90) <= {far}")
             .selectExpr("*", f"{self.columns_in('_band2')} as _cols2",
                         f"sqrt({self.poleward_cos('_band')} * {self.poleward_cos('_band2')}) as _shrink")
             .selectExpr("*", f"if(_shrink > {half}D, degrees(2 * asin({half}D / _shrink)) + 1e-9D, 360D) as _reach")
@@ -148,8 +217,6 @@ class _Grid:
                         "floor((box.east + 180 + _reach) / 360D * _cols2) as _high")
             .selectExpr("*", "explode(if(_high - _low + 1 >= _cols2, sequence(0L, _cols2 - 1),"
                              " transform(sequence(_low, _high), c -> pmod(c, _cols2)))) as _col2")
-            .where("_band2 > _band or _col2 > _col")
-            .selectExpr("user_id", "_cell", "box", f"_band2 * {_CELL_STRIDE}L + _col2 as _other")
         )
 
 
@@ -204,13 +271,15 @@ def _judge(pairs: DataFrame, radius_m: float) -> DataFrame:
 def _touching_cells(celled: DataFrame, cells: DataFrame, grid: _Grid) -> DataFrame:
     """Pairs of cells (``a``, ``b``) that hold two stops within the radius.
 
-    Cells are compared by the bounding boxes of their stops.  Where the boxes leave it
+    If cells tell whether they are ``fresh``, one of a pair must be.  Cells are compared by the bounding boxes of their stops.  Where the boxes leave it
     open, the pair is looked at again with each box cut into smaller ones, until every
     pair is decided.  A pair never meets stop by stop, however many stops it has; boxes
     of a single location are compared exactly.
     """
-    pairs = grid.neighbours(cells).selectExpr("user_id", "_cell as a", "_other as b", "box as p").join(
-        cells.selectExpr("user_id", "_cell as b", "box as q"), ["user_id", "b"])
+    fresh = "fresh" if "fresh" in cells.columns else "true"
+    pairs = grid.neighbours(cells).selectExpr("user_id", "_cell as a", "_other as b", "box as p", f"{fresh} as p_fresh").join(
+        cells.selectExpr("user_id", "_cell as b", "box as q", f"{fresh} as q_fresh"), ["user_id", "b"]).where(
+        "p_fresh or q_fresh").drop("p_fresh", "q_fresh")
     judged = cut_lineage(_judge(pairs, grid.radius_m))
     near = [judged.where("verdict = 'near'").select("user_id", "a", "b")]
     pending = judged.where("verdict = 'open'").selectExpr(
@@ -247,29 +316,37 @@ def _judge_smaller(celled: DataFrame, pending: DataFrame, grid: _Grid, level: in
 def _components(edges: DataFrame) -> DataFrame:
     """Connected components: ``_cell`` and the lowest cell ``_root`` of its component.
 
-    Cells that touch no other cell do not appear.  The touching cells of one user are
-    mostly few; they are followed in one pass after one shuffle.  Users with more than
-    ``LOCAL_EDGES`` pairs are left to :func:`_star_components`, which never gathers them.
+    Cells that touch no other cell do not appear.  Within a region of a user the touching
+    cells are followed in one pass, which leaves one root per component there.  Only
+    where an edge crosses to another region, roots are connected further, by joins.
     """
-    crowded = edges.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOCAL_EDGES)
-    crowded = crowded.select("user_id")
-    schema = "user_id string, _cell long, _root long"
-    if crowded.isEmpty():
-        return _by_user(edges).mapInArrow(follow_edges, schema)
-    crowded = cut_lineage(crowded)
-    return (
-        _by_user(edges.join(crowded, "user_id", "left_anti")).mapInArrow(follow_edges, schema)
-        .unionByName(_star_components(edges.join(crowded, "user_id", "left_semi")))
-    )
-
-
-def _by_user(edges: DataFrame) -> DataFrame:
-    return edges.repartition("user_id").sortWithinPartitions("user_id").select("user_id", "a", "b")
+    placed = edges.select("user_id", "a", "b", _region("a").alias("region"), _region("b").alias("other"))
+    inside = placed.where("region = other").select("user_id", "region", "a", "b")
+    local = inside.repartition("user_id", "region").sortWithinPartitions("user_id", "region").mapInArrow(
+        follow_edges, "user_id string, _cell long, _root long")
+    across = placed.where("region <> other").select("user_id", "a", "b")
+    if across.isEmpty():
+        return local
+    across = cut_lineage(across)
+    ends = across.select("user_id", F.col("a").alias("_cell")).union(across.select("user_id", "b")).distinct()
+    local = cut_lineage(local)
+    local = cut_lineage(local.unionByName(
+        ends.join(local, ["user_id", "_cell"], "left_anti").withColumn("_root", F.col("_cell"))))
+    for side in ("a", "b"):
+        across = across.join(local.withColumnsRenamed({"_cell": side, "_root": f"{side}_root"}), ["user_id", side])
+    joined = _star_components(across.select("user_id", F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    joined = joined.select("user_id", F.col("_root").alias("_last"), F.col("_cell").alias("_root"))
+    return local.join(joined, ["user_id", "_root"], "left").select(
+        "user_id", "_cell", F.coalesce("_last", "_root").alias("_root"))
+
+
+def _region(cell: str) -> Column:
+    return F.expr(f"{cell} div {_CELL_STRIDE}L div {REGION} * {_CELL_STRIDE}L + {cell} % {_CELL_STRIDE}L div {REGION}")
 
 
 def follow_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of one user after another, from pairs sorted by user."""
-    user: str | None = None
+    """Components of one user's region after another, from pairs sorted by user and region."""
+    group: tuple[str | None, int | None] = None, None
     parent: dict[int, int] = {}
 
     def top(cell: int) -> int:
@@ -280,15 +357,15 @@ def follow_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def result() -> pa.RecordBatch:
         cells = list(parent)
         return pa.RecordBatch.from_pydict(
-            {"user_id": [user] * len(cells), "_cell": cells, "_root": [top(cell) for cell in cells]},
+            {"user_id": [group[0]] * len(cells), "_cell": cells, "_root": [top(cell) for cell in cells]},
             schema=pa.schema([("user_id", pa.string()), ("_cell", pa.int64()), ("_root", pa.int64())]))
 
     for batch in batches:
-        for who, a, b in zip(*(column.to_pylist() for column in batch.columns)):
-            if who != user:
+        for user, region, a, b in zip(*(column.to_pylist() for column in batch.columns)):
+            if (user, region) != group:
                 if parent:
                     yield result()
-                user = who
+                group = user, region
                 parent.clear()
             parent.setdefault(a, a)
             parent.setdefault(b, b)

@@ -60,12 +60,51 @@ def test_matches_brute_force(spark, radius):
     assert labels_of(spark, frame, radius) == brute_force(frame, radius)
 
 
-def test_crowded_users_take_the_join_route(spark, monkeypatch):
+@pytest.mark.parametrize("side", [1, 3])
+def test_components_across_regions_equal_those_within(spark, monkeypatch, side):
     frame = scattered(5, spread=0.0008)
-    monkeypatch.setattr(clusters, "LOCAL_EDGES", 10)
+    monkeypatch.setattr(clusters, "REGION", side)
     assert labels_of(spark, frame, 150.0) == brute_force(frame, 150.0)
 
 
+FULL = STOP + ", median_accuracy double, total_pings_stop long"
+
+
+@pytest.mark.parametrize("share", [0.02, 0.3, 0.7])
+@pytest.mark.parametrize("side", [2, 512])
+def test_inserted_stops_give_the_clusters_of_all_stops(spark, monkeypatch, share, side):
+    """New stops before, between and after stored ones; some bridge clusters, some users have none."""
+    monkeypatch.setattr(clusters, "REGION", side)
+    frame = scattered(9, spread=0.0006).assign(median_accuracy=5.0, total_pings_stop=2)
+    frame["median_accuracy"] = frame.median_accuracy + np.arange(len(frame))
+    rng = np.random.default_rng(4)
+    fresh = (rng.random(len(frame)) < share) & (frame.user_id != "mid")
+    stored = frame[~fresh].copy()
+    stored["cluster_label"] = brute_force(stored.reset_index(drop=True), 150.0)
+    # labels count from 0 in order of first stops, but gaps and a missing label do no harm
+    stored["cluster_label"] = stored.cluster_label.astype("float") * 3
+    odd = (stored.index % 50 == 7) & (stored.user_id != "mid")
+    history = [(*row[:-1], None if o else int(row[-1])) for row, o in zip(stored.itertuples(index=False), odd)]
+    got = dp.recluster(spark.createDataFrame(history, FULL + ", cluster_label long"),
+                       spark.createDataFrame(frame[fresh], FULL), 150.0, history_radius_m=150.0).toPandas()
+    got = got.sort_values("median_accuracy").cluster_label.tolist()
+    want = pd.Series(brute_force(frame, 150.0))
+    quiet = frame.user_id == "mid"
+    assert [g for g, q in zip(got, quiet) if not q] == want[~quiet].tolist()
+    assert [g for g, q in zip(got, quiet) if q] == (want[quiet] * 3).tolist()
+
+
+def test_only_cells_in_reach_of_new_stops_are_compared(spark, monkeypatch):
+    seen = []
+    plain = clusters._touching_cells
+    monkeypatch.setattr(clusters, "_touching_cells", lambda celled, cells, grid: (seen.append(cells.count()), plain(celled, cells, grid))[1])
+    old = [("u", i * 1000, i * 1000 + 500, float(i), 0.0, 5.0, 2, i) for i in range(80)]
+    new = [("u", 500_000, 500_600, 3.0005, 0.0, 5.0, 2), ("u", 600_000, 600_600, -5.0, 0.0, 5.0, 2)]
+    got = dp.recluster(spark.createDataFrame(old, FULL + ", cluster_label long"), spark.createDataFrame(new, FULL))
+    assert [r.cluster_label for r in got.orderBy("t_start").collect()] == [*range(80), 3, 80]
+    assert seen == [3]
+
+
 def test_two_dense_places_at_the_limit_are_decided_without_all_pairs(spark):
     """Two places whose nearest stops are a hair below or above the radius apart."""
     rng = np.random.default_rng(0)
