@@ -28,6 +28,8 @@ CROP = (oracles.CROP_FROM, oracles.CROP_TO)
 WINDOW = oracles.WINDOW
 COUNTRY = "XX"
 RANGE = ("2024-01-02", "2024-01-29")
+# Untimed, on coordinates that are whole multiples of 2^-24 degrees.
+EXACT = dp.StopParams.untimed(coordinate_step=2.0 ** -24)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -177,11 +179,20 @@ _QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "c2_stops": lambda s: s.detected,
     "c2_stops_split_users": lambda s: dp.detect_stops(s.pings, dp.StopParams(period_seconds=3600)),
     "c2_stops_noisy": lambda s: dp.detect_stops(s.hard_pings),
-    "c3_stops_noisy": lambda s: dp.detect_stops(s.hard_pings, dp.StopParams.untimed()),
+    "c3_stops_noisy": lambda s: dp.detect_stops(s.hard_pings, EXACT),
+    "c2_stops_one_device": lambda s: dp.detect_stops(sample.sample_one_device(s.spark, s.sf_dir)),
+    "c2_stops_through_days": lambda s: dp.detect_stops(
+        sample.sample_one_device(s.spark, s.sf_dir), dp.StopParams(period_seconds=3600, radius_m=150)),
+    "c2_ping_labels_noisy": lambda s: dp.label_pings(s.hard_pings),
+    "c3_ping_labels_noisy": lambda s: dp.label_pings(s.hard_pings, EXACT),
+    "c5_group_medians": lambda s: dp.exact_medians(
+        s.hard_pings.select("country", F.col("lat").alias("value")), ["country"]),
     "c6_clusters_chained": lambda s: s.hard_clustered,
     "c9_recluster_chained": lambda s: dp.recluster(*_before_and_after(s.hard_clustered)),
     "c9_recluster_touched": lambda s: dp.recluster(
         *_before_and_after(s.clustered), history_radius_m=dp.CLUSTER_RADIUS_M),
+    "c9_recluster_all": lambda s: dp.recluster(*_before_and_after(s.hard_clustered), history_radius_m=None),
+    "c9_recluster_earlier": lambda s: dp.recluster(*reversed(_before_and_after(s.hard_clustered))),
     "c2_ping_labels": lambda s: dp.label_pings(s.pings),
     "c3_stops_untimed": lambda s: dp.detect_stops(s.pings, dp.StopParams.untimed()),
     "c5_stops_all_accuracies": lambda s: dp.detect_stops(s.pings, dp.StopParams(accuracy_includes_last=True)),

@@ -61,6 +61,18 @@ from k
 """
 
 
+# Every event as a ping of one device that lingers, drifts by metres and returns, with no pause and no jump that
+# would surely end a stop.
+_ONE_DEVICE_SQL = """
+select 'device' as user_id, event_id as ping_id, 1700000000 + event_id * 97 as epoch_time,
+  10 + cast((event_id div 41) % 3 as double) * 0.00055D + cast((event_id div 977) % 5 as double) * 0.0001D
+    + cast((event_id * 7919) % 1001 - 500 as double) * 0.0000004D as lat,
+  20 + cast((event_id * 6007) % 1001 - 500 as double) * 0.0000004D as lon,
+  cast(5 + event_id % 240 as double) as accuracy, 'XX' as country
+from {events}
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,6 +85,10 @@ def sample_hard_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_HARD_PINGS_SQL, events=_table(spark, sf_dir, "events"))
 
 
+def sample_one_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_ONE_DEVICE_SQL, events=_table(spark, sf_dir, "events"))
+
+
 def sample_zones(spark: SparkSession) -> DataFrame:
     rows = ", ".join(f"('{country}', '{zone}')" for country, zone in sorted(ZONES.items()))
     return spark.sql(f"select * from values {rows} as zones(country, timezone)")

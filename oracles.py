@@ -89,6 +89,13 @@ _stop_ctes("", "sessions", True)
 _stop_ctes("_untimed", "untimed_sessions", False)
 CTES["stops"] = "select * from stops_all where median_accuracy < 200"
 CTES["ping_members"] = "select c.*, g.head from chain c join grow g using (user_id, session_id, pos)"
+CTES["ping_members_untimed"] = "select c.*, g.head from chain_untimed c join grow_untimed g using (user_id, session_id, pos)"
+CTES["ping_labels_untimed"] = """
+select m.user_id, m.ping_id, coalesce(s.stop, -1) as stop
+from ping_members_untimed m left join (
+  select user_id, session_id, head, row_number() over (partition by user_id order by session_id, head) - 1 as stop
+  from ping_members_untimed group by user_id, session_id, head having count(*) >= 2) s using (user_id, session_id, head)
+"""
 CTES["ping_labels"] = """
 select m.user_id, m.ping_id, coalesce(s.stop, -1) as stop
 from ping_members m left join (
@@ -124,7 +131,7 @@ from numbered n join (select user_id, a, min(root) as root from reach group by u
 """
 
 _HARD = ["pings", "sessions", "untimed_sessions", "chain", "grow", "stops_all", "chain_untimed", "grow_untimed",
-         "stops_all_untimed", "stops", "numbered", "close_pairs", "reach", "clustered"]
+         "stops_all_untimed", "stops", "numbered", "close_pairs", "reach", "clustered", "ping_members", "ping_labels"]
 for _name in _HARD:
     CTES[f"{_name}_hard"] = re.sub(rf"\b({'|'.join(_HARD)})\b", r"\1_hard", CTES[_name])
 _visits = CTES["pings"][CTES["pings"].index("from ("):].replace("range(0, 2 + event_id % 4)", "range(0, 6 + event_id % 10)")
@@ -139,6 +146,28 @@ select cast(user_id as varchar) as user_id, event_id * 16 + k as ping_id, b + (k
   case user_id % 5 when 0 then 'BR' when 1 then 'CO' when 2 then 'ID' when 3 then 'MX' else 'PH' end as country
 {_visits}"""
 
+# The same with coordinates in whole multiples of 2^-24 degrees, and one device of all events.
+_EXACT = ["pings", "untimed_sessions", "chain_untimed", "grow_untimed", "stops_all_untimed", "ping_members_untimed",
+          "ping_labels_untimed"]
+_DEVICE = ["pings", "sessions", "chain", "grow", "stops_all"]
+for _names, _suffix in ((_EXACT, "_exact"), (_DEVICE, "_device")):
+    for _name in _names:
+        CTES[f"{_name}{_suffix}"] = re.sub(rf"\b({'|'.join(_names)})\b", rf"\1{_suffix}", CTES[_name])
+CTES["pings_exact"] = """
+select * replace (round(lat * 16777216) / 16777216 as lat, round(lon * 16777216) / 16777216 as lon) from pings_hard
+"""
+CTES["pings_device"] = """
+select 'device' as user_id, event_id as ping_id, 1700000000 + event_id * 97 as epoch_time,
+  10 + cast((event_id // 41) % 3 as double) * cast(0.00055 as double)
+    + cast((event_id // 977) % 5 as double) * cast(0.0001 as double)
+    + cast((event_id * 7919) % 1001 - 500 as double) * cast(0.0000004 as double) as lat,
+  20 + cast((event_id * 6007) % 1001 - 500 as double) * cast(0.0000004 as double) as lon,
+  cast(5 + event_id % 240 as double) as accuracy, 'XX' as country
+from events
+"""
+CTES["grow_device_wide"] = CTES["grow_device"].replace("<= 50", "<= 150").replace("grow_device", "grow_device_wide")
+CTES["stops_all_device_wide"] = CTES["stops_all_device"].replace("grow_device", "grow_device_wide")
+
 CTES["day_cut"] = """
 select c.* exclude (t_start, t_end, d), t_end - t_start as total_duration_stop_location,
   greatest(t_start, d * 86400) as t_start, least(t_end, (d + 1) * 86400) as t_end,
@@ -585,7 +614,16 @@ def oracle_sql() -> dict[str, str]:
         "c2_stops": show("stops_all", _STOP),
         "c2_stops_split_users": show("stops_all", _STOP),
         "c2_stops_noisy": show("stops_all_hard", _STOP),
-        "c3_stops_noisy": show("stops_all_untimed_hard", _STOP),
+        "c3_stops_noisy": show("stops_all_untimed_exact", _STOP),
+        "c2_stops_one_device": show("stops_all_device", _STOP),
+        "c2_stops_through_days": show("stops_all_device_wide", _STOP),
+        "c2_ping_labels_noisy": show("ping_labels_hard", "s:user_id i:ping_id i:stop"),
+        "c3_ping_labels_noisy": show("ping_labels_untimed_exact", "s:user_id i:ping_id i:stop"),
+        "c5_group_medians": show("select country, median(lat) as median from pings_hard group by country", "s:country f:median"),
+        "c9_recluster_all": show(
+            "select *, t_end - t_start as total_duration_stop_location, t_end - t_start as duration from clustered_hard", _PIECE),
+        "c9_recluster_earlier": show(
+            "select *, t_end - t_start as total_duration_stop_location, t_end - t_start as duration from clustered_hard", _PIECE),
         "c6_clusters_chained": show("clustered_hard", _PLACE),
         "c9_recluster_chained": show(
             "select *, t_end - t_start as total_duration_stop_location, t_end - t_start as duration from clustered_hard", _PIECE),
