@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dwellpath.session import cut_lineage
 
 # Ranges a group's values are counted in at a time.
-RANGES = 1024
+RANGES = 16_384
 
 
 def exact_medians(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,7 +24,7 @@ def exact_medians(values: DataFrame, keys: list[str]) -> DataFrame:
     """
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     named = [F.col(k).alias(f"_{k}") for k in keys]
-    plain = values.select(*keys, F.col("value").cast("double").alias("value"))
+    plain = cut_lineage(values.select(*keys, F.col("value").cast("double").alias("value")))
     groups = cut_lineage(plain.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
         F.bool_or(F.col("value").isNull() | F.isnan("value")).alias("unknown")))

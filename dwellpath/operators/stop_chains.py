@@ -58,16 +58,26 @@ Box = tuple[float, float, float, float]
 class _Group:
     """An open group: where it opened, the units it has come through, and counts of its coordinates."""
 
-    __slots__ = ("unit", "place", "size", "box", "bins", "since")
+    __slots__ = ("unit", "place", "size", "box", "counted", "since")
 
-    def __init__(self, unit: int, place: int, size: int, box: Box, bins: tuple[dict, dict], since: int) -> None:
-        self.unit, self.place, self.size, self.box, self.bins = unit, place, size, box, bins
+    def __init__(self, unit: int, place: int, size: int, box: Box, counted: list[tuple], since: int) -> None:
+        self.unit, self.place, self.size, self.box = unit, place, size, box
+        self.counted = counted  # where counts of its coordinates stand; added up when first needed
         self.since = since  # index of the first row whose pings a walk from this group needs
 
-    def joined(self, size: int, box: Box, bins: tuple[dict, dict]) -> "_Group":
-        south, north, west, east = zip(self.box, box)
-        merged = tuple({b: one.get(b, 0) + two.get(b, 0) for b in {**one, **two}} for one, two in zip(self.bins, bins))
-        return _Group(self.unit, self.place, self.size + size, (min(south), max(north), min(west), max(east)), merged, self.since)
+    def joined(self, size: int, box: Box, counted: tuple) -> "_Group":
+        (south, _, west, _), (_, north, _, east) = map(min, zip(self.box, box)), map(max, zip(self.box, box))
+        return _Group(self.unit, self.place, self.size + size, (south, north, west, east), [*self.counted, counted], self.since)
+
+    def bins(self) -> tuple[dict, dict]:
+        if len(self.counted) != 1 or not isinstance(self.counted[0][0], dict):
+            total: tuple[dict, dict] = ({}, {})
+            for counted in self.counted:
+                for mine, more in zip(total, counted if isinstance(counted[0], dict) else _bins(*counted)):
+                    for b, n in more.items():
+                        mine[b] = mine.get(b, 0) + n
+            self.counted = [total]
+        return self.counted[0]
 
     def median_box(self, more: int, box: Box | None, width: float) -> Box:
         """Where the median lies while up to ``more`` pings inside ``box`` are added.
@@ -79,7 +89,8 @@ class _Group:
             return min(south), max(north), min(west), max(east)
         lowest, highest = max(1, -(-(self.size - more) // 2)), min(self.size, (self.size + more) // 2 + 1)
         found = []
-        for bins, low, high in ((self.bins[0], self.box[0], self.box[1]), (self.bins[1], self.box[2], self.box[3])):
+        lats, lons = self.bins()
+        for bins, low, high in ((lats, *self.box[:2]), (lons, *self.box[2:])):
             below, ordered = 0, sorted(bins)
             first = last = None
             for b in ordered:
@@ -93,8 +104,9 @@ class _Group:
         return tuple(found)
 
 
-def _bins(counts: list[int], kinds: tuple[int, int]) -> tuple[dict, dict]:
+def _bins(counts: np.ndarray, kinds: tuple[int, int]) -> tuple[dict, dict]:
     found: tuple[dict, dict] = ({}, {})
+    counts = counts.tolist()
     for kind, b, n in zip(counts[4::3], counts[5::3], counts[6::3]):
         if kind in kinds:
             found[kind - kinds[0]][b] = n
@@ -125,6 +137,11 @@ class _Distance:
         high, wide = max(one[1] - two[0], two[1] - one[0]), max(one[3] - two[2], two[3] - one[2])
         return self._able(one, two) and self._metres(high, wide, one, two, False) <= self.radius * 0.999
 
+    def all_reached(self, middle: Box, reach: float, two: Box) -> bool:
+        """Whether all within ``reach`` of the point ``middle`` are within the radius of all points of the box ``two``."""
+        high, wide = max(middle[1] - two[0], two[1] - middle[0]), max(middle[3] - two[2], two[3] - middle[2])
+        return self._able(middle, two) and self._metres(high, wide, middle, two, False) + reach <= self.radius * 0.999
+
     def all_beyond(self, one: Box, two: Box) -> bool:
         high = max(one[0] - two[1], two[0] - one[1], 0.0)
         wide = max(one[2] - two[3], two[2] - one[3], 0.0)
@@ -132,13 +149,19 @@ class _Distance:
 
 
 def join_units(batches: Iterator[pa.RecordBatch], params: StopParams, reach: int) -> Iterator[pa.RecordBatch]:
-    """The plan for the units of one user after another; a stretch asked for goes over ``reach`` units with several groups.
+    """The plan for the units of one user after another; a stretch asked for goes over ``reach`` units.
 
     A user's units number at most two per period.
     """
     def rows() -> Iterator[dict]:
         for batch in batches:
-            yield from batch.to_pylist()
+            plain = batch.select([name for name in batch.schema.names if name not in ("marks", "counts")]).to_pylist()
+            lists = []
+            for name in ("marks", "counts"):
+                offsets, values = batch.column(name).offsets.tolist(), batch.column(name).values.to_numpy(zero_copy_only=False)
+                lists.append([values[a:b] for a, b in zip(offsets, offsets[1:])])
+            for row, marks, counts in zip(plain, *lists):
+                yield {**row, "marks": marks, "counts": counts}
 
     for user, known in groupby(rows(), key=lambda row: row["user_id"]):
         plan = _plan_of(list(known), params, reach)
@@ -157,17 +180,18 @@ def _plan_of(known: list[dict], params: StopParams, reach: int) -> list[dict]:
     def last_group(at: int) -> _Group:
         row = units[at]
         size, box = row["counts"][3], tuple(row["marks"][10:14])
-        return _Group(row["unit"], row["counts"][2], size, box, _bins(row["counts"], (2, 3)), at)
+        return _Group(row["unit"], int(row["counts"][2]), int(size), box, [(row["counts"], (2, 3))], at)
 
     def found_group(row: dict) -> _Group:
-        unit = row["counts"][1]
-        return _Group(unit, row["counts"][2], row["counts"][3], tuple(row["marks"]), _bins(row["counts"], (2, 3)), place_of[unit])
+        unit, place, size = map(int, row["counts"][1:4])
+        return _Group(unit, place, size, tuple(row["marks"]), [(row["counts"], (2, 3))], place_of[unit])
 
+    opens = _opening(units, params)
     group = None
     at = 0
     while at < len(units):
         row = units[at]
-        if group is None or row["unit"] % 2 or _ends_before(params, units[at - 1], row):
+        if at in opens:
             group = last_group(at)
             at += 1
             continue
@@ -179,14 +203,17 @@ def _plan_of(known: list[dict], params: StopParams, reach: int) -> list[dict]:
             group = last_group(last) if walked["counts"][0] else found_group(walked)
             at = last + 1
             continue
-        several, size, first_box = row["counts"][0] > 1, row["counts"][1], tuple(row["marks"][4:8])
+        several, size, first_box = row["counts"][0] > 1, int(row["counts"][1]), tuple(row["marks"][4:8])
         lat, lon = row["marks"][:2]
         if distance.all_beyond((lat, lat, lon, lon), group.median_box(0, None, width)):
             group = last_group(at)
             at += 1
             continue
-        if distance.all_within(first_box, group.median_box(size, first_box, width)):
-            merged = group.joined(size, first_box, _bins(row["counts"], (0, 1)))
+        south, north, west, east = first_box
+        middle = ((south + north) / 2,) * 2 + ((west + east) / 2,) * 2
+        medians = group.median_box(size, first_box, width)
+        if distance.all_within(first_box, medians) or distance.all_reached(middle, row["marks"][14], medians):
+            merged = group.joined(size, first_box, (row["counts"], (0, 1)))
             lat, lon = row["marks"][8:10]
             if not several or distance.all_beyond((lat, lat, lon, lon), merged.median_box(0, None, width)):
                 plan[at].update(lead_unit=group.unit, lead_place=group.place)
@@ -194,17 +221,17 @@ def _plan_of(known: list[dict], params: StopParams, reach: int) -> list[dict]:
                 group = last_group(at) if several else merged
                 at += 1
                 continue
-        last, left = at, reach
-        while True:
-            left -= units[last]["counts"][0] > 1
-            if not left or last + 1 == len(units) or units[last + 1]["unit"] % 2 or _ends_before(
-                    params, units[last], units[last + 1]):
-                break
+        last = at
+        while last - at < reach - 1 and last + 1 < len(units) and last + 1 not in opens:
             last += 1
         for part in range(group.since, last + 1):
             asked.append({"unit": units[part]["unit"], "asked": True, "walk_unit": row["unit"], "walk_head_unit": group.unit,
                           "walk_head_place": group.place, "from_place": group.place if part == group.since else 0})
-        group = last_group(last)
+        # until the walk is known: a unit of several groups ends with its own, one of a single group is gone through
+        for guess in range(at, last + 1):
+            row = units[guess]
+            group = last_group(guess) if row["counts"][0] > 1 else group.joined(
+                int(row["counts"][1]), tuple(row["marks"][4:8]), (row["counts"], (0, 1)))
         at = last + 1
     for (unit, place), covered in leads.items():
         if len(covered) > 1:  # the group goes through whole units, so it is not gathered in one task
@@ -217,12 +244,16 @@ def _plan_of(known: list[dict], params: StopParams, reach: int) -> list[dict]:
     return plan + asked
 
 
-def _ends_before(params: StopParams, before: dict, after: dict) -> bool:
-    """Whether a stop must end between the last ping of one unit and the first of the next."""
-    def ping(t: int, lat: float, lon: float) -> _Pings:
-        return _Pings(None, np.array([t]), None, np.array([lat]), np.array([lon]), None)
-
-    return bool(_sure_ends(params, ping(before["t_end"], *before["marks"][2:4]), ping(after["t_start"], *after["marks"][:2]))[0])
+def _opening(units: list[dict], params: StopParams) -> set[int]:
+    """The units that surely begin with a new stop: the first, those behind a sure end, and those after a gap or jump."""
+    marks = np.array([row["marks"][:4] for row in units])
+    times = np.array([(row["t_start"], row["t_end"]) for row in units])
+    before = _Pings(None, times[:-1, 1], None, marks[:-1, 2], marks[:-1, 3], None)
+    after = _Pings(None, times[1:, 0], None, marks[1:, 0], marks[1:, 1], None)
+    sure = np.array([row["unit"] % 2 == 1 for row in units])
+    sure[0] = True
+    sure[1:] |= _sure_ends(params, before, after)
+    return set(np.flatnonzero(sure).tolist())
 
 
 # What a walk yields: pings with the group they belong to, and one row on the open group behind them.

@@ -379,19 +379,42 @@ def _touching(pings: _Pings, begin, end, unit, params: StopParams) -> Iterator[p
     last = np.append(first[1:], len(owner)) - 1
     several = last > first
     second = np.minimum(first + 1, last)
+    first_boxes = boxes(pings, low[first], high[first])
     marks = np.column_stack([
-        pings.lat[begin], pings.lon[begin], pings.lat[end - 1], pings.lon[end - 1], *boxes(pings, low[first], high[first]),
+        pings.lat[begin], pings.lon[begin], pings.lat[end - 1], pings.lon[end - 1], *first_boxes,
         np.where(several, pings.lat[low[second]], np.nan), np.where(several, pings.lon[low[second]], np.nan),
-        *boxes(pings, low[last], high[last])])
+        *boxes(pings, low[last], high[last]), _reach(params, pings, low[first], high[first], first_boxes)])
     counts = np.column_stack([last - first + 1, high[first] - low[first], low[last] - begin, high[last] - low[last]])
-    pieces = [np.concatenate(both) for both in zip(counts, _histograms(
-        params, pings, low[first], high[first], low[last], high[last]))]
     yield _row_kind(
         pa.RecordBatch.from_arrays([
             pings.user.take(pa.array(begin)), pa.array(pings.t[begin]), pa.array(pings.t[end - 1]),
             *[pa.nulls(len(begin), pa.float64())] * 3, *[pa.nulls(len(begin), pa.int64())] * 3], schema=STOP_FIELDS),
-        SUMMARY, unit=pa.array(unit), marks=pa.array(list(marks), pa.list_(pa.float64())),
-        counts=pa.array(pieces, pa.list_(pa.int64())))
+        SUMMARY, unit=pa.array(unit), marks=_lists(marks, np.zeros(len(begin), np.int64), np.zeros(0)),
+        counts=_lists(counts, *_histograms(params, pings, low[first], high[first], low[last], high[last])))
+
+
+def _reach(params: StopParams, pings: _Pings, low: np.ndarray, high: np.ndarray, around: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The largest distance of a ping of each group ``[low, high)`` from the middle of its box."""
+    sizes = high - low
+    starts = np.cumsum(sizes) - sizes
+    rows = np.arange(sizes.sum()) + np.repeat(low - starts, sizes)
+    south, north, west, east = around
+    apart = _consecutive_distance(params.metric, np.repeat((south + north) / 2, sizes), np.repeat((west + east) / 2, sizes),
+                                  pings.lat[rows], pings.lon[rows])
+    return np.maximum.reduceat(apart, starts)
+
+
+def _lists(heads: np.ndarray, sizes: np.ndarray, rest: np.ndarray) -> pa.ListArray:
+    """Each row of ``heads``, followed by its ``sizes`` values of ``rest``."""
+    width = heads.shape[1]
+    offsets = np.concatenate([[0], np.cumsum(sizes + width)])
+    values = np.empty(offsets[-1], heads.dtype)
+    at_head = (offsets[:-1, None] + np.arange(width)).ravel()
+    values[at_head] = heads.ravel()
+    behind = np.ones(len(values), bool)
+    behind[at_head] = False
+    values[behind] = rest
+    return pa.ListArray.from_arrays(offsets.astype(np.int32), values)
 
 
 def bin_width(params: StopParams) -> float:
@@ -400,10 +423,10 @@ def bin_width(params: StopParams) -> float:
     return float(radius) / BINS_PER_RADIUS
 
 
-def _histograms(params: StopParams, pings: _Pings, *bounds: np.ndarray) -> list[np.ndarray]:
-    """Per unit, how many coordinates of its first and last group fall in each bin: (kind, bin, count) in a row.
+def _histograms(params: StopParams, pings: _Pings, *bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many coordinates of each unit's first and last group fall in each bin: (kind, bin, count) in a row.
 
-    Kinds 0 and 1 are latitude and longitude of the first group, 2 and 3 those of the last.
+    Returns the number of values per unit, and all of them.  Kinds 0 and 1 are latitude and longitude of the first group, 2 and 3 those of the last.
     """
     width, owners, bins = bin_width(params), [], []
     for kind, (low, high, values) in enumerate(
@@ -418,4 +441,4 @@ def _histograms(params: StopParams, pings: _Pings, *bounds: np.ndarray) -> list[
     keys, times = np.unique(owner * span + (bin_ - lowest), return_counts=True)
     owner = keys // span
     rows = np.column_stack([owner % 4, keys % span + lowest, times])
-    return np.split(rows.ravel(), np.flatnonzero(np.diff(owner // 4)) * 3 + 3)
+    return np.bincount(owner // 4, minlength=len(bounds[0])) * 3, rows.ravel()

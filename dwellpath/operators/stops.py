@@ -108,22 +108,20 @@ def _stops_with_ends(pings: DataFrame, params: StopParams, on_invalid: str) -> D
     touching = searched.where(F.col("kind") == PING).select(
         "user_id", "unit", "place", "opened", F.col("t_start").alias("epoch_time"), F.col("first_ping").alias("ping_id"),
         "lat", "lon", F.col("median_accuracy").alias("accuracy"))
-    plan, walked = _joined_units(searched, touching, params)
+    plan, walked, through = _joined_units(searched, touching, params)
     owned = _with_groups(touching, plan, walked)
     group = ["user_id", "group_unit", "group_place"]
     gathered = owned.where("not through").repartition(*group).sortWithinPartitions(*group, "unit", "place")
     stops = searched.where(F.col("kind") == STOP).select(*_ENDS.fieldNames()).unionByName(
         gathered.mapInArrow(lambda batches: settle_groups(batches, params), _ENDS))
-    if plan.where("lead_through").isEmpty():
-        return stops
-    return stops.unionByName(_measured(owned.where("through"), group, params))
+    return stops.unionByName(_measured(owned.where("through"), group, params)) if through else stops
 
 
 _ENDS = T.StructType([*STOPS.fields, T.StructField("first_ping", T.LongType()), T.StructField("last_ping", T.LongType())])
 
 
-def _joined_units(searched: DataFrame, touching: DataFrame, params: StopParams) -> tuple[DataFrame, DataFrame | None]:
-    """The plan that joins all units, and what walks have found on the way.
+def _joined_units(searched: DataFrame, touching: DataFrame, params: StopParams) -> tuple[DataFrame, DataFrame | None, bool]:
+    """The plan that joins all units, what walks have found on the way, and whether a stop goes through whole units.
 
     Each round walks the stretches that are still open, over twice as many units as before,
     so the number of rounds grows with the logarithm of the longest run of units in which
@@ -139,8 +137,9 @@ def _joined_units(searched: DataFrame, touching: DataFrame, params: StopParams)
         plan = cut_lineage(units.repartition("user_id").sortWithinPartitions("user_id", "unit").mapInArrow(
             lambda batches, reach=reach: join_units(batches, params, reach), from_arrow_schema(PLAN)))
         asked = plan.where("asked")
-        if asked.isEmpty():
-            return plan.where("not asked"), walked
+        more, through = plan.agg(F.bool_or("asked"), F.bool_or("lead_through")).first()
+        if not more:
+            return plan, walked, bool(through)
         stretch = ["user_id", "walk_unit", "walk_head_unit", "walk_head_place"]
         pings = touching.join(_named(asked, "user_id", "unit"), _same("user_id", "unit")).where("place >= from_place").select(
             *touching.columns, *stretch[1:])
@@ -179,6 +178,7 @@ def _with_groups(touching: DataFrame, plan: DataFrame, walked: DataFrame | None)
 
 def _measured(pings: DataFrame, group: list[str], params: StopParams) -> DataFrame:
     """Stops from groups of any size, none of which is gathered."""
+    pings = cut_lineage(pings)  # read for the ends, and to count values
     seen = F.struct("unit", "place", F.col("epoch_time").alias("t"), F.col("ping_id").alias("p"))
     ends = cut_lineage(pings.groupBy(*group).agg(
         F.min(seen).alias("first"), F.max(seen).alias("last"), F.count(F.lit(1)).alias("total_pings_stop")))

@@ -14,7 +14,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import dwellpath as dp
-from dwellpath.operators.stop_pass import RunningMedian, _Pings, groups_of_unit
+from dwellpath.operators import stops
+from dwellpath.operators.stop_pass import RunningMedian, _Pings, groups_of_unit, settle
 
 PING = "user_id string, ping_id long, epoch_time long, lat double, lon double, accuracy double"
 METRE = math.degrees(1 / 6_371_000.0)
@@ -239,3 +240,81 @@ def test_sessions_keep_every_ping(spark):
 def test_no_user_is_sent_to_one_task(spark):
     plan = dp.detect_stops(pings_of(spark, at_spot([0, 300])))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(user_id" in plan and "group_unit" in plan
+
+
+def one_device(kind, n=6000, seed=3):
+    """Pings every 20 seconds without a pause or a jump that would surely end a stop."""
+    rng = np.random.default_rng(seed)
+    lat, lon = rng.normal(0, 8, n), rng.normal(0, 8, n)
+    if kind == "wandering":
+        lat, lon = lat + np.cumsum(rng.normal(0, 1.5, n)), lon + np.cumsum(rng.normal(0, 1.5, n))
+    if kind == "two places":
+        lat = lat + np.arange(n) // 900 % 2 * 60
+    if kind == "at the limit":  # some pings lie about a radius away, so summaries leave much open
+        lat = np.where(rng.random(n) < 0.02, rng.uniform(44, 56, n), lat)
+    if kind == "drift":
+        lat = lat + np.arange(n) * 0.05
+    return [("u", i, 1_600_000_000 + 20 * i, float(10 + a * METRE), float(20 + b * METRE), float(i % 70))
+            for i, (a, b) in enumerate(zip(lat, lon))]
+
+
+@pytest.mark.parametrize("kind", ["still", "wandering", "two places", "at the limit", "drift"])
+@pytest.mark.parametrize("untimed", [False, True])
+def test_a_stretch_without_a_sure_end_is_joined_from_many_units(spark, kind, untimed):
+    rows = one_device(kind)
+    timed = {} if not untimed else {"min_stay": None, "max_gap": None}
+    params = dp.StopParams(period_seconds=3600, **timed)
+    t, ping = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    pings = _Pings(pa.array(["u"] * len(rows)), t, ping, *(np.array([r[k] for r in rows]) for k in (3, 4, 5)))
+    runs = np.array(list(groups_of_unit(pings, params)))
+    want = sorted(tuple(row.values())[:7] for part in settle(pings, runs[:, 0], runs[:, 1], params) for row in part.to_pylist())
+    got = sorted(tuple(r) for r in dp.detect_stops(pings_of(spark, rows), params).collect())
+    assert got == want
+    assert kind != "still" or len(got) == 1
+
+
+def test_units_are_joined_by_summaries_and_few_are_walked(spark, monkeypatch):
+    """A device that stays for days is one stop, none of its pings is gathered, and only its second day is walked again."""
+    seen, measured = [], []
+    plain, plain_groups = stops._measured, stops._with_groups
+    monkeypatch.setattr(stops, "_with_groups", lambda touching, plan, walked: (
+        seen.append(0 if walked is None else walked.where("kind = 0").count()), plain_groups(touching, plan, walked))[1])
+    monkeypatch.setattr(stops, "_measured", lambda pings, *a: (measured.append(pings.count()), plain(pings, *a))[1])
+    rows = one_device("still", n=20_000)
+    (stop,) = stops_of(spark, rows)
+    assert stop[6] == 20_000 and measured == [20_000] and seen[0] <= 4320
+    assert stop[3:6] == (statistics.median(r[3] for r in rows), statistics.median(r[4] for r in rows),
+                         statistics.median(r[5] for r in rows[:-1]))
+
+
+def test_a_walk_that_misses_a_guess_reaches_further(spark):
+    """Units that never agree with their guesses take several rounds, and still give the rules' stops."""
+    rows = [("u", i, i * 100, 10.0 + i * 9 * METRE, 20.0, 10.0) for i in range(400)]
+    for period in (700, 1900, 7000):
+        params = dp.StopParams(period_seconds=period, min_stay=0)
+        same(sorted(tuple(r) for r in dp.detect_stops(pings_of(spark, rows), params).collect()), plain_stops(rows, params))
+
+
+def test_coordinates_in_exact_steps(spark):
+    with pytest.raises(ValueError, match="power of two"):
+        dp.StopParams(coordinate_step=1e-7)
+    step = 2.0 ** -24
+    rows = wandering(13, users=2)
+    params = dp.StopParams(coordinate_step=step)
+    snapped = [(*r[:3], round(r[3] / step) * step, round(r[4] / step) * step, r[5]) for r in rows]
+    got = sorted(tuple(r) for r in dp.detect_stops(pings_of(spark, rows), params).collect())
+    assert got == plain_stops(snapped, dp.StopParams())
+    assert all((2 * row[3] / step).is_integer() for row in got)
+
+
+def test_labels_of_a_user_with_many_stops_in_a_period(spark):
+    """Untimed: thousands of stops a day, pings that share a second, a stop over several periods, a stop of one ping."""
+    rng = np.random.default_rng(8)
+    rows = [("u", i, 1_600_000_000 + i // 2, 10.0 + float(i // 3 % 7) * 300 * METRE, 20.0, 1.0) for i in range(3000)]
+    rows += [("v", i, 1_600_000_000 + i * 7000, 10.0, 20.0, 1.0) for i in range(60)]
+    rows += [("w", int(i), 5, float(rng.random()), 20.0, 1.0) for i in range(5)]
+    params = dp.StopParams.untimed()
+    got = {(r.user_id, r.ping_id): r.stop for r in dp.label_pings(pings_of(spark, rows), params).collect()}
+    assert [got["u", i] for i in range(3000)] == [i // 3 for i in range(3000)]
+    assert {got["v", i] for i in range(60)} == {0}
+    assert {got["w", i] for i in range(5)} == {-1}
