@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +62,39 @@ def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null becomes the empty text."""
     return [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]
+
+
+SIEVE_BITS = 23
+
+
+def sieve(marks: DataFrame) -> Callable[[Column], Column]:
+    """A filter that lets every 64-bit hash in ``marks`` (column ``mark``) pass, and few others.
+
+    A bit set of fixed size, put together from the tasks' own; the more hashes it holds, the more
+    others it lets pass, so what it excludes is certain at every size.
+    """
+    def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wide = hashes.astype(np.uint64)
+        last = np.uint64((1 << SIEVE_BITS) - 1)
+        return (wide & last).astype(np.int64), (wide >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << SIEVE_BITS, bool)
+        for batch in batches:
+            for place in places(batch.column(0).to_numpy()):
+                flags[place] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["bits"])
+
+    bits = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
+    for row in marks.coalesce(16).mapInArrow(collect, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row["bits"], np.uint8)
+    shared = marks.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def passes(hashes: pd.Series) -> pd.Series:
+        first, second = places(hashes.to_numpy())
+        held = shared.value
+        one, two = (held[place >> 3] >> (7 - (place & 7)) & 1 for place in (first, second))
+        return pd.Series((one & two).astype(bool))
+
+    return passes
