@@ -37,8 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left, encoded and decoded."""
-    return bpe.round_trip(docs)
+    """What is left with its columns and token ids, and counts and digests of the ids and of what they decode to."""
+    return bpe.encode_checked(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

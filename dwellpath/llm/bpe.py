@@ -13,12 +13,14 @@ by the block of documents and a cache of limited size.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ from dwellpath.llm.common import documents, free_name, pieces_of
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 # A block's texts, and the pieces remembered from earlier blocks of a task.
-BLOCK_BYTES = 16 << 20
-CACHED_PIECES = 500_000
+BLOCK_BYTES = 8 << 20
+CACHED_PIECES = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -162,34 +164,60 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PA
     names, text_at = schema.fieldNames(), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-        replay, find = MergeReplay(read_ranks(vocabulary)), regex.compile(pattern).findall
-        known: dict[str, int] = {}
-        ids, starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        for batch in pieces_of(batches, rows=1 << 14, size=BLOCK_BYTES):
-            if len(known) > CACHED_PIECES:
-                known, ids, starts = {}, ids[:0], starts[:1]
-            had, rows = len(known), []
-            for value in batch.column(text_at).to_pylist():
-                rows.append(np.array([known.setdefault(piece, len(known)) for piece in find(value)] if value else [], np.int64))
-            new = list(itertools.islice(known, had, None))
-            new_ids, new_starts = replay.encode([piece.encode() for piece in new])
-            ids, starts = np.concatenate([ids, new_ids]), np.concatenate([starts, starts[-1] + new_starts[1:]])
-            for some in range(0, len(rows), 256):
-                owned = rows[some:some + 256]
-                pieces = np.concatenate(owned)
-                lengths = starts[pieces + 1] - starts[pieces]
-                ends = np.cumsum(lengths)
-                offset = np.repeat(starts[pieces] - ends + lengths, lengths)
-                values = ids[offset + np.arange(len(offset))]
-                bounds = np.append(0, ends)[np.append(0, np.cumsum([len(row) for row in owned]))]
-                found = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
-                part = batch.slice(some, len(owned))
-                yield pa.RecordBatch.from_arrays([*part.columns, found], names=names)
+        for part, values, bounds in encode_blocks(batches, vocabulary, pattern, text_at):
+            found = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*part.columns, found], names=names)
 
     return docs.mapInArrow(run, schema), column
 
 
+def encode_blocks(batches: Iterator[pa.RecordBatch], vocabulary: str, pattern: str,
+                  text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows at a time, the ids of all their texts, and where each text's begin (one more at the end)."""
+    import regex
+    replay, find = MergeReplay(read_ranks(vocabulary)), regex.compile(pattern).findall
+    known: dict[str, int] = {}
+    ids, starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+    for batch in pieces_of(batches, rows=1 << 14, size=BLOCK_BYTES):
+        if len(known) > CACHED_PIECES:
+            known, ids, starts = {}, ids[:0], starts[:1]
+        had, rows = len(known), []
+        for value in batch.column(text_at).to_pylist():
+            rows.append(np.array([known.setdefault(piece, len(known)) for piece in find(value)] if value else [], np.int64))
+        new = list(itertools.islice(known, had, None))
+        new_ids, new_starts = replay.encode([piece.encode() for piece in new])
+        ids, starts = np.concatenate([ids, new_ids]), np.concatenate([starts, starts[-1] + new_starts[1:]])
+        for some in range(0, len(rows), 256):
+            owned = rows[some:some + 256]
+            pieces = np.concatenate(owned)
+            values = _gathered(ids, starts[pieces], starts[pieces + 1] - starts[pieces])
+            ends = np.append(0, np.cumsum(starts[pieces + 1] - starts[pieces]))
+            yield batch.slice(some, len(owned)), values, ends[np.append(0, np.cumsum([len(row) for row in owned]))]
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` that begin at ``starts``, in a row."""
+    return values[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+
+
+class Strings:
+    """A byte string per id, by which ids in a row become bytes in a row."""
+
+    def __init__(self, strings: dict[int, bytes]) -> None:
+        self.lengths = np.full(max(strings) + 1, -1, np.int64)
+        self.lengths[list(strings)] = [len(value) for value in strings.values()]
+        self.starts = np.zeros(len(self.lengths), np.int64)
+        self.starts[list(strings)] = np.cumsum([0, *(len(value) for value in strings.values())])[:-1]
+        self.values = np.frombuffer(b"".join(strings.values()), np.uint8)
+
+    def of(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and where those of each stretch of ``bounds`` begin."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.lengths) and (self.lengths[ids] >= 0).all()):
+            raise ValueError("unknown token id")
+        lengths = self.lengths[ids]
+        return _gathered(self.values, self.starts[ids], lengths), np.append(0, np.cumsum(lengths))[bounds]
+
+
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "decoded") -> tuple[DataFrame, str]:
     """Add the bytes that the token ids stand for; null ids give no bytes, an unknown id fails."""
     column = free_name(encoded, out)
@@ -197,23 +225,53 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "token_ids", out: str
     names, ids_at = schema.fieldNames(), encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: value for value, rank in read_ranks(vocabulary).items()}.__getitem__
+        strings = Strings({rank: value for value, rank in read_ranks(vocabulary).items()})
         for batch in pieces_of(batches):
-            decoded = [b"".join(map(token, found or ())) for found in batch.column(ids_at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=names)
+            lists = batch.column(ids_at)
+            flat = lists.flatten()
+            if flat.null_count:
+                raise ValueError("null token id")
+            bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+            values, ends = strings.of(flat.to_numpy(), bounds)
+            found = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=names)
 
     return encoded.mapInArrow(run, schema), column
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``docs`` (``doc_id``, ``text``) encoded and decoded: counts and digests of both."""
+    return encode_checked(docs.select("doc_id", "text"), vocabulary).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def encode_checked(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``docs`` with ``token_ids``, ``n_tokens``, and digests of the ids and of the bytes they decode to.
+
+    Ids are decoded in the task that made them, so a text passes through one worker only.
+    The digest of ids is that of their decimal forms, joined by a blank.  Clashing names of
+    ``docs`` rename the new columns, which come last.
+    """
     vocabulary = vocabulary or public_tokenizers.path(BYTE_BPE)
-    encoded, ids = encode(docs.select("doc_id", "text"), vocabulary)
-    decoded, out = decode(encoded.select("doc_id", ids), vocabulary, ids)
-    return decoded.select(
-        "doc_id", F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col(ids).cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col(out), 256).alias("decoded_sha256"))
+    names = [free_name(docs, name) for name in ("token_ids", "n_tokens", "ids_sha256", "decoded_sha256")]
+    kinds = (T.ArrayType(T.IntegerType()), T.LongType(), T.StringType(), T.StringType())
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)])
+    text_at = docs.columns.index("text")
+
+    def digests(strings: Strings, values: np.ndarray, bounds: np.ndarray, behind: int) -> pa.Array:
+        made, ends = strings.of(values, bounds)
+        whole, ends = memoryview(made), ends.tolist()
+        return pa.array([hashlib.sha256(whole[a:max(a, b - behind)]).hexdigest() for a, b in zip(ends, ends[1:])], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = {rank: value for value, rank in read_ranks(vocabulary).items()}
+        restored, spelled = Strings(tokens), Strings({rank: b"%d " % rank for rank in tokens})
+        for part, values, bounds in encode_blocks(batches, vocabulary, public_tokenizers.PATTERN, text_at):
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values)),
+                 pa.array(np.diff(bounds).astype(np.int64)), digests(spelled, values, bounds, 1),
+                 digests(restored, values, bounds, 0)], names=schema.fieldNames())
+
+    return docs.mapInArrow(run, schema)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -308,3 +308,18 @@ def test_archive_round_trip(spark):
     assert record.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and record.endswith(b"\r\n\r\nsmall\r\n\r\n")
     empty = warc.write_archive(frame.where("false"), shared_path(spark, "warc"))
     assert warc.read_archive(spark, empty).count() == 0
+
+
+def test_written_ids_decode_to_the_written_text(spark):
+    docs = odd_documents(spark)
+    path = shared_path(spark, "encoded")
+    bpe.encode_checked(docs).write.parquet(path)
+    kept = spark.read.parquet(path)
+    assert kept.columns[:len(docs.columns)] == docs.columns and kept.columns[-4:] == ["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    decoded, out = bpe.decode(kept, public_tokenizers.path(bpe.BYTE_BPE))
+    for row in decoded.collect():
+        assert bytes(row[out]).decode() == (row.text or "") and row.n_tokens == len(row.token_ids)
+        assert row.decoded_sha256 == sha(row.text or "") and row.ids_sha256 == sha(" ".join(map(str, row.token_ids)))
+    for wrong in ([60_000], [-1], [None]):
+        with pytest.raises(Exception, match="token id"):
+            bpe.decode(spark.createDataFrame([(wrong,)], "token_ids array<int>"), public_tokenizers.path(bpe.BYTE_BPE))[0].collect()
