@@ -22,6 +22,8 @@ from dwellpath.sources import sample  # noqa: E402
 
 # Fixed values for the sample data, shared with the oracles.
 ACTIVITY = dp.ActivityParams(level=oracles.ACTIVE_SHARE, split=oracles.SPLIT, end=oracles.END)
+ACTIVITIES = {"C0": ACTIVITY, "C1": ACTIVITY, "C2": dp.ActivityParams(
+    level=oracles.ACTIVE_SHARE_C2, split=oracles.SPLIT, end=oracles.END)}
 BINS, LABELS = oracles.BINS, oracles.LABELS
 BASELINE = (oracles.BASE_FROM, oracles.BASE_TO)
 CROP = (oracles.CROP_FROM, oracles.CROP_TO)
@@ -147,6 +149,16 @@ class Stages:
         return self._once("city", lambda: dp.city_migration(
             self.labelled, self.budgets, self.admins, BINS, LABELS, COUNTRY, ACTIVITY))
 
+    @property
+    def budgets_by_country(self) -> DataFrame:
+        return sample.with_country_of_user(self.budgets)
+
+    @property
+    def by_country(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Pieces, budgets and units of three countries whose unit ids collide."""
+        return (sample.with_colliding_ids(sample.with_country_of_user(self.labelled)), self.budgets_by_country,
+                sample.with_colliding_ids(self.admins3))
+
     @property
     def net_rural_wide(self) -> DataFrame:
         return dp.net_rural_by_label(*self.city, COUNTRY, oracles.END, LABELS, BASELINE)
@@ -264,6 +276,9 @@ _QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "h5_mover_counts": lambda s: dp.mover_counts(
         s.moves, dp.home_units(s.labelled, s.admins, s.active, BINS, LABELS, COUNTRY), COUNTRY),
     "h6_city": lambda s: s.city[0],
+    "e2_active_countries": lambda s: dp.active_users_by_country(s.budgets_by_country, ACTIVITIES),
+    "h6_city_colliding_ids": lambda s: dp.migration_of_countries(*s.by_country, BINS, LABELS, ACTIVITIES),
+    "h7_country_countries": lambda s: dp.migration_of_countries(*s.by_country, BINS, LABELS, ACTIVITIES, seen_rural=True),
     "h7_country": lambda s: dp.country_migration(
         s.labelled, s.budgets, s.admins, BINS, LABELS, COUNTRY, ACTIVITY),
     "h8_mover_shares": lambda s: dp.mover_shares(s.city[0], COUNTRY, oracles.END),

@@ -14,6 +14,7 @@ from dwellpath.operators.admin import (
 )
 from dwellpath.operators.budgets import (
     active_users,
+    active_users_by_country,
     daily_metrics,
     metrics_with_admins,
     modal_admin_unit,
@@ -70,7 +71,13 @@ from dwellpath.operators.pings import (
 )
 from dwellpath.operators.stops import detect_stops, find_stop_locations, label_pings, sessionise
 from dwellpath.params import ActivityParams, LabelParams, StopParams
-from dwellpath.plans.pipelines import city_migration, country_migration, indicators_of, labelled_pieces_of
+from dwellpath.plans.pipelines import (
+    city_migration,
+    country_migration,
+    indicators_of,
+    labelled_pieces_of,
+    migration_of_countries,
+)
 from dwellpath.session import cut_lineage, remove_stages
 from dwellpath.sources.tables import prepare_pings, read_admins, read_pings, read_stage, write_stage
 

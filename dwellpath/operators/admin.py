@@ -36,10 +36,10 @@ def wealth_percentile(admins: DataFrame, by_metro: bool = False) -> DataFrame:
         "pct_wealth", F.try_divide(F.sum("pop").over(richer), F.sum("pop").over(units)))
 
 
-def urban_rural(admins: DataFrame) -> DataFrame:
-    """'rural' for units outside any metro area."""
+def urban_rural(admins: DataFrame, keys: Sequence[str] = ("geom_id",)) -> DataFrame:
+    """'rural' for units outside any metro area; ``keys`` name a unit."""
     flag = F.when(F.col("metro_area_name").isNull(), "rural").otherwise("urban")
-    return admins.select("geom_id", flag.alias("urban_rural"))
+    return admins.select(*keys, flag.alias("urban_rural"))
 
 
 def metro_population(admins: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def main_metro_units(admins: DataFrame, bins: Sequence[float], labels: Sequence[
     return metro_units(admins, bins, labels).join(main_metro(admins), ["country", "metro_area_name"], "left_semi")
 
 
-def add_urban_rural(stops: DataFrame, admins: DataFrame) -> DataFrame:
+def add_urban_rural(stops: DataFrame, admins: DataFrame, keys: Sequence[str] = ("geom_id",)) -> DataFrame:
     """flag of the stop's unit; stops outside known units are dropped."""
-    require_columns(stops, "geom_id")
-    return stops.join(urban_rural(admins), "geom_id")
+    require_columns(stops, *keys)
+    return stops.join(urban_rural(admins, keys), list(keys))

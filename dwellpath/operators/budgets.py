@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,29 @@ def active_users(budgets: DataFrame, p: ActivityParams = ActivityParams()) -> Da
     return _active(budgets.select("user_id", "date_trunc").distinct(), p)
 
 
+def active_users_by_country(budgets: DataFrame, activity: Mapping[str, ActivityParams]) -> DataFrame:
+    """E2 for all countries at once: active users per ``country``, each measured by its country's parameters and maxima.
+
+    The parameters are one row per country, joined to the days; countries without any are left out.
+    """
+    require_columns(budgets, "country", "user_id", "date_trunc")
+    rows = [(country, float(p.level), p.start, p.split, p.end) for country, p in activity.items()]
+    rules = budgets.sparkSession.createDataFrame(
+        rows, "country string, level double, start string, split string, end string").select(
+        "country", "level", *[F.col(name).cast("date").alias(name) for name in ("start", "split", "end")])
+    day = F.col("date_trunc")
+    per_user = (
+        budgets.select("country", "user_id", "date_trunc").distinct().join(rules, "country")
+        .where((day < F.col("end")) & (F.col("start").isNull() | (day >= F.col("start"))))
+        .groupBy("country", "user_id").agg(
+            F.count_if(day < F.col("split")).alias("pre"), F.count_if(day >= F.col("split")).alias("post"))
+        .withColumn("tot", F.col("pre") + F.col("post")))
+    top = per_user.groupBy("country").agg(F.max("pre").alias("top_pre"), F.max("tot").alias("top_tot"))
+    return per_user.join(top, "country").join(rules.select("country", "level"), "country").where(
+        (F.col("pre") >= F.col("level") * F.col("top_pre")) & (F.col("tot") >= F.col("level") * F.col("top_tot"))).select(
+        "country", "user_id", "pre", "post", "tot")
+
+
 def daily_metrics(budgets: DataFrame, p: ActivityParams = ActivityParams()) -> DataFrame:
     """H, W, O shares per active user and day, with C (went to work) and R (stayed home).
 
@@ -88,16 +113,17 @@ def _active(days: DataFrame, p: ActivityParams) -> DataFrame:
     )
 
 
-def modal_admin_unit(labelled: DataFrame, location_type: str, name: str, until: str | None = None) -> DataFrame:
-    """Per user the admin unit with most distinct days of the given type; ties to the lowest id."""
+def modal_admin_unit(labelled: DataFrame, location_type: str, name: str, until: str | None = None,
+                     keys: Sequence[str] = ("user_id",)) -> DataFrame:
+    """Per user (or ``keys``) the admin unit with most distinct days of the given type; ties to the lowest id."""
     require_columns(labelled, "user_id", "geom_id", "location_type", "date_trunc")
     rows = labelled.where(F.col("location_type") == location_type)
     if until is not None:
         rows = rows.where(F.col("date_trunc") <= F.lit(until).cast("date"))
-    visits = rows.select("user_id", "geom_id", "date_trunc").distinct()
-    days = visits.repartition("user_id").groupBy("user_id", "geom_id").agg(F.count(F.lit(1)).alias("n_days"))
+    visits = rows.select(*keys, "geom_id", "date_trunc").distinct()
+    days = visits.repartition(*keys).groupBy(*keys, "geom_id").agg(F.count(F.lit(1)).alias("n_days"))
     best = F.min(F.struct((-F.col("n_days")).alias("rank"), "geom_id"))
-    return days.groupBy("user_id").agg(best.alias("_best")).select("user_id", F.col("_best.geom_id").alias(name))
+    return days.groupBy(*keys).agg(best.alias("_best")).select(*keys, F.col("_best.geom_id").alias(name))
 
 
 def metrics_with_admins(labelled: DataFrame, budgets: DataFrame, p: ActivityParams = ActivityParams()) -> DataFrame:

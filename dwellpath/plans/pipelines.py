@@ -14,7 +14,13 @@ from dwellpath.operators.admin import (
     urban_rural,
     wealth_percentile,
 )
-from dwellpath.operators.budgets import active_users, metrics_with_admins, time_budgets
+from dwellpath.operators.budgets import (
+    active_users,
+    active_users_by_country,
+    metrics_with_admins,
+    modal_admin_unit,
+    time_budgets,
+)
 from dwellpath.operators.days import day_pieces
 from dwellpath.operators.indicators import indicator_results, weight_by_home, weight_by_home_and_work
 from dwellpath.operators.labels import label_home_and_work
@@ -22,6 +28,7 @@ from dwellpath.operators.migration import home_moves, home_units, metro_resident
 from dwellpath.operators.pings import localise
 from dwellpath.operators.stops import find_stop_locations
 from dwellpath.params import ActivityParams, LabelParams, StopParams
+from dwellpath.schema import require_columns
 from dwellpath.session import cut_lineage
 
 # Measure names and the columns of daily metrics they average.
@@ -93,3 +100,33 @@ def country_migration(labelled: DataFrame, budgets: DataFrame, admins: DataFrame
     units = home_units(residents, admins, active, bins, labels, country)
     moves = home_moves(add_urban_rural(residents.join(seen_rural, "user_id", "left_semi"), admins), seed)
     return mover_counts(moves, units, country)
+
+
+def migration_of_countries(labelled: DataFrame, budgets: DataFrame, admins: DataFrame, bins: Sequence[float],
+                           labels: Sequence[str], activity: Mapping[str, ActivityParams], seen_rural: bool = False,
+                           seed: int = 0) -> DataFrame:
+    """H6, or H7 if ``seen_rural``, for all countries in one plan.
+
+    Pieces, budgets and units carry ``country``; every user and every unit is known by it and
+    its id, so ids of different countries may collide, and a user seen in two countries is
+    one user in each.  ``activity`` gives each country's parameters; countries without any
+    are left out.
+    """
+    require_columns(labelled, "country", "user_id", "geom_id", "location_type")
+    user, unit = ["country", "user_id"], ["country", "geom_id"]
+    active = cut_lineage(active_users_by_country(budgets, activity))
+    metro = main_metro_units(admins, bins, labels)
+    homes = labelled.join(active.select(*user), user, "left_semi").join(metro.select(*unit), unit, "left_semi")
+    residents = cut_lineage(
+        modal_admin_unit(homes, "H", "geom_id", keys=user).join(metro, unit).select(*user, "wealth_label"))
+    stops = labelled.join(residents.select(*user), user, "left_semi")
+    if seen_rural:
+        rural = urban_rural(admins, unit).where(F.col("urban_rural") == "rural")
+        at_rural_home = stops.where(F.col("location_type") == "H").join(rural, unit, "left_semi").select(*user).distinct()
+        stops = stops.join(at_rural_home, user, "left_semi")
+    moves = home_moves(add_urban_rural(stops, admins, unit), seed, user)
+    return (
+        moves.join(residents, user)
+        .groupBy(F.col("date_trunc").alias("date"), "wealth_label", "change", "country")
+        .agg(F.count_distinct("user_id").alias("n_users"))
+        .select("date", "wealth_label", "change", "n_users", "country"))

@@ -121,3 +121,13 @@ def with_geom_id(stops: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
     user = F.col("user_id").cast("long")
     place = F.round((F.col("lat") - (-30 + (user * 37) % 60)) / 0.02).cast("long")
     return stops.withColumn("geom_id", F.concat(F.lit("g"), ((user * 7 + place) % units).cast("string")))
+
+
+def with_country_of_user(rows: DataFrame, countries: int = 3) -> DataFrame:
+    return rows.withColumn("country", F.concat(F.lit("C"), (F.col("user_id").cast("long") % countries).cast("string")))
+
+
+def with_colliding_ids(rows: DataFrame, countries: int = 3) -> DataFrame:
+    """Unit numbers of :func:`sample_admins` divided by the number of countries: unique within a country only."""
+    number = F.floor(F.substring("geom_id", 2, 20).cast("long") / countries)
+    return rows.withColumn("geom_id", F.concat(F.lit("g"), number.cast("string")))

@@ -16,7 +16,7 @@ BASE_FROM, BASE_TO = "2024-01-01", "2024-01-14"
 CROP_FROM, CROP_TO = "2024-01-03", "2024-01-28"
 RANGE_FROM, RANGE_TO = "2024-01-02", "2024-01-29"
 WINDOW = 7
-ACTIVE_SHARE = 0.85
+ACTIVE_SHARE, ACTIVE_SHARE_C2 = 0.85, 0.5
 BINS, LABELS = [0.0, 0.4, 0.8, 1.0], ["high", "medium", "low"]
 HOME_MEASURES = [("t_home", "H"), ("t_work", "W"), ("t_other", "O"), ("rec", "R"), ("comms", "C")]
 
@@ -515,6 +515,23 @@ for _k in range(3):
                                   else _of_country(CTES[_name], _k))
 
 
+# And for countries that have users of their own, and units whose ids collide with those of others.
+_KEYED = ["labelled", "budgets", "activity", "active", *_BY_COUNTRY, "rural_movers"]
+_UNIT_OF = "'g' || cast(cast(substr(geom_id, 2) as bigint) // 3 as varchar)"
+for _k in range(3):
+    for _name in _KEYED:
+        _sql = re.sub(rf"\b({'|'.join(_KEYED)})\b", rf"\1_k{_k}", CTES[_name]).replace("'XX'", f"'C{_k}'")
+        CTES[f"{_name}_k{_k}"] = _sql.replace(str(ACTIVE_SHARE), str(ACTIVE_SHARE_C2)) if _k == 2 else _sql
+    CTES[f"labelled_k{_k}"] = (
+        f"select * replace ({_UNIT_OF} as geom_id) from labelled where cast(user_id as bigint) % 3 = {_k}")
+    CTES[f"budgets_k{_k}"] = f"select * from budgets where cast(user_id as bigint) % 3 = {_k}"
+    CTES[f"admins_k{_k}"] = f"select * replace ({_UNIT_OF} as geom_id) from admins3 where country = 'C{_k}'"
+
+
+def _keyed(name: str, more: str = "") -> str:
+    return " union all ".join(f"select *{more.format(k=k)} from {name}_k{k}" for k in range(3))
+
+
 def _countries(name: str) -> str:
     return " union all ".join(f"select * from {name}_c{k}" for k in range(3))
 
@@ -728,6 +745,9 @@ def oracle_sql() -> dict[str, str]:
         "h5_mover_counts": show("movers", _MOVERS),
         "h6_city": show("movers", _MOVERS),
         "h7_country": show("rural_movers", _MOVERS),
+        "e2_active_countries": show(_keyed("active", ", 'C{k}' as country"), "s:country s:user_id i:pre i:post i:tot"),
+        "h6_city_colliding_ids": show(_keyed("movers"), _MOVERS),
+        "h7_country_countries": show(_keyed("rural_movers"), _MOVERS),
         "h8_mover_shares": show("mover_shares", f"{_MOVERS} i:tot_users f:users_fraction i:n_users_cumsum"),
         "h8_net_rural": show("net_rural", "s:wealth_label d:date i:to_rural i:to_urban i:net_rural i:n_label_users"
                                           " f:net_rural_fraction"),
