@@ -79,6 +79,7 @@ from dwellpath.plans.pipelines import (
     migration_of_countries,
 )
 from dwellpath.session import cut_lineage, remove_stages
-from dwellpath.sources.tables import prepare_pings, read_admins, read_pings, read_stage, write_stage
+from dwellpath.sources.stages import clean_stage, read_stage, write_stage
+from dwellpath.sources.tables import prepare_pings, read_admins, read_pings
 
 __all__ = [name for name in dir() if not name.startswith("_")]

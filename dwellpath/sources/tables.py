@@ -1,4 +1,4 @@
-"""A1-A5: pings, admin units and persisted stages."""
+"""A1, A2, A4: pings and admin units."""
 
 from __future__ import annotations
 
@@ -59,36 +59,3 @@ def read_admins(spark: SparkSession, path: str, country: str) -> DataFrame:
     require_columns(named, "geom_id", "metro_area_name", "pop", "wealth_index")
     named = named.withColumn("country", F.lit(country))
     return named.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in ADMINS.fields])
-
-
-def write_stage(df: DataFrame, root: str, stage: str, run: Mapping[str, object], mode: str = "overwrite") -> str:
-    """A5: persist a stage of one run as parquet, partitioned by country.
-
-    ``run`` holds the parameters that tell runs apart; they become the folder name,
-    so a reader finds exactly the run it asks for.  ``overwrite`` replaces the countries
-    that ``df`` holds and leaves the others, so a run may be written country by country.
-    """
-    require_columns(df, "country")
-    path = stage_path(root, stage, run)
-    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("country").parquet(path)
-    return path
-
-
-def read_stage(spark: SparkSession, root: str, stage: str, run: Mapping[str, object],
-               country: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """A3: read a stage back; a country filter prunes the other folders.
-
-    With a ``schema`` (such as ``schema.LABELLED_PIECES`` or ``schema.BUDGETS``, plus
-    ``country``) names and types are those asked for, none inferred from files or folders.
-    """
-    reader = spark.read
-    if schema is not None:
-        known = schema if "country" in schema.fieldNames() else T.StructType([*schema.fields, T.StructField("country", T.StringType())])
-        reader = reader.schema(known)
-    df = reader.parquet(stage_path(root, stage, run))
-    return df if country is None else df.where(F.col("country") == country)
-
-
-def stage_path(root: str, stage: str, run: Mapping[str, object]) -> str:
-    tag = "_".join(f"{key}-{run[key]}" for key in sorted(run)) or "default"
-    return f"{root.rstrip('/')}/{stage}/{tag}"
