@@ -112,10 +112,9 @@ def _insert(stored: DataFrame, fresh: DataFrame, grid: "_Grid") -> DataFrame:
     component is one cluster, made of any number of stored ones.
     """
     new = grid.assign(fresh)
-    reach = cut_lineage(grid.around(_cells_of(new)).distinct())
+    reach = grid.around(_cells_of(new)).distinct()
     old = grid.assign(stored).join(reach, ["user_id", "_cell"], "left_semi")
-    celled = cut_lineage(new.withColumn("_old", F.lit(None).cast("long")).unionByName(
-        old.withColumnRenamed("cluster_label", "_old")))
+    celled = new.withColumn("_old", F.lit(None).cast("long")).unionByName(old.withColumnRenamed("cluster_label", "_old"))
     cells = cut_lineage(_cells_of(celled, F.max("_old").alias("_old"), F.bool_or(F.col("_old").isNull()).alias("fresh")))
     labelled = cells.where(F.col("_old").isNotNull())
     anchors = labelled.groupBy("user_id", "_old").agg(F.min("_cell").alias("a"))

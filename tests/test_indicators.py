@@ -210,3 +210,32 @@ def test_city_and_country_migration(spark):
     assert {(r.user_id, r.wealth_label, r.tot) for r in users.collect()} == {("goes", "medium", 3), ("stays", "low", 3)}
     rural = dp.country_migration(labelled, budgets, admins, BINS, LABELS, "XX", activity)
     assert {(r.date, r.change) for r in rural.collect()} == {(day(1), "no change"), (day(2), "urban to rural")}
+
+
+def test_countries_with_colliding_ids_are_kept_apart(spark):
+    """The plan over all countries equals one run per country, whose units and users carry the same ids."""
+    from datetime import date
+
+    stops = "country string, user_id string, date_trunc date, t_start long, geom_id string, location_type string"
+    rows, days = [], []
+    for country, moved in (("A", 3), ("B", 6), ("C", 2)):
+        for user in ("u", "v"):
+            for day in range(1, 9):
+                rows.append((country, user, date(2024, 1, day), day * 86_400, "1" if day < moved else "2", "H"))
+                days.append((country, user, date(2024, 1, day)))
+    days = [d for d in days if not (d[0] == "B" and d[1] == "v" and d[2].day > 1)]  # v is hardly active in B
+    units = spark.createDataFrame(
+        [(c, g, m, 10.0, w) for c in "ABC" for g, m, w in (("1", "city", 2.0), ("2", None, 1.0))],
+        "country string, geom_id string, metro_area_name string, pop double, wealth_index double")
+    labelled, budgets = spark.createDataFrame(rows, stops), spark.createDataFrame(days, "country string, user_id string, date_trunc date")
+    budgets = budgets.selectExpr("*", "1D as H", "null as W", "null as O")
+    activity = {"A": dp.ActivityParams(level=0.5, split="2024-01-05", end="2024-02-01"),
+                "B": dp.ActivityParams(level=0.5, split="2024-01-05", end="2024-02-01")}
+    for seen_rural, plan in ((False, lambda *a: dp.city_migration(*a)[0]), (True, dp.country_migration)):
+        got = dp.migration_of_countries(labelled, budgets, units, [0, 1], ["all"], activity, seen_rural)
+        want = [tuple(r) for c in "AB" for r in plan(
+            labelled.where(f"country = '{c}'"), budgets.where(f"country = '{c}'"), units, [0, 1], ["all"], c, activity[c])
+            .select("date", "wealth_label", "change", "n_users", "country").collect()]
+        got = sorted(tuple(r) for r in got.collect())
+        assert got == sorted(want)
+        assert {(r[0].day, r[3], r[4]) for r in got if r[2] == "urban to rural"} == {(3, 2, "A"), (6, 1, "B")}
