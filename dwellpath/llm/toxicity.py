@@ -105,12 +105,13 @@ def _sample_features(docs: DataFrame, chosen: DataFrame, kept: np.ndarray) -> li
         known = _WordFeatures(kept)
         for batch in pieces_of(batches):
             known.trim()
-            found = [sorted(set().union(*map(known.__getitem__, set(words_of(t))))) for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "at"])
+            found = [np.array(sorted(set().union(*map(known.__getitem__, set(words_of(t))))), np.int32).tobytes()
+                     for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "at"])
 
     sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
-    return [(r["doc_id"], np.array(r["at"], np.int64)) for r in
-            sampled.mapInArrow(find, "doc_id long, at array<int>").collect()]
+    return [(r["doc_id"], np.frombuffer(r["at"], np.int32)) for r in
+            sampled.mapInArrow(find, "doc_id long, at binary").toLocalIterator()]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -122,8 +123,8 @@ def fit_nnpu(positives: list[np.ndarray], unlabelled: list[np.ndarray], features
     """Weights and bias by Adam on the non-negative risk with the sigmoid loss."""
     rows = positives + unlabelled
     n_pos, n_un = max(1, len(positives)), max(1, len(unlabelled))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    column = np.concatenate([np.zeros(0, np.int32), *rows])
     is_pos = np.arange(len(rows)) < len(positives)
     theta = np.zeros(features + 1)
     theta[-1] = np.log(prior / (1 - prior))
