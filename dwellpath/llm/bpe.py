@@ -30,8 +30,8 @@ from dwellpath.llm.common import documents, free_name, pieces_of
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 # A block's texts, and the pieces remembered from earlier blocks of a task.
-BLOCK_BYTES = 8 << 20
-CACHED_PIECES = 300_000
+BLOCK_BYTES = 4 << 20
+CACHED_PIECES = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
