@@ -110,6 +110,54 @@ def test_crowded_unlike_variants_without_template_equal_brute_force(spark):
     assert groups(got) == plain_groups(rows, 2)
 
 
+def test_groups_of_sample_documents_equal_all_pairs(spark):
+    path = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()}
+    sets = {i: minhash.shingles_of((t or "").encode().lower().split(), 2) for i, t in texts.items()}
+    holders = {}
+    for i, own in sets.items():
+        for shingle in own:
+            holders.setdefault(shingle, []).append(i)
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in sets.items():
+        common = Counter(j for shingle in own for j in holders[shingle] if j < i)
+        for j, n in common.items():
+            if 100 * n >= 80 * (len(own) + len(sets[j]) - n):
+                low, high = sorted((top(i), top(j)))
+                root[high] = low
+    got = QUERIES["op1_minhash_forest"](spark, path).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in sets}
+    assert {r.doc_id: r.n_shingles for r in got} == {i: len(own) for i, own in sets.items()}
+
+
+def test_masks_never_bound_an_overlap_from_below(spark):
+    draw = np.random.default_rng(4)
+    pool = draw.integers(1, 1 << 63, 900, np.uint64)
+    sets = [np.unique(draw.choice(pool, n)) for n in (1, 5, 60, 300, 800)]
+    columns = [*minhash.MASK, "size"]
+    rows = [[k, *mask, len(own)] for k, (mask, own) in enumerate(zip(minhash._masks(sets).tolist(), sets))]
+    frame = spark.createDataFrame(rows, ["rep", *columns])
+    bounds = frame.alias("x").join(frame.alias("y"), minhash.F.lit(True)).select(
+        minhash.F.col("x.rep").alias("a"), minhash.F.col("y.rep").alias("b"), minhash._overlap_at_most().alias("most"))
+    for r in bounds.collect():
+        shared = len(np.intersect1d(sets[r.a], sets[r.b]))
+        assert r.most >= shared and (r.a != r.b or r.most == shared)
+
+
+def test_texts_of_a_repeated_id_are_judged_one_by_one(spark):
+    rows = [(2, LONG + " fourteen"), (5, LONG + " fourteen"), (5, "quite another text of its own"), (5, "quite another text of its own"),
+            (5, None), (7, "solo")]
+    kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [
+        (2, LONG + " fourteen"), (5, ""), (5, "quite another text of its own"), (7, "solo")]
+
+
 def test_one_row_of_each_group_stays(spark):
     docs = odd_documents(spark)
     kept = minhash.drop_near_duplicates(docs)
