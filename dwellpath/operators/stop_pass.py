@@ -21,6 +21,7 @@ join is settled in :mod:`dwellpath.operators.stop_chains`.
 from __future__ import annotations
 
 import heapq
+from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import asin, cos, radians, sin, sqrt
@@ -42,6 +43,9 @@ SEARCH_FIELDS = pa.schema([
 ])
 STOP, PING, SUMMARY = 0, 1, 2
 
+# Pings of a run that are held against its median one by one before whole slices are tried.
+SINGLY = 64
+
 # Bins per radius of the counts that summaries carry.
 BINS_PER_RADIUS = 32
 
@@ -196,44 +200,83 @@ def _still_together(params: StopParams, pings: _Pings, low: int, high: int, box:
     return high - low if small.all() else int(np.argmin(small))
 
 
+def _sure_bounds(params: StopParams) -> tuple[float, float]:
+    """Squared difference of coordinates up to which two points are surely in reach, and that of latitudes beyond which not."""
+    if params.metric == "euclidean":
+        return (params.radius_m * (1 - 1e-9)) ** 2, params.radius_m * (1 + 1e-9)
+    if params.radius_m > JUMP_MAX_RADIUS_M:
+        return -1.0, float("inf")
+    radius = float(np.degrees(params.radius_m / EARTH_RADIUS_M))
+    return (radius * 0.999) ** 2, radius * 1.001
+
+
 def groups_of_unit(pings: _Pings, params: StopParams) -> Iterator[tuple[int, int]]:
     """The runs of pings ``[first, end)`` of one unit that are grown together, one after the other.
 
-    A run whose box is small is extended by whole slices; only once it has outgrown that
-    is every ping held against the running median.
+    The first pings of a run are held against its median one by one, on plain numbers, since
+    most runs of a noisy track end after a few.  Longer runs go on in :func:`_grown`.
     """
     dist = _metres if params.metric == "haversine" else _units
     radius, total, first = params.radius_m, len(pings.t), 0
+    near, far = _sure_bounds(params)
+    base, until, lat_of, lon_of = 0, 0, [], []
     while first < total:
-        at, step = first + 1, 64
-        box = (pings.lat[first], pings.lat[first], pings.lon[first], pings.lon[first])
-        while at < total:
-            more = _still_together(params, pings, at, min(at + step, total), box)
-            if more:
-                lat, lon = pings.lat[at:at + more], pings.lon[at:at + more]
-                box = (min(box[0], lat.min()), max(box[1], lat.max()), min(box[2], lon.min()), max(box[3], lon.max()))
-            at += more
-            if more < step:
-                break
-            step *= 2
-        if at < total:
-            lats, lons = RunningMedian(pings.lat[first:at]), RunningMedian(pings.lon[first:at])
-            while at < total:
-                until = min(at + 4096, total)
-                outside = False
-                for lat, lon in zip(pings.lat[at:until].tolist(), pings.lon[at:until].tolist()):
-                    if dist(lat, lon, lats.value(), lons.value()) > radius:
-                        outside = True
-                        break
-                    lats.add(lat)
-                    lons.add(lon)
-                    at += 1
-                if outside:
+        lats, lons, at, ended = [], [], first, False
+        for size in range(min(SINGLY, total - first)):
+            if at >= until:
+                base, until = at, min(at + 4096, total)
+                lat_of, lon_of = pings.lat[base:until].tolist(), pings.lon[base:until].tolist()
+            lat, lon = lat_of[at - base], lon_of[at - base]
+            if size:
+                middle = size // 2
+                middle_lat = lats[middle] if size % 2 else 0.5 * (lats[middle] + lats[middle - 1])
+                middle_lon = lons[middle] if size % 2 else 0.5 * (lons[middle] + lons[middle - 1])
+                high, wide = lat - middle_lat, lon - middle_lon
+                ended = high * high + wide * wide > near and (
+                    high > far or high < -far or dist(lat, lon, middle_lat, middle_lon) > radius)
+                if ended:
                     break
+            insort(lats, lat)
+            insort(lons, lon)
+            at += 1
+        if not ended and at < total:
+            at = _grown(pings, first, at, params)
         yield first, at
         first = at
 
 
+def _grown(pings: _Pings, first: int, at: int, params: StopParams) -> int:
+    """Where the run that holds the pings ``[first, at)`` ends.
+
+    While its box is small it is extended by whole slices; only once it has outgrown that is
+    every ping held against the running median.
+    """
+    dist = _metres if params.metric == "haversine" else _units
+    radius, total, step = params.radius_m, len(pings.t), 64
+    lat, lon = pings.lat[first:at], pings.lon[first:at]
+    box = (lat.min(), lat.max(), lon.min(), lon.max())
+    while at < total:
+        more = _still_together(params, pings, at, min(at + step, total), box)
+        if more:
+            lat, lon = pings.lat[at:at + more], pings.lon[at:at + more]
+            box = (min(box[0], lat.min()), max(box[1], lat.max()), min(box[2], lon.min()), max(box[3], lon.max()))
+        at += more
+        if more < step:
+            break
+        step *= 2
+    if at < total:
+        lats, lons = RunningMedian(pings.lat[first:at]), RunningMedian(pings.lon[first:at])
+        while at < total:
+            until = min(at + 4096, total)
+            for lat, lon in zip(pings.lat[at:until].tolist(), pings.lon[at:until].tolist()):
+                if dist(lat, lon, lats.value(), lons.value()) > radius:
+                    return at
+                lats.add(lat)
+                lons.add(lon)
+                at += 1
+    return at
+
+
 def _stops_between(pings: _Pings, begin: np.ndarray, end: np.ndarray, params: StopParams) -> Iterator[pa.RecordBatch]:
     """Stops of the complete units ``[begin, end)``."""
     kept = _able(pings, begin, end, params)
@@ -363,10 +406,10 @@ def _touching(pings: _Pings, begin, end, unit, params: StopParams) -> Iterator[p
     """Pings of the units ``[begin, end)`` with where their group opens, and a summary per unit."""
     together = _surely_together(params, *boxes(pings, begin, end))
     low, high, owner = begin[together], end[together], np.flatnonzero(together)
-    for which in np.flatnonzero(~together):
-        runs = np.array(list(groups_of_unit(pings.cut(begin[which], end[which]), params))) + begin[which]
-        low, high = np.append(low, runs[:, 0]), np.append(high, runs[:, 1])
-        owner = np.append(owner, np.full(len(runs), which))
+    grown = [(which, np.array(list(groups_of_unit(pings.cut(begin[which], end[which]), params))) + begin[which])
+             for which in np.flatnonzero(~together)]
+    low, high = (np.concatenate([some, *(runs[:, side] for _, runs in grown)]) for side, some in enumerate((low, high)))
+    owner = np.concatenate([owner, *(np.full(len(runs), which) for which, runs in grown)])
     order = np.argsort(low)
     low, high, owner = low[order], high[order], owner[order]
     sizes = end - begin

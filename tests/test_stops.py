@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import dwellpath as dp
-from dwellpath.operators import stops
+from dwellpath.operators import stop_pass, stops
 from dwellpath.operators.stop_pass import RunningMedian, _Pings, groups_of_unit, settle
 
 PING = "user_id string, ping_id long, epoch_time long, lat double, lon double, accuracy double"
@@ -139,6 +139,25 @@ def test_a_long_noisy_dwell_takes_time_in_proportion():
     assert seconds[1] < 8 * seconds[0]
 
 
+@pytest.mark.parametrize("metric", ["haversine", "euclidean"])
+def test_short_runs_are_grown_on_plain_numbers(monkeypatch, metric):
+    """A noisy track, most runs of which end after a few pings, is cut as by library medians, without a slice per run."""
+    slices = []
+    monkeypatch.setattr(stop_pass, "_still_together", lambda *a: slices.append(a))
+    rng = np.random.default_rng(3)
+    unit = METRE if metric == "haversine" else 1.0
+    lat, lon = 10 + rng.normal(0, 30 * unit, 600), 20 + rng.normal(0, 30 * unit, 600)
+    params = dp.StopParams(metric=metric)
+    want, first = [], 0
+    for at in range(1, 601):
+        middle = statistics.median(lat[first:at]), statistics.median(lon[first:at])
+        if at == 600 or (metres(middle, (lat[at], lon[at])) if metric == "haversine" else math.dist(middle, (lat[at], lon[at]))) > 50:
+            want.append((first, at))
+            first = at
+    pings = _Pings(pa.array(["u"] * 600), np.arange(600), np.arange(600), lat, lon, np.ones(600))
+    assert list(groups_of_unit(pings, params)) == want and len(want) > 60 and not slices
+
+
 def test_every_ping_is_labelled_with_its_stop(spark):
     rows = wandering(5, users=4) + [("same", i, 1_600_000_000 + i // 3 * 200, 10 + i // 9 * 200 * METRE, 20.0, 1.0) for i in range(60)]
     stops = sorted(tuple(r) for r in dp.detect_stops(pings_of(spark, rows)).collect())
