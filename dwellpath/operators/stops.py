@@ -18,11 +18,15 @@ from dwellpath.operators.stop_chains import FOUND, GUESSED, PLAN, WALKED, join_u
 from dwellpath.operators.stop_pass import PING, SEARCH_FIELDS, STOP, SUMMARY, search_periods
 from dwellpath.params import StopParams
 from dwellpath.schema import STOPS, require_columns
-from dwellpath.session import cut_lineage
+from dwellpath.session import cut_lineage, dealt_by
 
 # Executors need not have this package installed: the pass travels with the task.
 cloudpickle.register_pickle_by_value(sys.modules["dwellpath"])
 
+# Rows a task gets of a shuffle, unless one key has more: pings, and summaries of units, which are wide.
+PINGS_PER_TASK = 500_000
+UNITS_PER_TASK = 50_000
+
 def sessionise(pings: DataFrame, max_gap: int = 3600) -> DataFrame:
     """Add ``session_id``, counting from 0 per user; a gap > ``max_gap`` starts a new one.
 
@@ -81,7 +85,8 @@ def label_pings(pings: DataFrame, params: StopParams = StopParams(), on_invalid:
     last = F.last("held", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
     here = F.struct(F.col("epoch_time").alias("t"), F.coalesce("ping_id", F.lit(0)).alias("p"))
     inside = here <= F.struct(F.col("last.t").alias("t"), F.col("last.p").alias("p"))
-    return laid.unionByName(asked).withColumn("last", last).where("side = 1").select(
+    rows = dealt_by(laid.unionByName(asked), asked.count(), PINGS_PER_TASK, "user_id", "period")
+    return rows.withColumn("last", last).where("side = 1").select(
         "user_id", "ping_id", F.when(inside, F.col("last.stop")).otherwise(F.lit(-1)).cast("long").alias("stop"))
 
 
@@ -103,15 +108,16 @@ def _stops_with_ends(pings: DataFrame, params: StopParams, on_invalid: str) -> D
     period = F.floor(F.col("epoch_time") / params.period_seconds)
     keyed = pings.select("user_id", "ping_id", "epoch_time", lat, lon, "accuracy", period.alias("period"))
     by_period = ["user_id", "period"]
-    ordered = keyed.repartition(*by_period).sortWithinPartitions(*by_period, "epoch_time", "ping_id")
+    ordered = dealt_by(keyed, keyed.count(), PINGS_PER_TASK, *by_period).sortWithinPartitions(*by_period, "epoch_time", "ping_id")
     searched = cut_lineage(ordered.mapInArrow(lambda batches: search_periods(batches, params), from_arrow_schema(SEARCH_FIELDS)))
     touching = searched.where(F.col("kind") == PING).select(
         "user_id", "unit", "place", "opened", F.col("t_start").alias("epoch_time"), F.col("first_ping").alias("ping_id"),
         "lat", "lon", F.col("median_accuracy").alias("accuracy"))
-    plan, walked, through = _joined_units(searched, touching, params)
+    size = {row["kind"]: row["count"] for row in searched.groupBy("kind").count().collect()}
+    plan, walked, through = _joined_units(searched, touching, size, params)
     owned = _with_groups(touching, plan, walked)
     group = ["user_id", "group_unit", "group_place"]
-    gathered = owned.where("not through").repartition(*group).sortWithinPartitions(*group, "unit", "place")
+    gathered = dealt_by(owned.where("not through"), size.get(PING, 0), PINGS_PER_TASK, *group).sortWithinPartitions(*group, "unit", "place")
     stops = searched.where(F.col("kind") == STOP).select(*_ENDS.fieldNames()).unionByName(
         gathered.mapInArrow(lambda batches: settle_groups(batches, params), _ENDS))
     return stops.unionByName(_measured(owned.where("through"), group, params)) if through else stops
@@ -120,7 +126,7 @@ def _stops_with_ends(pings: DataFrame, params: StopParams, on_invalid: str) -> D
 _ENDS = T.StructType([*STOPS.fields, T.StructField("first_ping", T.LongType()), T.StructField("last_ping", T.LongType())])
 
 
-def _joined_units(searched: DataFrame, touching: DataFrame, params: StopParams) -> tuple[DataFrame, DataFrame | None, bool]:
+def _joined_units(searched: DataFrame, touching: DataFrame, size: dict[int, int], params: StopParams) -> tuple[DataFrame, DataFrame | None, bool]:
     """The plan that joins all units, what walks have found on the way, and whether a stop goes through whole units.
 
     Each round walks the stretches that are still open, over twice as many units as before,
@@ -134,7 +140,7 @@ def _joined_units(searched: DataFrame, touching: DataFrame, params: StopParams)
     walked, reach = None, 1
     while True:
         # the loop's present value is bound to the function, which runs later
-        plan = cut_lineage(units.repartition("user_id").sortWithinPartitions("user_id", "unit").mapInArrow(
+        plan = cut_lineage(dealt_by(units, size.get(SUMMARY, 0), UNITS_PER_TASK, "user_id").sortWithinPartitions("user_id", "unit").mapInArrow(
             lambda batches, reach=reach: join_units(batches, params, reach), from_arrow_schema(PLAN)))
         asked = plan.where("asked")
         more, through = plan.agg(F.bool_or("asked"), F.bool_or("lead_through")).first()
@@ -143,7 +149,7 @@ def _joined_units(searched: DataFrame, touching: DataFrame, params: StopParams)
         stretch = ["user_id", "walk_unit", "walk_head_unit", "walk_head_place"]
         pings = touching.join(_named(asked, "user_id", "unit"), _same("user_id", "unit")).where("place >= from_place").select(
             *touching.columns, *stretch[1:])
-        found = cut_lineage(pings.repartition(*stretch).sortWithinPartitions(*stretch, "unit", "place").mapInArrow(
+        found = cut_lineage(dealt_by(pings, size.get(PING, 0), PINGS_PER_TASK, *stretch).sortWithinPartitions(*stretch, "unit", "place").mapInArrow(
             lambda batches: walk_stretches(batches, params), from_arrow_schema(WALKED)))
         walked = found if walked is None else walked.unionByName(found)
         units = units.unionByName(found.where("kind = 1").select(

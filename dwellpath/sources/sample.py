@@ -77,16 +77,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Events a task derives pings from: a split of a compressed file may hold many millions.
+EVENTS_PER_TASK = 50_000
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    tasks = -(-events.count() // EVENTS_PER_TASK)
+    return events.repartition(tasks, "event_id") if tasks > 1 else events
+
+
 def sample_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_PINGS_SQL, events=_table(spark, sf_dir, "events"))
+    return spark.sql(_PINGS_SQL, events=_events(spark, sf_dir))
 
 
 def sample_hard_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_HARD_PINGS_SQL, events=_table(spark, sf_dir, "events"))
+    return spark.sql(_HARD_PINGS_SQL, events=_events(spark, sf_dir))
 
 
 def sample_one_device(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_ONE_DEVICE_SQL, events=_table(spark, sf_dir, "events"))
+    return spark.sql(_ONE_DEVICE_SQL, events=_events(spark, sf_dir))
 
 
 def sample_zones(spark: SparkSession) -> DataFrame:

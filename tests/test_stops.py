@@ -314,6 +314,21 @@ def test_a_walk_that_misses_a_guess_reaches_further(spark):
         same(sorted(tuple(r) for r in dp.detect_stops(pings_of(spark, rows), params).collect()), plain_stops(rows, params))
 
 
+def test_more_pings_are_dealt_over_more_tasks(spark, monkeypatch):
+    """A task's pings and summaries stay few, however few partitions the session sets."""
+    tasks = []
+    plain = stops.dealt_by
+    monkeypatch.setattr(stops, "dealt_by", lambda df, *a: (dealt := plain(df, *a), tasks.append(dealt.rdd.getNumPartitions()))[0])
+    rows = wandering(17, users=6)
+    want = stops_of(spark, rows)
+    usual = max(tasks)
+    monkeypatch.setattr(stops, "PINGS_PER_TASK", 50)
+    monkeypatch.setattr(stops, "UNITS_PER_TASK", 2)
+    tasks.clear()
+    assert stops_of(spark, rows) == want
+    assert tasks[0] == -(-len(rows) // 50) > usual and tasks[1] > 1
+
+
 def test_coordinates_in_exact_steps(spark):
     with pytest.raises(ValueError, match="power of two"):
         dp.StopParams(coordinate_step=1e-7)
