@@ -60,24 +60,27 @@ class _Group:
 
     __slots__ = ("unit", "place", "size", "box", "counted", "since")
 
-    def __init__(self, unit: int, place: int, size: int, box: Box, counted: list[tuple], since: int) -> None:
+    def __init__(self, unit: int, place: int, size: int, box: Box, counted: tuple, since: int) -> None:
         self.unit, self.place, self.size, self.box = unit, place, size, box
-        self.counted = counted  # where counts of its coordinates stand; added up when first needed
+        self.counted = counted  # a chain (earlier part, where counts of its coordinates stand); added up when first needed
         self.since = since  # index of the first row whose pings a walk from this group needs
 
     def joined(self, size: int, box: Box, counted: tuple) -> "_Group":
         (south, _, west, _), (_, north, _, east) = map(min, zip(self.box, box)), map(max, zip(self.box, box))
-        return _Group(self.unit, self.place, self.size + size, (south, north, west, east), [*self.counted, counted], self.since)
+        return _Group(self.unit, self.place, self.size + size, (south, north, west, east), (self.counted, counted), self.since)
 
     def bins(self) -> tuple[dict, dict]:
-        if len(self.counted) != 1 or not isinstance(self.counted[0][0], dict):
+        earlier, counted = self.counted
+        if earlier is not None or not isinstance(counted[0], dict):
             total: tuple[dict, dict] = ({}, {})
-            for counted in self.counted:
+            link: tuple | None = self.counted
+            while link is not None:
+                link, counted = link
                 for mine, more in zip(total, counted if isinstance(counted[0], dict) else _bins(*counted)):
                     for b, n in more.items():
                         mine[b] = mine.get(b, 0) + n
-            self.counted = [total]
-        return self.counted[0]
+            self.counted = (None, total)
+        return self.counted[1]
 
     def median_box(self, more: int, box: Box | None, width: float) -> Box:
         """Where the median lies while up to ``more`` pings inside ``box`` are added.
@@ -180,19 +183,25 @@ def _plan_of(known: list[dict], params: StopParams, reach: int) -> list[dict]:
     def last_group(at: int) -> _Group:
         row = units[at]
         size, box = row["counts"][3], tuple(row["marks"][10:14])
-        return _Group(row["unit"], int(row["counts"][2]), int(size), box, [(row["counts"], (2, 3))], at)
+        return _Group(row["unit"], int(row["counts"][2]), int(size), box, (None, (row["counts"], (2, 3))), at)
 
     def found_group(row: dict) -> _Group:
         unit, place, size = map(int, row["counts"][1:4])
-        return _Group(unit, place, size, tuple(row["marks"]), [(row["counts"], (2, 3))], place_of[unit])
+        return _Group(unit, place, size, tuple(row["marks"]), (None, (row["counts"], (2, 3))), place_of[unit])
+
+    def guess_on(group: _Group, at: int) -> _Group:
+        row = units[at]
+        return last_group(at) if row["counts"][0] > 1 else group.joined(
+            int(row["counts"][1]), tuple(row["marks"][4:8]), (row["counts"], (0, 1)))
 
     opens = _opening(units, params)
     group = None
+    guessed = False  # whether the group comes from behind a stretch that is still to be walked
     at = 0
     while at < len(units):
         row = units[at]
         if at in opens:
-            group = last_group(at)
+            group, guessed = last_group(at), False
             at += 1
             continue
         walked = found.get((row["unit"], group.unit, group.place))
@@ -221,6 +230,11 @@ def _plan_of(known: list[dict], params: StopParams, reach: int) -> list[dict]:
                 group = last_group(at) if several else merged
                 at += 1
                 continue
+        if guessed and at - group.since > reach:
+            # a walk from so far back on a guess would be repeated for every stretch; a later round knows more
+            group = guess_on(group, at)
+            at += 1
+            continue
         last = at
         while last - at < reach - 1 and last + 1 < len(units) and last + 1 not in opens:
             last += 1
@@ -228,10 +242,9 @@ def _plan_of(known: list[dict], params: StopParams, reach: int) -> list[dict]:
             asked.append({"unit": units[part]["unit"], "asked": True, "walk_unit": row["unit"], "walk_head_unit": group.unit,
                           "walk_head_place": group.place, "from_place": group.place if part == group.since else 0})
         # until the walk is known: a unit of several groups ends with its own, one of a single group is gone through
-        for guess in range(at, last + 1):
-            row = units[guess]
-            group = last_group(guess) if row["counts"][0] > 1 else group.joined(
-                int(row["counts"][1]), tuple(row["marks"][4:8]), (row["counts"], (0, 1)))
+        for part in range(at, last + 1):
+            group = guess_on(group, part)
+        guessed = True
         at = last + 1
     for (unit, place), covered in leads.items():
         if len(covered) > 1:  # the group goes through whole units, so it is not gathered in one task

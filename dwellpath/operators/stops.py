@@ -129,7 +129,7 @@ _ENDS = T.StructType([*STOPS.fields, T.StructField("first_ping", T.LongType()),
 def _joined_units(searched: DataFrame, touching: DataFrame, size: dict[int, int], params: StopParams) -> tuple[DataFrame, DataFrame | None, bool]:
     """The plan that joins all units, what walks have found on the way, and whether a stop goes through whole units.
 
-    Each round walks the stretches that are still open, over twice as many units as before,
+    Each round walks the stretches that are still open, over four times as many units as before,
     so the number of rounds grows with the logarithm of the longest run of units in which
     walk and guess never agree.
     """
@@ -156,7 +156,7 @@ def _joined_units(searched: DataFrame, touching: DataFrame, size: dict[int, int]
             "user_id", F.col("walk_unit").alias("unit"), F.lit(FOUND).alias("kind"), nothing.alias("t_start"),
             nothing.alias("t_end"), "marks", "counts", F.col("walk_head_unit").alias("head_unit"),
             F.col("walk_head_place").alias("head_place"), "last_unit"))
-        reach *= 2
+        reach *= 4
 
 
 def _with_groups(touching: DataFrame, plan: DataFrame, walked: DataFrame | None) -> DataFrame:

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import dwellpath as dp
-from dwellpath.operators import stop_pass, stops
+from dwellpath.operators import stop_chains, stop_pass, stops
 from dwellpath.operators.stop_pass import RunningMedian, _Pings, groups_of_unit, settle
 
 PING = "user_id string, ping_id long, epoch_time long, lat double, lon double, accuracy double"
@@ -329,6 +329,23 @@ def test_more_pings_are_dealt_over_more_tasks(spark, monkeypatch):
     assert tasks[0] == -(-len(rows) // 50) > usual and tasks[1] > 1
 
 
+def test_walks_asked_for_at_once_grow_with_the_units():
+    """One undecided stop through all units: a round asks for a few walks, not for one from the opening to every unit."""
+    rng = np.random.default_rng(4)
+    n = 8000
+    at = np.arange(n)
+    lat, lon = (spot + rng.uniform(-22, 22, n) * METRE for spot in (10 + at // 41 % 3 * 61 * METRE, np.full(n, 20.0)))
+    t = 1_700_000_000 + at * 97
+    params = dp.StopParams(period_seconds=3600, radius_m=150)
+    batch = pa.RecordBatch.from_pydict({
+        "user_id": ["u"] * n, "period": t // 3600, "ping_id": at, "epoch_time": t, "lat": lat, "lon": lon, "accuracy": np.ones(n)})
+    found = [row for part in stop_pass.search_periods(iter([batch]), params) for row in part.to_pylist()]
+    units = sorted(({**row, "kind": stop_chains.GUESSED, "marks": np.array(row["marks"]), "counts": np.array(row["counts"])}
+                    for row in found if row["kind"] == stop_pass.SUMMARY), key=lambda row: row["unit"])
+    plan = stop_chains._plan_of(units, params, 1)
+    assert len(units) > 200 and 0 < sum(row["asked"] for row in plan) <= 4 * len(units)
+
+
 def test_coordinates_in_exact_steps(spark):
     with pytest.raises(ValueError, match="power of two"):
         dp.StopParams(coordinate_step=1e-7)
