@@ -215,6 +215,41 @@ def test_passages_have_about_a_dozen_words():
     assert lengths.sum() == len(codes) and 11 < lengths.mean() < 13
 
 
+def test_order_of_known_words_moves_the_score(spark):
+    # texts repeat a phrase's order in training; held out, the same words in other orders must score worse
+    draw = random.Random(7)
+    words = [f"w{k}" for k in range(40)]
+    ids = [k for k in range(2000) if fold(k, 7) != 2][:400]
+    held = [k for k in range(2000, 3000) if fold(k, 7) == 2][:6]
+
+    def text(turn):
+        return [words[(turn + k) % 40] for k in range(30)]
+
+    rows = [(i, " ".join(text(draw.randrange(40)) + [f"x{draw.randrange(10**6)}"])) for i in ids]
+    shuffled = [draw.sample(text(k), 30) for k in range(5)]
+    rows += list(zip(held, [" ".join(["y", *text(3)[1:]]), *(" ".join(["y", *some[1:]]) for some in shuffled)]))
+    got = {r.doc_id: r for r in mixing.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    in_order, *others = (got[i].score / got[i].n_tokens for i in held)
+    assert all(in_order > other + 0.5 for other in others)
+
+
+def test_bits_and_histories_follow_the_running_text(spark):
+    texts = ["to be or not to be", "be not", "", "to"]
+    docs = spark.createDataFrame([(i, t) for i, t in zip([k for k in range(50) if fold(k, 7) != 2], texts)], "doc_id long, text string")
+    blocks = mixing._blocks(docs, 7, 2)
+    flat = b"".join(t.encode() + b" \n" if t else b"\n" for t in texts)
+    letters = sum(np.array(r.letters) for r in blocks.select("letters").collect())
+    assert letters.tolist() == np.bincount(np.frombuffer(flat, np.uint8), minlength=256).tolist()
+    code = mixing.Code.frequent(letters)
+    assert sum(2.0 ** -int(n) for n in code.length) == 1
+    histories = mixing._count_histories(blocks.select("words", "held_out", "sizes", "codes"), code)
+    assert (histories.sum(axis=(1, 2)) == sum(int(code.length[b]) for b in flat)).all()
+    # a first letter is told apart by the word before: "be" after "to" and "be" after "or" or an end have other slots
+    symbols = [mixing._END, b"to", b"be", b"or"]
+    first = [mixing._bits_of(mixing._Spelled(symbols), np.array([2]), np.array([k]), code).slots[5][0] for k in (0, 1, 3)]
+    assert len(set(first)) == 3
+
+
 # Toxicity
 
 
