@@ -18,7 +18,7 @@ from dwellpath.operators.stop_chains import FOUND, GUESSED, PLAN, WALKED, join_u
 from dwellpath.operators.stop_pass import PING, SEARCH_FIELDS, STOP, SUMMARY, search_periods
 from dwellpath.params import StopParams
 from dwellpath.schema import STOPS, require_columns
-from dwellpath.session import cut_lineage, dealt_by
+from dwellpath.session import cut_lineage, dealt_by, shuffled_if_long
 
 # Executors need not have this package installed: the pass travels with the task.
 cloudpickle.register_pickle_by_value(sys.modules["dwellpath"])
@@ -142,8 +142,9 @@ def _joined_units(searched: DataFrame, touching: DataFrame, size: dict[int, int]
         # the loop's present value is bound to the function, which runs later
         plan = cut_lineage(dealt_by(units, size.get(SUMMARY, 0), UNITS_PER_TASK, "user_id").sortWithinPartitions("user_id", "unit").mapInArrow(
             lambda batches, reach=reach: join_units(batches, params, reach), from_arrow_schema(PLAN)))
+        rows, more, through = plan.agg(F.count(F.lit(1)), F.bool_or("asked"), F.bool_or("lead_through")).first()
+        plan = shuffled_if_long(plan, rows)
         asked = plan.where("asked")
-        more, through = plan.agg(F.bool_or("asked"), F.bool_or("lead_through")).first()
         if not more:
             return plan, walked, bool(through)
         stretch = ["user_id", "walk_unit", "walk_head_unit", "walk_head_place"]

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import dwellpath as dp
+from dwellpath import session
 from dwellpath.operators import stop_chains, stop_pass, stops
 from dwellpath.operators.stop_pass import RunningMedian, _Pings, groups_of_unit, settle
 
@@ -329,6 +330,15 @@ def test_more_pings_are_dealt_over_more_tasks(spark, monkeypatch):
     assert tasks[0] == -(-len(rows) // 50) > usual and tasks[1] > 1
 
 
+def test_a_plan_of_many_units_is_not_sent_to_every_task(spark, monkeypatch):
+    """The plan is mostly empty columns, so its files stay small when its rows are many."""
+    rows = [(f"u{u}", 2 * u + k, 1_600_000_000 + 600 * k, 10.0, 20.0, 5.0) for u in range(150) for k in range(2)]
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 100, raising=False)
+    found = dp.detect_stops(pings_of(spark, rows))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.user_id, r.total_pings_stop) for r in found.collect()) == sorted((f"u{u}", 2) for u in range(150))
+
+
 def test_walks_asked_for_at_once_grow_with_the_units():
     """One undecided stop through all units: a round asks for a few walks, not for one from the opening to every unit."""
     n = 7200
