@@ -142,11 +142,10 @@ def _joined_units(searched: DataFrame, touching: DataFrame, size: dict[int, int]
         # the loop's present value is bound to the function, which runs later
         plan = cut_lineage(dealt_by(units, size.get(SUMMARY, 0), UNITS_PER_TASK, "user_id").sortWithinPartitions("user_id", "unit").mapInArrow(
             lambda batches, reach=reach: join_units(batches, params, reach), from_arrow_schema(PLAN)))
-        rows, more, through = plan.agg(F.count(F.lit(1)), F.bool_or("asked"), F.bool_or("lead_through")).first()
-        plan = shuffled_if_long(plan, rows)
-        asked = plan.where("asked")
+        rows, more, through = plan.agg(F.count(F.lit(1)), F.count_if("asked"), F.bool_or("lead_through")).first()
+        asked = shuffled_if_long(plan.where("asked"), more)
         if not more:
-            return plan, walked, bool(through)
+            return shuffled_if_long(plan, rows), walked, bool(through)
         stretch = ["user_id", "walk_unit", "walk_head_unit", "walk_head_place"]
         pings = touching.join(_named(asked, "user_id", "unit"), _same("user_id", "unit")).where("place >= from_place").select(
             *touching.columns, *stretch[1:])
