@@ -15,40 +15,54 @@ from pyspark.sql import functions as F
 from dwellpath.session import cut_lineage
 
 
+# Links that a task contracts together; what it holds has this bound, and more links take more tasks.
+TASK_LINKS = 50_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node it reaches, for every node with a smaller one in reach.
 
     ``links`` has two long columns ``a`` and ``b``; both orders, repeats and loops are fine.
+    It is read twice.
     """
-    links = cut_lineage(links.mapInArrow(_contract, "a long, b long").where("a <> b").distinct())
-    before = _fingerprint(links)
-    while before[0]:
-        links = cut_lineage(_star(_star(links, large=True), large=False))
-        after = _fingerprint(links)
-        if after == before:
-            break
+    links, tasks = _contracted(links)
+    before = None
+    while tasks > 1 and (after := _fingerprint(links)) != before:
         before = after
+        links = cut_lineage(_star(_star(links, large=True), large=False))
     return links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
 
 
+def _contracted(links: DataFrame) -> tuple[DataFrame, int]:
+    """What each task makes of its links, and how many tasks there were; what one task has contracted is settled."""
+    tasks = max(1, -(-links.count() // TASK_LINKS))
+    return cut_lineage(links.coalesce(tasks).mapInArrow(_contract, "a long, b long")), tasks
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's links as stars around the smallest node of what they connect."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+    """A task's links as stars around the smallest node of what they connect."""
+    parent: dict[int, int] = {}
+
+    def top(node: int) -> int:
+        while parent[node] != node:
+            parent[node] = node = parent[parent[node]]
+        return node
 
-        def top(node: int) -> int:
-            while parent[node] != node:
-                parent[node] = node = parent[parent[node]]
-            return node
+    def stars() -> pa.RecordBatch:
+        nodes = [node for node in parent if top(node) != node]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(nodes, pa.int64()), pa.array([top(node) for node in nodes], pa.int64())], names=["a", "b"])
 
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             parent.setdefault(a, a)
             parent.setdefault(b, b)
             low, high = sorted((top(a), top(b)))
             parent[high] = low
-        nodes = list(parent)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.int64()), pa.array([top(node) for node in nodes], pa.int64())], names=["a", "b"])
+        if len(parent) > 4 * TASK_LINKS:  # more than twice as many nodes as a lone task's links have, so this is not one
+            yield stars()
+            parent.clear()
+    yield stars()
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:

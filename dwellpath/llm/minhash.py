@@ -57,8 +57,10 @@ DEALS = 8  # over how many tasks the sets of one shingle go when they learn what
 SKETCH = [f"s{k}" for k in range(4)]
 MIN_SKETCH = 88
 MASK = [f"m{k}" for k in range(8)]  # 512 bits, one or more of which each shingle of a set sets
+BEFORE = 64  # rarer shingles of its set that a first shingle carries, so that a pair is compared at the first it shares
 
 _CHUNK = 1 << 16
+KNOWN_WORDS = 200_000  # whose hashes a task remembers, about 30 MB
 
 
 def shingles_of(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
@@ -118,7 +120,7 @@ def _sign(size: int):
         import xxhash
         known = _WordHashes()
         for batch in pieces_of(batches):
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
             sets = [_shingle_hashes(text.lower().split(), size, known) for text in text_bytes(batch.column(1))]
             filled = [s for s in sets if len(s)]
@@ -331,10 +333,10 @@ def _sieved(texts: DataFrame, ends: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            first, second = _places(batch.column(0).to_numpy())
-            yield batch.filter(pa.array(flags[first] & flags[second]))
+        held = shared.value
+        for batch in pieces_of(batches, rows=4096):
+            one, two = (held[place >> 3] >> (7 - (place & 7)) & 1 for place in _places(batch.column(0).to_numpy()))
+            yield batch.filter(pa.array((one & two).astype(bool)))
 
     return texts.select("doc_id", "text").mapInArrow(sieve, "doc_id long, text string")
 
@@ -372,13 +374,20 @@ def _shingle_counts(sets: DataFrame) -> np.ndarray:
     shift = np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.int64)
+        # a table of all counters in every task would take more memory than the slots themselves
+        held = [np.empty(0, np.int64)]
         for batch in pieces_of(batches):
-            slots = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64) >> shift
-            np.add.at(table, slots.astype(np.int64), 1)
-        used = np.flatnonzero(table)
-        for some in np.array_split(used, len(used) // _CHUNK + 1):
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(table[some])], names=["slot", "n"])
+            held.append((np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64) >> shift).astype(np.int64))
+            if sum(map(len, held)) > 16 * _CHUNK:
+                yield from told(held)
+                held = held[:1]
+        yield from told(held)
+
+    def told(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        slots, numbers = np.unique(np.concatenate(held), return_counts=True)
+        for at in range(0, len(slots), _CHUNK):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slots[at:at + _CHUNK]), pa.array(numbers[at:at + _CHUNK])], names=["slot", "n"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -428,8 +437,8 @@ def _first_shingles(sets: DataFrame, percent: int) -> DataFrame:
     """The rarest shingles of each set, one of which it shares with every set similar to it.
 
     Per shingle also ``place`` among those of its set that others hold and their number
-    ``common``, the set's ``size``, how ``ordinary`` its shingles are, and its
-    sketch and mask.
+    ``common``, the set's ``size``, how ``ordinary`` its shingles are, its sketch and mask,
+    and the shingles ``before`` it, up to ``BEFORE``.
     """
     counts = _shingle_counts(sets)
     shift, shared = np.uint64(65 - len(counts).bit_length()), sets.sparkSession.sparkContext.broadcast(counts)
@@ -450,12 +459,16 @@ def _first_shingles(sets: DataFrame, percent: int) -> DataFrame:
                 lengths = [len(row[0]) for row in out]
                 wide = [np.repeat(np.array(column), lengths) for column in list(zip(*out))[1:]]
                 place = np.concatenate([np.arange(n) for n in lengths])
+                held_back = np.concatenate([row[0][:min(k, BEFORE)] for row in out for k in range(len(row[0]))])
+                before = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(np.minimum(place, BEFORE))]), pa.int32()), pa.array(held_back))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([row[0] for row in out])), *map(pa.array, wide[:3]), pa.array(place), *map(pa.array, wide[3:])],
-                    names=["shingle", "rep", "size", "common", "place", "ordinary", *SKETCH, *MASK])
+                    [pa.array(np.concatenate([row[0] for row in out])), *map(pa.array, wide[:3]), pa.array(place), *map(pa.array, wide[3:]), before],
+                    names=["shingle", "rep", "size", "common", "place", "ordinary", *SKETCH, *MASK, "before"])
 
     return cut_lineage(sets.select("rep", "shingles", "signature").mapInArrow(
-        choose, "shingle long, rep long, size long, common long, place long, ordinary double, " + ", ".join(f"{s} long" for s in SKETCH + MASK)))
+        choose, "shingle long, rep long, size long, common long, place long, ordinary double, " + ", ".join(
+            f"{s} long" for s in SKETCH + MASK) + ", before array<long>"))
 
 
 def _rest(unsettled: DataFrame, links: DataFrame, tested: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
@@ -464,7 +477,7 @@ def _rest(unsettled: DataFrame, links: DataFrame, tested: DataFrame, classes: Da
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in pieces_of(batches):
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
             sets = [_shingle_hashes(text.lower().split(), size, known).tobytes() for text in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
@@ -482,10 +495,12 @@ def _rest(unsettled: DataFrame, links: DataFrame, tested: DataFrame, classes: Da
     def pair(one: str, other: str) -> list:
         return [F.least(f"{one}.rep", f"{other}.rep").alias("a"), F.greatest(f"{one}.rep", f"{other}.rep").alias("b")]
 
-    def may_link():
-        least = F.least("x.place", "y.place") + F.least(F.col("x.common") - F.col("x.place"), F.col("y.common") - F.col("y.place"))
-        return (F.col("x.root") != F.col("y.root")) & near("x", "y") & (_agreeing() >= MIN_SKETCH) & (
-            F.least(least, _overlap_at_most()) * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent)
+    def may_link(earlier):
+        """``earlier``: how many shingles before this one may be in both sets."""
+        most = earlier + F.least(F.col("x.common") - F.col("x.place"), F.col("y.common") - F.col("y.place"))
+        needed = (F.col("x.size") + F.col("y.size")) * percent
+        return (F.col("x.root") != F.col("y.root")) & near("x", "y") & (most * (100 + percent) >= needed) & (
+            _agreeing() >= MIN_SKETCH) & (_overlap_at_most() * (100 + percent) >= needed)
 
     def told(rows: DataFrame, of_shingles: DataFrame) -> DataFrame:
         """``rows`` as x beside what is known of their shingle as y; a shingle of many sets is dealt over tasks."""
@@ -493,11 +508,11 @@ def _rest(unsettled: DataFrame, links: DataFrame, tested: DataFrame, classes: Da
         return rows.withColumn("deal", F.pmod(F.xxhash64("rep"), F.lit(DEALS)).cast("int")).alias("x").join(
             dealt.alias("y"), ["shingle", "deal"])
 
-    placed = cut_lineage(_rooted(first, components(links)))
+    placed = cut_lineage(_rooted(first.drop("before"), components(links)))
     hubs = placed.groupBy("shingle").agg(
         F.max(F.struct("ordinary", "rep", "root", "size", "place", "common", *SKETCH, *MASK)).alias("h"), F.min("root").alias("low"), F.max("root").alias("high"))
-    to_hubs = cut_lineage(told(placed, hubs.where("low < high").select("shingle", "h.*")).where(may_link()).select(
-        *pair("x", "y")).distinct().join(tested, ["a", "b"], "left_anti"))
+    to_hubs = cut_lineage(told(placed, hubs.where("low < high").select("shingle", "h.*")).where(
+        may_link(F.least("x.place", "y.place"))).select(*pair("x", "y")).distinct().join(tested, ["a", "b"], "left_anti"))
     links = links.unionByName(_links(to_hubs, classes, texts, size, percent))
 
     placed = cut_lineage(_rooted(first, components(links)))
@@ -508,8 +523,11 @@ def _rest(unsettled: DataFrame, links: DataFrame, tested: DataFrame, classes: Da
     dealt = cut_lineage(told(placed, commonest).drop("deal"))
     all_of = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     some_of = dealt.where("root <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # every shingle two sets share brings them together, but only the first of them in the common order makes a pair
+    earlier = F.when(F.greatest("x.place", "y.place") > BEFORE, F.least("x.place", "y.place")).otherwise(0)
     met = some_of.alias("x").join(all_of.alias("y"), ["shingle", "part"]).where(
-        may_link() & ((F.col("y.root") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))))
+        may_link(earlier) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+        & ~F.arrays_overlap("x.before", "y.before"))
     rest = met.select(*pair("x", "y")).distinct().join(tested.unionByName(to_hubs), ["a", "b"], "left_anti")
     return links.unionByName(_links(rest, classes, texts, size, percent))
 

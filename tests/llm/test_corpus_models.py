@@ -136,6 +136,39 @@ def test_groups_of_sample_documents_equal_all_pairs(spark):
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(own) for i, own in sets.items()}
 
 
+def test_each_pair_is_compared_at_the_first_shingle_it_shares(spark):
+    draw = np.random.default_rng(14)
+    pool = draw.integers(1, 1 << 63, 400, np.uint64)
+    sets = [np.sort(draw.choice(pool, 300, replace=False)) for _ in range(12)]
+    frame = spark.createDataFrame([(k, bytearray(own.tobytes()), bytearray(minhash._signatures([own])[0].tobytes()))
+                                   for k, own in enumerate(sets)], "rep long, shingles binary, signature binary")
+    firsts = {}
+    for r in minhash._first_shingles(frame, 80).collect():
+        firsts.setdefault(r.rep, {})[r.shingle] = r
+    assert max(r.place for rows in firsts.values() for r in rows.values()) < minhash.BEFORE
+    for rows in firsts.values():
+        ordered = sorted(rows.values(), key=lambda r: r.place)
+        assert all(r.before == [q.shingle for q in ordered[:r.place]] for r in ordered)
+    met = 0
+    for a in firsts:
+        for b in range(a):
+            common = firsts[a].keys() & firsts[b].keys()
+            if common:
+                met += len(common) > 1
+                assert sum(not set(firsts[a][s].before) & set(firsts[b][s].before) for s in common) == 1
+    assert met > 10
+
+
+def test_components_of_links_of_many_tasks(spark, monkeypatch):
+    import sys
+    monkeypatch.setattr(sys.modules["dwellpath.llm.components"], "TASK_LINKS", 60)
+    draw = random.Random(2)
+    pairs = [(k, k + 1) for k in range(400)] + [(1000, k) for k in range(1001, 1200)] + [(5000, 5000)]
+    draw.shuffle(pairs)
+    got = {(r.node, r.root) for r in components(spark.createDataFrame(pairs, "a long, b long").repartition(16)).collect()}
+    assert got == {(k, 0) for k in range(1, 401)} | {(k, 1000) for k in range(1001, 1200)}
+
+
 def test_masks_never_bound_an_overlap_from_below(spark):
     draw = np.random.default_rng(4)
     pool = draw.integers(1, 1 << 63, 900, np.uint64)
