@@ -8,7 +8,7 @@ that guess, and as soon as it ends where the guess also opens a group, both agre
 :func:`join_units` walks along a user's summaries, one row per unit.  The median of a group
 lies within known bins of its coordinates, however many pings it has, so mostly the
 summaries alone tell whether the next unit's first group joins it, and whether the ping
-behind that group ends it.  Where they leave it open, the pings from the group's opening on
+behind that group ends it, or whether the next unit joins it as a whole.  Where they leave it open, the pings from the group's opening on
 are asked for and walked, each such stretch in a task of its own, all at once
 (:func:`walk_stretches`).  What a walk finds holds for the group it started from; a walk
 that met no guessed opening changes the group the next stretch starts from, which is then
@@ -17,8 +17,10 @@ asked for again over a longer range.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +45,14 @@ UNITS = "user_id string, unit long, kind int, t_start long, t_end long, marks ar
     " head_unit long, head_place long, last_unit long"
 FOUND, GUESSED = 0, 1
 
-# Per unit where its first group belongs, which walk covers it, whether its first or last group goes on through whole
+# Rows on units, and of the plan, that are held as such at a time.
+ROWS_AT_ONCE = 4096
+_NONE = -(1 << 63)
+
+# Per unit where its first group belongs, or all of it, which walk covers it, whether its first or last group goes on through whole
 # units; and, with ``asked``, the units of a stretch to walk.
 PLAN = pa.schema([
-    ("user_id", pa.string()), ("unit", pa.int64()), ("lead_unit", pa.int64()), ("lead_place", pa.int64()),
+    ("user_id", pa.string()), ("unit", pa.int64()), ("lead_unit", pa.int64()), ("lead_place", pa.int64()), ("lead_whole", pa.bool_()),
     ("walk_unit", pa.int64()), ("walk_head_unit", pa.int64()), ("walk_head_place", pa.int64()),
     ("lead_through", pa.bool_()), ("head_through", pa.bool_()), ("through_unit", pa.int64()), ("through_place", pa.int64()),
     ("asked", pa.bool_()), ("from_place", pa.int64()),
@@ -154,7 +160,8 @@ class _Distance:
 def join_units(batches: Iterator[pa.RecordBatch], params: StopParams, reach: int) -> Iterator[pa.RecordBatch]:
     """The plan for the units of one user after another; a stretch asked for goes over ``reach`` units.
 
-    A user's units number at most two per period.
+    A user's units number at most two per period.  They are read one by one; what is kept of each is
+    some numbers, never its summary.
     """
     def rows() -> Iterator[dict]:
         for batch in batches:
@@ -166,107 +173,157 @@ def join_units(batches: Iterator[pa.RecordBatch], params: StopParams, reach: int
             for row, marks, counts in zip(plain, *lists):
                 yield {**row, "marks": marks, "counts": counts}
 
-    for user, known in groupby(rows(), key=lambda row: row["user_id"]):
-        plan = _plan_of(list(known), params, reach)
-        yield pa.RecordBatch.from_pylist([{"user_id": user, **row} for row in plan], schema=PLAN)
+    plan = ({"user_id": user, **row} for user, known in groupby(rows(), key=lambda row: row["user_id"])
+            for row in _plan_of(known, params, reach))
+    while some := list(islice(plan, ROWS_AT_ONCE)):
+        yield pa.RecordBatch.from_pylist(some, schema=PLAN)
 
 
-def _plan_of(known: list[dict], params: StopParams, reach: int) -> list[dict]:
-    units = [row for row in known if row["kind"] == GUESSED]
-    place_of = {row["unit"]: at for at, row in enumerate(units)}
-    found = {(row["unit"], row["head_unit"], row["head_place"]): row for row in known if row["kind"] == FOUND}
+def _plan_of(known: Iterable[dict], params: StopParams, reach: int) -> Iterator[dict]:
+    """The plan for one user's units, sorted by unit and kind."""
     width, distance = bin_width(params), _Distance(params)
-    plan = [{"unit": row["unit"], "asked": False} for row in units]
-    asked: list[dict] = []
-    leads: dict[tuple[int, int], list[int]] = {}
+    numbers, lead_unit, lead_place, whole = array("q"), array("q"), array("q"), bytearray()
+    walks: list[tuple[int, int, int, int, int]] = []  # first and last unit covered, and the walk
+    asked: list[tuple[int, int, int, int, int]] = []  # first and last unit whose pings are needed, and the walk
+    through: dict[tuple[int, int], tuple[int, int]] = {}  # groups that lead several units: where they open, and the last
+    led, times = None, 0  # the group that led a unit last, and how many
 
-    def last_group(at: int) -> _Group:
-        row = units[at]
-        size, box = row["counts"][3], tuple(row["marks"][10:14])
-        return _Group(row["unit"], int(row["counts"][2]), int(size), box, (None, (row["counts"], (2, 3))), at)
+    def last_group(row: dict) -> _Group:
+        several, _, place, size = row["counts"][:4].tolist()
+        box = tuple(row["marks"][10:14].tolist())
+        return _Group(row["unit"], place, size, box, (None, (row["counts"], (2, 3) if several > 1 else (0, 1))), len(numbers) - 1)
 
     def found_group(row: dict) -> _Group:
-        unit, place, size = map(int, row["counts"][1:4])
-        return _Group(unit, place, size, tuple(row["marks"]), (None, (row["counts"], (2, 3))), place_of[unit])
+        unit, place, size = row["counts"][1:4].tolist()
+        return _Group(unit, place, size, tuple(row["marks"].tolist()), (None, (row["counts"], (2, 3))), bisect_left(numbers, unit))
 
-    def guess_on(group: _Group, at: int) -> _Group:
-        row = units[at]
-        return last_group(at) if row["counts"][0] > 1 else group.joined(
-            int(row["counts"][1]), tuple(row["marks"][4:8]), (row["counts"], (0, 1)))
+    def guess_on(group: _Group, row: dict) -> _Group:
+        return last_group(row) if row["counts"][0] > 1 else group.joined(
+            int(row["counts"][1]), tuple(row["marks"][4:8].tolist()), (row["counts"], (0, 1)))
 
-    opens = _opening(units, params)
-    group = None
+    def all_join(box: Box, reached: float, medians: Box) -> bool:
+        south, north, west, east = box
+        middle = ((south + north) / 2,) * 2 + ((west + east) / 2,) * 2
+        return distance.all_within(box, medians) or distance.all_reached(middle, reached, medians)
+
+    def leads(group: _Group, all_of_unit: bool) -> None:
+        nonlocal led, times
+        at, key = len(numbers) - 1, (group.unit, group.place)
+        lead_unit[at], lead_place[at], whole[at] = *key, all_of_unit
+        times = times + 1 if key == led else 1
+        led = key
+        if times > 1:  # the group goes through whole units, so it is not gathered in one task
+            through[key] = (group.since, at)
+
+    group: _Group | None = None
     guessed = False  # whether the group comes from behind a stretch that is still to be walked
-    at = 0
-    while at < len(units):
-        row = units[at]
-        if at in opens:
-            group, guessed = last_group(at), False
-            at += 1
+    found: dict[tuple[int, int], dict] = {}  # walks from the next unit on, by the group they started from
+    covering: dict | None = None  # the walk that covers the present unit
+    asking: tuple[int, int, int, int] | None = None  # the stretch that the present unit may belong to
+    left = 0
+    for row, opens in _with_openings(known, params):
+        if row["kind"] == FOUND:
+            found[row["head_unit"], row["head_place"]] = row
             continue
-        walked = found.get((row["unit"], group.unit, group.place))
-        if walked is not None:
-            last = place_of[walked["last_unit"]]
-            for covered in range(at, last + 1):
-                plan[covered].update(walk_unit=row["unit"], walk_head_unit=group.unit, walk_head_place=group.place)
-            group = last_group(last) if walked["counts"][0] else found_group(walked)
-            at = last + 1
+        numbers.append(row["unit"])
+        lead_unit.append(_NONE)
+        lead_place.append(_NONE)
+        whole.append(False)
+        at, (walks_here, found) = len(numbers) - 1, (found, {})
+        if asking is not None:
+            if left and not opens:
+                # until the walk is known: a unit of several groups ends with its own, one of a single group is gone through
+                group, left = guess_on(group, row), left - 1
+                continue
+            asked.append((asking[0], at - 1, *asking[1:]))
+            asking = None
+        if covering is None:
+            if opens:
+                group, guessed = last_group(row), False
+                continue
+            covering = walks_here.get((group.unit, group.place))
+            if covering is not None:
+                walks.append((at, at, row["unit"], group.unit, group.place))
+        if covering is not None:
+            walks[-1] = (walks[-1][0], at, *walks[-1][2:])
+            if row["unit"] == covering["last_unit"]:
+                group = last_group(row) if covering["counts"][0] else found_group(covering)
+                covering = None
             continue
-        several, size, first_box = row["counts"][0] > 1, int(row["counts"][1]), tuple(row["marks"][4:8])
-        lat, lon = row["marks"][:2]
+        marks = row["marks"].tolist()
+        several, size, before_last, last_size = row["counts"][:4].tolist()
+        several, first_box = several > 1, tuple(marks[4:8])
+        lat, lon = marks[:2]
         if distance.all_beyond((lat, lat, lon, lon), group.median_box(0, None, width)):
-            group = last_group(at)
-            at += 1
+            group = last_group(row)
             continue
-        south, north, west, east = first_box
-        middle = ((south + north) / 2,) * 2 + ((west + east) / 2,) * 2
-        medians = group.median_box(size, first_box, width)
-        if distance.all_within(first_box, medians) or distance.all_reached(middle, row["marks"][14], medians):
+        if all_join(first_box, marks[14], group.median_box(size, first_box, width)):
             merged = group.joined(size, first_box, (row["counts"], (0, 1)))
-            lat, lon = row["marks"][8:10]
+            lat, lon = marks[8:10]
             if not several or distance.all_beyond((lat, lat, lon, lon), merged.median_box(0, None, width)):
-                plan[at].update(lead_unit=group.unit, lead_place=group.place)
-                leads.setdefault((group.unit, group.place), []).append(at)
-                group = last_group(at) if several else merged
-                at += 1
+                leads(group, False)
+                group = last_group(row) if several else merged
+                continue
+        if several:
+            # alone the unit would be several groups, yet all of it may lie within reach of the group that comes in
+            size, box = before_last + last_size, tuple(marks[15:19])
+            if all_join(box, marks[19], group.median_box(size, box, width)):
+                leads(group, True)
+                group = group.joined(size, box, (row["counts"], (4, 5)))
                 continue
         if guessed and at - group.since > reach:
             # a walk from so far back on a guess would be repeated for every stretch; a later round knows more
-            group = guess_on(group, at)
-            at += 1
+            group = guess_on(group, row)
             continue
-        last = at
-        while last - at < reach - 1 and last + 1 < len(units) and last + 1 not in opens:
-            last += 1
-        for part in range(group.since, last + 1):
-            asked.append({"unit": units[part]["unit"], "asked": True, "walk_unit": row["unit"], "walk_head_unit": group.unit,
-                          "walk_head_place": group.place, "from_place": group.place if part == group.since else 0})
-        # until the walk is known: a unit of several groups ends with its own, one of a single group is gone through
-        for part in range(at, last + 1):
-            group = guess_on(group, part)
-        guessed = True
-        at = last + 1
-    for (unit, place), covered in leads.items():
-        if len(covered) > 1:  # the group goes through whole units, so it is not gathered in one task
-            for part in range(place_of[unit], covered[-1]):
-                plan[part].update(through_unit=unit, through_place=place)
-            for part in covered:
-                plan[part]["lead_through"] = True
-    for row in plan:
-        row["head_through"] = len(leads.get((row.get("walk_head_unit"), row.get("walk_head_place")), ())) > 1
-    return plan + asked
-
-
-def _opening(units: list[dict], params: StopParams) -> set[int]:
-    """The units that surely begin with a new stop: the first, those behind a sure end, and those after a gap or jump."""
-    marks = np.array([row["marks"][:4] for row in units])
-    times = np.array([(row["t_start"], row["t_end"]) for row in units])
-    before = _Pings(None, times[:-1, 1], None, marks[:-1, 2], marks[:-1, 3], None)
-    after = _Pings(None, times[1:, 0], None, marks[1:, 0], marks[1:, 1], None)
-    sure = np.array([row["unit"] % 2 == 1 for row in units])
-    sure[0] = True
-    sure[1:] |= _sure_ends(params, before, after)
-    return set(np.flatnonzero(sure).tolist())
+        asking, left = (group.since, row["unit"], group.unit, group.place), reach - 1
+        group, guessed = guess_on(group, row), True
+    if asking is not None:
+        asked.append((asking[0], len(numbers) - 1, *asking[1:]))
+
+    through_unit, through_place = np.full((2, len(numbers)), _NONE)
+    for (unit, place), (since, last) in through.items():
+        through_unit[since:last], through_place[since:last] = unit, place
+    walks.append((len(numbers), len(numbers), 0, 0, 0))
+    this = 0
+    for at, unit in enumerate(numbers):
+        row = {"unit": unit, "asked": False, "lead_through": False, "head_through": False}
+        if lead_unit[at] != _NONE:
+            key = lead_unit[at], lead_place[at]
+            row.update(lead_unit=key[0], lead_place=key[1], lead_whole=bool(whole[at]), lead_through=key in through)
+        if through_unit[at] != _NONE:
+            row.update(through_unit=int(through_unit[at]), through_place=int(through_place[at]))
+        if at > walks[this][1]:
+            this += 1
+        if at >= walks[this][0]:
+            _, _, walk_unit, head_unit, head_place = walks[this]
+            row.update(walk_unit=walk_unit, walk_head_unit=head_unit, walk_head_place=head_place,
+                       head_through=(head_unit, head_place) in through)
+        yield row
+    for since, last, walk_unit, head_unit, head_place in asked:
+        for part in range(since, last + 1):
+            yield {"unit": numbers[part], "asked": True, "walk_unit": walk_unit, "walk_head_unit": head_unit,
+                   "walk_head_place": head_place, "from_place": head_place if part == since else 0}
+
+
+def _with_openings(known: Iterable[dict], params: StopParams) -> Iterator[tuple[dict, bool]]:
+    """Rows on units, and whether the unit surely begins with a new stop: the first, one behind a sure end, or after a gap or jump."""
+    known, last = iter(known), None
+    while some := list(islice(known, ROWS_AT_ONCE)):
+        units = [row for row in some if row["kind"] == GUESSED]
+        sure = np.array([row["unit"] % 2 == 1 for row in units], bool)
+        if last is None:
+            sure[:1] = True
+        both = units if last is None else [last, *units]
+        if len(both) > 1:
+            marks = np.array([row["marks"][:4] for row in both])
+            times = np.array([(row["t_start"], row["t_end"]) for row in both])
+            before = _Pings(None, times[:-1, 1], None, marks[:-1, 2], marks[:-1, 3], None)
+            after = _Pings(None, times[1:, 0], None, marks[1:, 0], marks[1:, 1], None)
+            sure[len(units) - len(both) + 1:] |= _sure_ends(params, before, after)
+        last = units[-1] if units else last
+        opens = iter(sure.tolist())
+        for row in some:
+            yield row, row["kind"] == GUESSED and next(opens)
 
 
 # What a walk yields: pings with the group they belong to, and one row on the open group behind them.

@@ -422,18 +422,20 @@ def _touching(pings: _Pings, begin, end, unit, params: StopParams) -> Iterator[p
     last = np.append(first[1:], len(owner)) - 1
     several = last > first
     second = np.minimum(first + 1, last)
-    first_boxes = boxes(pings, low[first], high[first])
+    first_boxes, all_boxes = boxes(pings, low[first], high[first]), boxes(pings, begin, end)
     marks = np.column_stack([
         pings.lat[begin], pings.lon[begin], pings.lat[end - 1], pings.lon[end - 1], *first_boxes,
         np.where(several, pings.lat[low[second]], np.nan), np.where(several, pings.lon[low[second]], np.nan),
-        *boxes(pings, low[last], high[last]), _reach(params, pings, low[first], high[first], first_boxes)])
+        *boxes(pings, low[last], high[last]), _reach(params, pings, low[first], high[first], first_boxes),
+        *all_boxes, _reach(params, pings, begin, end, all_boxes)])
     counts = np.column_stack([last - first + 1, high[first] - low[first], low[last] - begin, high[last] - low[last]])
     yield _row_kind(
         pa.RecordBatch.from_arrays([
             pings.user.take(pa.array(begin)), pa.array(pings.t[begin]), pa.array(pings.t[end - 1]),
             *[pa.nulls(len(begin), pa.float64())] * 3, *[pa.nulls(len(begin), pa.int64())] * 3], schema=STOP_FIELDS),
         SUMMARY, unit=pa.array(unit), marks=_lists(marks, np.zeros(len(begin), np.int64), np.zeros(0)),
-        counts=_lists(counts, *_histograms(params, pings, low[first], high[first], low[last], high[last])))
+        counts=_lists(counts, *_histograms(
+            params, pings, (low[first], high[first]), *((np.where(several, a, b), b) for a, b in ((low[last], high[last]), (begin, end))))))
 
 
 def _reach(params: StopParams, pings: _Pings, low: np.ndarray, high: np.ndarray, around: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -466,22 +468,22 @@ def bin_width(params: StopParams) -> float:
     return float(radius) / BINS_PER_RADIUS
 
 
-def _histograms(params: StopParams, pings: _Pings, *bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many coordinates of each unit's first and last group fall in each bin: (kind, bin, count) in a row.
+def _histograms(params: StopParams, pings: _Pings, *stretches: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """How many coordinates of each unit's ``stretches`` fall in each bin: (kind, bin, count) in a row.
 
-    Returns the number of values per unit, and all of them.  Kinds 0 and 1 are latitude and longitude of the first group, 2 and 3 those of the last.
+    Returns the number of values per unit, and all of them.  Kinds 0 and 1 are latitude and longitude of the first
+    stretch, 2 and 3 those of the second, and so on.  Units of one group have but the first stretch.
     """
-    width, owners, bins = bin_width(params), [], []
-    for kind, (low, high, values) in enumerate(
-            (low, high, values) for low, high in (bounds[:2], bounds[2:]) for values in (pings.lat, pings.lon)):
+    width, owners, bins, kinds = bin_width(params), [], [], 2 * len(stretches)
+    for kind, (low, high, values) in enumerate((*bounds, values) for bounds in stretches for values in (pings.lat, pings.lon)):
         sizes = high - low
         rows = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
-        owners.append(np.repeat(np.arange(len(low)) * 4 + kind, sizes))
+        owners.append(np.repeat(np.arange(len(low)) * kinds + kind, sizes))
         bins.append(np.floor(values[rows] / width).astype(np.int64))
     owner, bin_ = np.concatenate(owners), np.concatenate(bins)
     lowest = bin_.min()
     span = bin_.max() - lowest + 1
     keys, times = np.unique(owner * span + (bin_ - lowest), return_counts=True)
     owner = keys // span
-    rows = np.column_stack([owner % 4, keys % span + lowest, times])
-    return np.bincount(owner // 4, minlength=len(bounds[0])) * 3, rows.ravel()
+    rows = np.column_stack([owner % kinds, keys % span + lowest, times])
+    return np.bincount(owner // kinds, minlength=len(stretches[0][0])) * 3, rows.ravel()

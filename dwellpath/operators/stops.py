@@ -140,7 +140,7 @@ def _joined_units(searched: DataFrame, touching: DataFrame, size: dict[int, int]
     walked, reach = None, 1
     while True:
         # the loop's present value is bound to the function, which runs later
-        plan = cut_lineage(dealt_by(units, size.get(SUMMARY, 0), UNITS_PER_TASK, "user_id").sortWithinPartitions("user_id", "unit").mapInArrow(
+        plan = cut_lineage(dealt_by(units, size.get(SUMMARY, 0), UNITS_PER_TASK, "user_id").sortWithinPartitions("user_id", "unit", "kind").mapInArrow(
             lambda batches, reach=reach: join_units(batches, params, reach), from_arrow_schema(PLAN)))
         rows, more, through = plan.agg(F.count(F.lit(1)), F.count_if("asked"), F.bool_or("lead_through")).first()
         asked = shuffled_if_long(plan.where("asked"), more)
@@ -162,7 +162,7 @@ def _joined_units(searched: DataFrame, touching: DataFrame, size: dict[int, int]
 def _with_groups(touching: DataFrame, plan: DataFrame, walked: DataFrame | None) -> DataFrame:
     """Pings of units with the unit and place that open their group, and whether it goes ``through`` whole units."""
     columns = ["user_id", "unit", "place", "epoch_time", "ping_id", "lat", "lon", "accuracy"]
-    leads = (F.col("opened") == 0) & F.col("lead_unit").isNotNull()
+    leads = ((F.col("opened") == 0) | F.col("lead_whole")) & F.col("lead_unit").isNotNull()
     of_group = (F.col("group_unit") == F.col("through_unit")) & (F.col("group_place") == F.col("through_place"))
     plain = touching.join(
         _named(plan.where("walk_unit is null"), "user_id", "unit"), _same("user_id", "unit")).select(

@@ -379,3 +379,44 @@ def test_labels_of_a_user_with_many_stops_in_a_period(spark):
     assert [got["u", i] for i in range(3000)] == [i // 3 for i in range(3000)]
     assert {got["v", i] for i in range(60)} == {0}
     assert {got["w", i] for i in range(5)} == {-1}
+
+
+def restless(n: int) -> list[tuple]:
+    """One device mostly at one spot, at times 85 m south or north of it: one stop, though an hour that begins there is several."""
+    places = [1, 1, 0, 2, 1, 1, 2, 0]
+    return [("u", i, 1_699_999_200 + i * 100, 10.0 + (places[i // 12 % 8] * 85 + i % 7 * 0.1) * METRE, 20.0, 5.0 + i % 3) for i in range(n)]
+
+
+def test_a_unit_of_several_groups_may_join_as_a_whole(spark, monkeypatch):
+    """A unit that is several groups by itself joins a group whose median is near all of it, without a walk from the opening."""
+    walked = []
+    plain = stops._with_groups
+    monkeypatch.setattr(stops, "_with_groups", lambda touching, plan, found: (
+        walked.append(0 if found is None else found.where("kind = 0").count()), plain(touching, plan, found))[1])
+    rows = restless(3_000)
+    params = dp.StopParams(period_seconds=3600, radius_m=150)
+    same(sorted(tuple(r) for r in dp.detect_stops(pings_of(spark, rows), params).collect()), plain_stops(rows, params))
+    assert walked[0] < 100
+
+
+def test_a_plan_holds_few_summaries_at_a_time(monkeypatch):
+    """Summaries of a user's units are let go once the group that is open has taken their counts."""
+    import gc
+    import weakref
+    monkeypatch.setattr(stop_chains, "ROWS_AT_ONCE", 8, raising=False)
+    params, most = dp.StopParams(period_seconds=3600), [0]
+    held: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
+
+    def units():
+        for unit in range(2000):
+            box = np.array([10.0, 20.0, 10.0, 20.0, 10.0, 10.0, 20.0, 20.0, np.nan, np.nan, 10.0, 10.0, 20.0, 20.0, 0.0, 10.0, 10.0, 20.0, 20.0, 0.0])
+            counts = np.array([1, 36, 0, 36, 0, 71160, 36, 1, 142320, 36])
+            held[unit] = counts
+            if unit % 100 == 0:
+                gc.collect()
+            most[0] = max(most[0], len(held))
+            yield {"unit": 2 * unit, "kind": stop_chains.GUESSED, "t_start": 3600 * unit, "t_end": 3600 * unit + 3500, "marks": box,
+                   "counts": counts, "head_unit": None, "head_place": None, "last_unit": None}
+
+    assert sum(1 for row in stop_chains._plan_of(units(), params, 1) if not row["asked"]) == 2000
+    assert most[0] < 200
