@@ -116,7 +116,7 @@ class Stages:
 
     @property
     def metrics(self) -> DataFrame:
-        return self._once("metrics", lambda: dp.cut_lineage(
+        return self._once("metrics", lambda: dp.cut_for_joins(
             dp.metrics_with_admins(self.labelled, self.budgets, ACTIVITY)))
 
     @property

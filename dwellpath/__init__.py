@@ -78,7 +78,7 @@ from dwellpath.plans.pipelines import (
     labelled_pieces_of,
     migration_of_countries,
 )
-from dwellpath.session import cut_lineage, remove_stages
+from dwellpath.session import cut_for_joins, cut_lineage, remove_stages
 from dwellpath.sources.stages import clean_stage, read_stage, write_stage
 from dwellpath.sources.tables import prepare_pings, read_admins, read_pings
 

@@ -20,7 +20,7 @@ from dwellpath.functions.geo import haversine_m
 from dwellpath.functions.ranking import rank_in_time
 from dwellpath.params import EARTH_RADIUS_M
 from dwellpath.schema import CLUSTERED_STOPS, require_columns
-from dwellpath.session import cut_lineage
+from dwellpath.session import cut_for_joins, cut_lineage
 
 # Fixed value: the clustering radius in radians on the unit sphere (200 m on Earth).
 CLUSTER_RADIUS_RAD = 3.1392246115209545e-05
@@ -49,7 +49,7 @@ def cluster_stops(stops: DataFrame, radius_m: float = CLUSTER_RADIUS_M) -> DataF
     grid = _Grid(radius_m)
     stops = cut_lineage(stops.drop("cluster_label"))
     celled = grid.assign(stops)
-    cells = cut_lineage(_cells_of(celled))
+    cells = cut_for_joins(_cells_of(celled))
     roots = _components(_touching_cells(celled, cells, grid))
     rooted = cells.join(roots, ["user_id", "_cell"], "left").select(
         "user_id", "_cell", *_FIRST, F.coalesce("_root", "_cell").alias("_root"))
@@ -115,7 +115,7 @@ def _insert(stored: DataFrame, fresh: DataFrame, grid: "_Grid") -> DataFrame:
     reach = grid.around(_cells_of(new)).distinct()
     old = grid.assign(stored).join(reach, ["user_id", "_cell"], "left_semi")
     celled = new.withColumn("_old", F.lit(None).cast("long")).unionByName(old.withColumnRenamed("cluster_label", "_old"))
-    cells = cut_lineage(_cells_of(celled, F.max("_old").alias("_old"), F.bool_or(F.col("_old").isNull()).alias("fresh")))
+    cells = cut_for_joins(_cells_of(celled, F.max("_old").alias("_old"), F.bool_or(F.col("_old").isNull()).alias("fresh")))
     labelled = cells.where(F.col("_old").isNotNull())
     anchors = labelled.groupBy("user_id", "_old").agg(F.min("_cell").alias("a"))
     ties = labelled.join(anchors, ["user_id", "_old"]).select("user_id", "a", F.col("_cell").alias("b")).where("a <> b")

@@ -29,7 +29,7 @@ from dwellpath.operators.pings import localise
 from dwellpath.operators.stops import find_stop_locations
 from dwellpath.params import ActivityParams, LabelParams, StopParams
 from dwellpath.schema import require_columns
-from dwellpath.session import cut_lineage
+from dwellpath.session import cut_for_joins, cut_lineage
 
 # Measure names and the columns of daily metrics they average.
 HOME_MEASURES = {"t_home": "H", "t_work": "W", "t_other": "O", "rec": "R", "comms": "C"}
@@ -63,7 +63,7 @@ def indicators_of(labelled: DataFrame, admins: DataFrame, bins: Sequence[float],
     """
     admins = units_of_country(admins, state)
     budgets = cut_lineage(time_budgets(labelled, label_params.start_hour_day, label_params.end_hour_day))
-    metrics = cut_lineage(metrics_with_admins(labelled, budgets, activity))
+    metrics = cut_for_joins(metrics_with_admins(labelled, budgets, activity))
     wealth = wealth_percentile(admins)
     return cut_lineage(indicator_results(
         weight_by_home(metrics, wealth, bins, labels), weight_by_home_and_work(metrics, wealth, bins, labels),

@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import dwellpath as dp
+from dwellpath import session
+from dwellpath.plans import pipelines
 
 BINS, LABELS = [0.0, 0.4, 0.8, 1.0], ["high", "medium", "low"]
 DAY = dt.date(2024, 1, 1)
@@ -101,6 +103,21 @@ def test_weights_and_weighted_mean(spark, admins):
         ("u", 40.0, "medium"), ("w", 40.0, "high")}
 
 
+@pytest.mark.parametrize("rows, copied", [(10, False), (1000, True)])
+def test_metrics_of_many_rows_are_not_copied_to_the_driver(spark, admins, monkeypatch, rows, copied):
+    """Their files are small, so each of the joins with units would otherwise send all of them to every task."""
+    plans = []
+    for name in ("weight_by_home", "weight_by_home_and_work"):
+        plain = getattr(pipelines, name)
+        monkeypatch.setattr(pipelines, name, lambda metrics, *a, plain=plain: (
+            plans.append(metrics.join(dp.wealth_percentile(admins), metrics.geom_id_home == admins.geom_id)), plain(metrics, *a))[1])
+    monkeypatch.setattr(session, "BROADCAST_ROWS", rows, raising=False)
+    labelled = pieces(spark, [(f"u{u}", d, 12, t, 3600, "a1") for u in range(20) for d in range(3) for t in "HW"])
+    found = dp.indicators_of(labelled, admins, BINS, LABELS, "A", dp.ActivityParams(split="2024-06-01", end="2025-01-01"))
+    assert {r.n for r in found.collect()} == {20}
+    assert [("BroadcastHashJoin" in p._jdf.queryExecution().executedPlan().toString()) for p in plans] == [copied] * 2
+
+
 def series(spark, rows):
     return spark.createDataFrame(rows, "date date, g string, mean double, sem double")
 
