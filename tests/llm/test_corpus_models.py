@@ -356,3 +356,21 @@ def test_pipeline_takes_odd_rows(spark, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_blocks_are_written_and_scored_one_by_one(spark, monkeypatch):
+    """A task that makes many blocks holds one at a time, in the file too, and the blocks are dealt over as many tasks."""
+    import glob
+
+    import pyarrow.parquet as pq
+    paths = []
+    plain = mixing.shared_path
+    monkeypatch.setattr(mixing, "shared_path", lambda *a: (paths.append(plain(*a)), paths[-1])[1])
+    monkeypatch.setattr(mixing, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(mixing, "GROUP_BYTES", 1, raising=False)
+    docs = spark.createDataFrame([(k, f"word{k % 7} of a text {k} " * 20) for k in range(60)], "doc_id long, text string").coalesce(1)
+    scored = mixing.score_texts(docs)
+    files = [pq.ParquetFile(name).metadata for name in glob.glob(f"{paths[0].removeprefix('file:')}/*.parquet")]
+    blocks = sum(file.num_rows for file in files)
+    assert blocks > 10 and sum(file.num_row_groups for file in files) == blocks
+    assert scored.rdd.getNumPartitions() == blocks and scored.count() == 60
